@@ -70,7 +70,8 @@ def _digits(cols, digits: int) -> dict:
 def round_doubles(df: DataFrame, cols, digits: int = DIGITS) -> DataFrame:
     if not cols:
         return df
-    return df.withColumns({c: F.round(F.col(c).cast(T.DoubleType()), d)
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (IEEE), identically in both engines
+    return df.withColumns({c: F.round(F.col(c).cast(T.DoubleType()), d) + F.lit(0.0)
                            for c, d in _digits(cols, digits).items()})
 
 
@@ -84,5 +85,6 @@ def oracle(body: str, round_cols, digits: int = DIGITS) -> str:
         full = f"WITH {CAMPAIGNS_CTES}\n{body}"
     if not round_cols:
         return full
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {d}) AS {c}" for c, d in _digits(round_cols, digits).items())
+    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {d}) + CAST(0 AS DOUBLE) AS {c}"
+                    for c, d in _digits(round_cols, digits).items())
     return f"SELECT * REPLACE ({rep}) FROM ({full}) AS q"
