@@ -6,6 +6,7 @@ whole-stage code generation (no Python on the row path).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,10 +102,28 @@ def emissions(time_sec, cpu_watts: float = CPU_WATTS, pue: float = PUE) -> Colum
     wh = F.lit(cpu_watts) * (t / 3600.0) * F.lit(pue)
     kwh = wh / 1000.0
     world = kwh * CO2_WORLD_G_PER_KWH
-    return F.struct(F.bround(wh, 4).alias("energy_wh"),
-                    F.bround(kwh * CO2_FRANCE_G_PER_KWH, 4).alias("co2_france_g"),
-                    F.bround(world, 4).alias("co2_world_g"),
-                    F.bround(world / CAR_G_PER_KM, 5).alias("car_km_eq"))
+    return F.struct(round_binary(wh, 4).alias("energy_wh"),
+                    round_binary(kwh * CO2_FRANCE_G_PER_KWH, 4).alias("co2_france_g"),
+                    round_binary(world, 4).alias("co2_world_g"),
+                    round_binary(world / CAR_G_PER_KM, 5).alias("car_km_eq"))
+
+
+_ROUNDERS: dict = {}
+
+
+def round_binary(x, digits: int) -> Column:
+    """Half-even rounding of the exact binary value of a double (Python's
+    ``round``).  Spark's ``bround`` rounds the shortest decimal form instead,
+    which differs when that form is an exact tie (0.03325 -> 0.0332 vs the
+    binary value just above the tie -> 0.0333).  Arrow-batched pandas UDF,
+    meant for report-sized tables (one row per model or run)."""
+    if digits not in _ROUNDERS:
+        @F.pandas_udf("double")
+        def _round(s: pd.Series) -> pd.Series:
+            return s.map(lambda v: v if v is None or v != v else round(float(v), digits))
+
+        _ROUNDERS[digits] = _round
+    return _ROUNDERS[digits](_c(x).cast("double"))
 
 
 # ---------------------------------------------------------------- hashing

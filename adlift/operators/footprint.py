@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adlift.functions.scalar import emissions
+from adlift.functions.scalar import emissions, round_binary
 
 REPORT_COLS = ["time_sec", "energy_wh", "co2_france_g", "co2_world_g", "car_km_eq"]
 DIGITS = {"time_sec": 2, "energy_wh": 4, "co2_france_g": 4, "co2_world_g": 4, "car_km_eq": 5}
@@ -24,10 +24,11 @@ def footprint_report(runs: DataFrame, model: str = "model", time_col: str = "tim
     require_columns(runs, [time_col])
     name = F.coalesce(F.col(model).cast("string"), F.lit("?")) if model in runs.columns else F.lit("?")
     t = F.col(time_col).cast("double")
-    per = runs.select(name.alias("model"), F.bround(t, 2).alias("time_sec"), emissions(t).alias("e")) \
+    per = runs.select(name.alias("model"), round_binary(t, 2).alias("time_sec"), emissions(t).alias("e")) \
         .select("model", "time_sec", "e.*")
     total = per.agg(F.lit("TOTAL").alias("model"),
-                    *[F.bround(F.sum(c), DIGITS[c]).alias(c) for c in REPORT_COLS])
+                    *[F.sum(c).alias(c) for c in REPORT_COLS])
+    total = total.select("model", *[round_binary(F.col(c), DIGITS[c]).alias(c) for c in REPORT_COLS])
     order = F.when(F.col("model") == "TOTAL", 1).otherwise(0)
     # window over the report (one row per run)
     return (per.unionByName(total)

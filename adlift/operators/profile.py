@@ -111,8 +111,8 @@ def duplicate_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     shuffle, so a value combination holding a third of all rows costs one
     buffer row per task, not a hot reducer.
     """
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("c"))
-    return groups.agg(F.sum("c").alias("n_rows"), F.sum(F.col("c") - 1).alias("n_duplicates"),
+    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__copies"))
+    return groups.agg(F.sum("__copies").alias("n_rows"), F.sum(F.col("__copies") - 1).alias("n_duplicates"),
                       F.count(F.lit(1)).alias("n_distinct"))
 
 
