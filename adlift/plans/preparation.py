@@ -65,8 +65,11 @@ def clean(spark, sf):
 
 
 def split_table(spark, sf):
-    """Clean campaigns with ``split`` (exact-size hash split)."""
-    return S.train_test_split(clean(spark, sf))
+    """Clean campaigns with ``split`` (exact-size hash split), materialized once
+    per session and partitioned by ``split`` (readers of one side prune the other)."""
+    from adlift.sources.campaigns import materialized
+    df = materialized(spark, "split", sf, lambda: S.train_test_split(clean(spark, sf)), ["split"])
+    return df.select(KEY, *NUMERIC, "influencer", TARGET, "split")
 
 
 def fold_table(spark, sf, split=None):

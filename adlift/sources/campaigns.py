@@ -34,7 +34,38 @@ def _null_every(key: Column, mod: int, value: Column) -> Column:
     return F.when(key % mod == 0, F.lit(None)).otherwise(value)
 
 
+_MATERIALIZED: dict = {}
+
+
+def materialized(spark: SparkSession, name: str, source: str, build, partition_by: list[str] | None = None
+                 ) -> DataFrame:
+    """Write ``build()`` once per session as Parquet under the shared
+    checkpoint folder and read it back (lineage cut, column pruning and
+    predicate / partition pushdown for every later scan).  Set
+    ``adlift.materialize=false`` to always recompute."""
+    if spark.conf.get("adlift.materialize", "true") != "true":
+        return build()
+    import hashlib
+    from adlift.session import shared_path
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _MATERIALIZED:
+        tag = hashlib.md5(f"{source}|{spark.sparkContext.applicationId}".encode()).hexdigest()[:16]
+        path = shared_path(spark, f"tables/{name}-{tag}")
+        w = build().write.mode("overwrite")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(_MATERIALIZED[key])
+
+
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The campaign table of ``sf_dir`` (built by ``build_campaigns``, materialized once per session)."""
+    df = materialized(spark, "campaigns", sf_dir, lambda: build_campaigns(spark, sf_dir))
+    return df.select(*CAMPAIGN_SCHEMA.fieldNames())
+
+
+def build_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One campaign per order: ``campaign_id, tv, radio, social_media, influencer, sales``.
 
     Plan: column-pruned scan of lineitem -> partial + final hash aggregate on
