@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlift.constants import CATEGORIES, IQR_FACTOR, KEY, TARGET
+from adlift.operators.joins import join_bounded, join_small
 from adlift.operators.quantiles import quantile
 
 
@@ -228,11 +229,11 @@ def box_stats(df: DataFrame, value: str, group: str, method: str = "exact") -> D
          .withColumn("fence_lo", F.col("q1") - IQR_FACTOR * F.col("iqr"))
          .withColumn("fence_hi", F.col("q3") + IQR_FACTOR * F.col("iqr")))
     inside = v.between(F.col("fence_lo"), F.col("fence_hi"))
-    agg = (base.join(q.select(group, "fence_lo", "fence_hi"), group)
+    agg = (join_small(base, q.select(group, "fence_lo", "fence_hi"), group)
            .groupBy(group)
            .agg(F.min(F.when(inside, v)).alias("whisker_lo"), F.max(F.when(inside, v)).alias("whisker_hi"),
                 F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n")))
-    return q.join(agg, group)
+    return q.join(agg, group)  # two per-group tables
 
 
 def outlier_rows(df: DataFrame, value: str, group: str, method: str = "exact") -> DataFrame:
@@ -242,7 +243,7 @@ def outlier_rows(df: DataFrame, value: str, group: str, method: str = "exact") -
     q = (base.groupBy(group).agg(quantile(v, 0.25, method).alias("q1"), quantile(v, 0.75, method).alias("q3"))
          .select(group, (F.col("q1") - IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("fence_lo"),
                  (F.col("q3") + IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("fence_hi")))
-    return (base.join(q, group).where(~v.between(F.col("fence_lo"), F.col("fence_hi")))
+    return (join_small(base, q, group).where(~v.between(F.col("fence_lo"), F.col("fence_hi")))
             .select(KEY, group, value, "fence_lo", "fence_hi"))
 
 
@@ -254,11 +255,12 @@ def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact") -> DataF
          .withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("fence_lo", F.col("q1") - IQR_FACTOR * F.col("iqr"))
          .withColumn("fence_hi", F.col("q3") + IQR_FACTOR * F.col("iqr")))
-    cnt = (lv.join(q.select("feature", "fence_lo", "fence_hi"), "feature")
+    # one row per listed column: bounded by construction
+    cnt = (join_bounded(lv, q.select("feature", "fence_lo", "fence_hi"), "feature")
            .groupBy("feature")
            .agg(F.count_if((v < F.col("fence_lo")) | (v > F.col("fence_hi"))).alias("n_outliers"),
                 F.count(F.lit(1)).alias("n")))
-    return (q.join(cnt, "feature")
+    return (join_bounded(q, cnt, "feature")
             .withColumn("pct_outliers", 100.0 * F.col("n_outliers") / F.col("n")))
 
 

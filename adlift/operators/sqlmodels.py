@@ -24,6 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adlift.constants import CATEGORICAL, MISSING_CATEGORY, TARGET
+from adlift.operators.joins import join_bounded, join_small
+
+# Largest category count a GroupMean keeps as literals.
+MAX_GROUPS = 10_000
 
 LINEAR_TV = "Linear (TV)"
 GROUP_MEAN = "Group Mean (Influencer)"
@@ -61,7 +65,9 @@ class GroupMean:
 
     def fit(self, df: DataFrame) -> "GroupMean":
         # one row per category: a bounded result
-        rows = df.groupBy(self.key().alias("g")).agg(F.avg(self.y).alias("m")).collect()
+        rows = df.groupBy(self.key().alias("g")).agg(F.avg(self.y).alias("m")).limit(MAX_GROUPS + 1).collect()
+        if len(rows) > MAX_GROUPS:
+            raise ValueError(f"{self.group} has more than {MAX_GROUPS} categories; not a categorical feature")
         self.means = {r["g"]: float(r["m"]) for r in rows if r["m"] is not None}
         self.overall = float(df.agg(F.avg(self.y)).first()[0] or 0.0)
         return self
@@ -120,7 +126,8 @@ def cv_linear_one(folded: DataFrame, x: str = "tv", y: str = TARGET, fold: str =
     params = fit.select(fold, slope.alias("b"), F.col("sx"), F.col("sy"), n.alias("nn")) \
         .select(fold, "b", ((F.col("sy") - F.col("b") * F.col("sx")) / F.col("nn")).alias("a"),
                 (F.col("sx") / F.col("nn")).alias("mx"))
-    scored = (folded.where(F.col(y).isNotNull()).join(params, fold)
+    # one parameter row per fold: bounded by construction
+    scored = (join_bounded(folded.where(F.col(y).isNotNull()), params, fold)
               .withColumn("y_pred", F.col("a") + F.col("b") * F.coalesce(F.col(x), F.col("mx"))))
     err = F.col(y) - F.col("y_pred")
     return scored.groupBy(fold).agg(
@@ -154,7 +161,7 @@ def cv_sql_models(folded: DataFrame, x: str = "tv", group: str = CATEGORICAL, y:
     w = Window.partitionBy()
     fit_all = by_f.select(fold, ((F.sum("sy").over(w) - F.col("sy"))
                                  / (F.sum("n").over(w) - F.col("n"))).alias("om"))
-    scored = base.join(fit_g, [fold, "__g"], "left").join(fit_all, fold)
+    scored = join_bounded(join_small(base, fit_g, [fold, "__g"], "left"), fit_all, fold)
     out = []
     for name, pred in ((GROUP_MEAN, F.coalesce("gm", "om")), (GLOBAL_MEAN, F.col("om"))):
         err = F.col(y) - pred

@@ -80,12 +80,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cross_validate(folded: DataFrame, name: str, est, profile: str = "quick", parallelism: int = 4,
+def cross_validate(folded: DataFrame, name: str, est, profile: str = "quick", parallelism: int | None = None,
                    label: str = TARGET) -> dict:
     """Grid search with ``CrossValidator`` on the ``fold`` column; RMSE picks the
     best point, R2 of the same point is measured on each held-out fold with
     the fold's sub-model; the best pipeline is refitted on all rows."""
     grid = param_grid(name, est, profile)
+    if parallelism is None:  # fits of different grid points / folds run concurrently
+        parallelism = max(1, min(len(grid) * N_FOLDS, folded.sparkSession.sparkContext.defaultParallelism))
     pipe = pipeline(est)
     maps = [{k: v for k, v in pm.items()} for pm, _ in grid]
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
