@@ -19,8 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def quantile(col: str | Column, p, method: str = "exact", accuracy: int = 100000) -> Column:
+def default_method() -> str:
+    """Session-wide choice (``adlift.quantile.method`` = exact | approx);
+    a cluster job over very large groups sets ``approx``."""
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    return s.conf.get("adlift.quantile.method", "exact") if s is not None else "exact"
+
+
+def quantile(col: str | Column, p, method: str | None = "exact", accuracy: int = 100000) -> Column:
     c = F.col(col) if isinstance(col, str) else col
+    if method is None or method == "session":
+        method = default_method()
     if method == "approx":
         return F.percentile_approx(c, p, accuracy)
     return F.percentile(c, p)

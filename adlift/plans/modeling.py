@@ -240,3 +240,22 @@ def footprint_report(spark, sf):
     ctx = _ctx(spark, sf)
     runs = spark.createDataFrame([(n, float(t)) for n, t in ctx["times"].items()], "model string, time_sec double")
     return FP.footprint_report(runs)
+
+
+@query("waterfall_values")
+def waterfall_values(spark, sf):
+    """Waterfall bars (sorted contributions, running total from the base
+    value, at most 10 bars) of the boosted trees at the 10 / 50 / 90 % rows of
+    the explanation sample.  Only the chosen rows are explained (broadcast
+    semi-join with the three chosen keys)."""
+    from adlift.operators import explain as XP
+    ctx = _ctx(spark, sf)
+    chosen = XP.waterfall_rows(XP.explanation_sample(ctx["test"].select(KEY, TARGET)))
+    rows = _transformed(ctx, ctx["test"].join(F.broadcast(chosen.select(KEY)), KEY, "left_semi"))
+    gbt = _gbt(ctx["models"][TR.GBT_NAME])
+    trees = TS.tree_arrays(TS.node_table(gbt, spark, "gbt-waterfall"))
+    ts = TS.tree_shap(rows, trees, list(gbt.treeWeights), FEATURE_COLS, KEY)
+    names = F.array(*[F.lit(f) for f in feature_labels()])
+    long = ts.select(KEY, "base_value", F.inline(F.arrays_zip(names.alias("feature"),
+                                                              F.col("contributions").alias("contribution"))))
+    return XP.waterfall(long, chosen)

@@ -222,3 +222,27 @@ def test_duplicates_nulls_equal(spark):
     df = spark.createDataFrame([(1.0, None), (1.0, None), (2.0, "a")], "x double, c string")
     r = duplicate_rows(df, ["x", "c"]).first()
     assert r["n_duplicates"] == 1
+
+
+def test_json_requests_round_trip(spark):
+    from adlift.operators import score as SC
+    df = spark.createDataFrame([(1, '{"tv": 10.0, "radio": 2.0, "social_media": 1.0, "influencer": "Nano"}'),
+                                (2, '{"tv": -3.0, "radio": 2.0, "social_media": 1.0, "influencer": "Giga"}'),
+                                (3, 'not json')], "request_id long, body string")
+    v = {r["request_id"]: r for r in SC.validate(SC.requests_from_json(df)).collect()}
+    assert v[1]["is_valid"] and not v[2]["is_valid"] and not v[3]["is_valid"]
+    assert set(v[2]["errors"]) == {"tv:below_min", "influencer:invalid"}
+    ok = SC.validate(SC.requests_from_json(df)).where("is_valid")
+    js = SC.responses_to_json(SC.score(ok, F.lit(26.0), "m")).first()["response"]
+    assert '"roi_estimated":2.0' in js and '"input_received"' in js
+
+
+def test_waterfall_running_total(spark):
+    from adlift.operators.explain import waterfall
+    contrib = spark.createDataFrame([(1, 10.0, f"f{i}", float(i - 6)) for i in range(12)],
+                                    "campaign_id long, base_value double, feature string, contribution double")
+    rows = spark.createDataFrame([(1, "p50")], "campaign_id long, label string")
+    bars = sorted(waterfall(contrib, rows).collect(), key=lambda r: r["step"])
+    assert len(bars) == 10
+    assert bars[-1]["running_total"] == pytest.approx(10.0 + sum(i - 6 for i in range(12)))
+    assert abs(bars[0]["contribution"]) >= abs(bars[1]["contribution"])
