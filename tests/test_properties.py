@@ -246,3 +246,12 @@ def test_waterfall_running_total(spark):
     assert len(bars) == 10
     assert bars[-1]["running_total"] == pytest.approx(10.0 + sum(i - 6 for i in range(12)))
     assert abs(bars[0]["contribution"]) >= abs(bars[1]["contribution"])
+
+
+def test_exact_quantiles_selection_matches_percentile(spark, clean):
+    from adlift.operators.quantiles import exact_quantiles
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    want = clean.agg(*[F.percentile("sales", p).alias(f"p{i}") for i, p in enumerate(probs)]).first()
+    got = exact_quantiles(clean, "sales", probs, bins=16)
+    for i, g in enumerate(got):
+        assert g == pytest.approx(want[f"p{i}"], rel=1e-12, abs=1e-9)
