@@ -61,10 +61,10 @@ def trend_band(df: DataFrame, x: str, y: str, points: int = 20, replicates: int
     intercept; each replicate line is evaluated on the grid and the band is
     the percentile interval per grid point."""
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, x, y)
-    rng = base.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    lo, hi = rng.select("lo").scalar(), rng.select("hi").scalar()
-    fit = base.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
-    b0, a0 = fit.select("b").scalar(), fit.select("a").scalar()
+    from adlift.operators.quantiles import scalars
+    st = scalars(base.agg(F.min(x).alias("lo"), F.max(x).alias("hi"),
+                          F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a")))
+    lo, hi, b0, a0 = st["lo"], st["hi"], st["b"], st["a"]
     X, Y, W = F.col(x), F.col(y), F.col("w")
     sums = (replicated(base, replicates, key).groupBy("rep")
             .agg(F.sum(W).alias("n"), F.sum(W * X).alias("sx"), F.sum(W * Y).alias("sy"),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlift.constants import CATEGORICAL, CATEGORIES, MISSING_CATEGORY, NUMERIC
-from adlift.operators.quantiles import quantile
+from adlift.operators.quantiles import grouped_with_quantiles
 
 
 def scaled_name(c: str) -> str:
@@ -61,16 +61,18 @@ class CampaignPreprocessor(Estimator, _PrepParams, DefaultParamsReadable, Defaul
 
     @keyword_only
     def __init__(self, *, numericCols=None, categoricalCol=None, categories=None, outputCol=None,
-                 quantileMethod="exact"):
+                 quantileMethod="session"):
         super().__init__()
-        self._setDefault(quantileMethod="exact")
+        self._setDefault(quantileMethod="session")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "CampaignPreprocessorModel":
         cols = self.getOrDefault("numericCols")
         method = self.getOrDefault("quantileMethod")
-        med = df.agg(*[quantile(c, 0.5, method).alias(c) for c in cols]).first()
-        medians = [float(med[c]) if med[c] is not None else 0.0 for c in cols]
+        long = df.select(*cols).unpivot([], cols, "feature", "value")
+        med = {r["feature"]: r["median"] for r in
+               grouped_with_quantiles(long, ["feature"], "value", {"median": 0.5}, [], method).collect()}
+        medians = [float(med[c]) if med.get(c) is not None else 0.0 for c in cols]
         imp = [F.coalesce(F.col(c), F.lit(m)) for c, m in zip(cols, medians)]
         mom = df.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(imp)],
                      *[F.stddev_pop(e).alias(f"s{i}") for i, e in enumerate(imp)]).first()

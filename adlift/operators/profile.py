@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from adlift.constants import CATEGORIES, IQR_FACTOR, KEY, TARGET
 from adlift.operators.joins import join_bounded, join_small
-from adlift.operators.quantiles import quantile
+from adlift.operators.quantiles import grouped_with_quantiles, quantile, scalars
 
 
 # ---------------------------------------------------------------- row filters
@@ -57,15 +57,14 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*parts)))
 
 
-def numeric_describe(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
+def numeric_describe(df: DataFrame, cols: list[str], method: str | None = None) -> DataFrame:
     """count, mean, std (ddof 1), min, q25, median, q75, max per numeric column."""
     v = F.col("value")
-    return (long_view(df.select(*cols), cols)
-            .groupBy("feature")
-            .agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
-                 F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-                 quantile(v, 0.25, method).alias("q25"), quantile(v, 0.5, method).alias("median"),
-                 quantile(v, 0.75, method).alias("q75"), F.max(v).alias("max")))
+    out = grouped_with_quantiles(
+        long_view(df.select(*cols), cols), ["feature"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75},
+        [F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+         F.min(v).alias("min"), F.max(v).alias("max")], method)
+    return out.select("feature", "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 def categorical_describe(df: DataFrame, col: str) -> DataFrame:
@@ -156,12 +155,13 @@ def _whole():
     return Window.partitionBy()
 
 
-def group_stats(df: DataFrame, group: str, target: str = TARGET, method: str = "exact") -> DataFrame:
+def group_stats(df: DataFrame, group: str, target: str = TARGET, method: str | None = None) -> DataFrame:
     """mean, median, std, count of ``target`` per group; null group dropped."""
     t = F.col(target)
-    return (df.where(F.col(group).isNotNull()).groupBy(group)
-            .agg(F.avg(t).alias("mean"), quantile(t, 0.5, method).alias("median"),
-                 F.stddev_samp(t).alias("std"), F.count(t).alias("count"))
+    out = grouped_with_quantiles(df.where(F.col(group).isNotNull()), [group], target, {"median": 0.5},
+                                 [F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"), F.count(t).alias("count")],
+                                 method)
+    return (out.select(group, "mean", "median", "std", "count")
             .withColumn(f"{group}_rank", category_rank(group)))
 
 
@@ -178,8 +178,8 @@ def best_worst_group(stats: DataFrame, group: str) -> DataFrame:
 # ---------------------------------------------------------- distributions
 def _range_of(df: DataFrame, col: str):
     """Scalar-subquery columns for min and max of ``col`` (computed once)."""
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    return r.select("lo").scalar(), r.select("hi").scalar()
+    s = scalars(df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")))
+    return s["lo"], s["hi"]
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
@@ -206,7 +206,8 @@ def kde(df: DataFrame, col: str, grid: int = 100) -> DataFrame:
     x = df.where(F.col(col).isNotNull()).select(F.col(col).alias("x"))
     s = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"),
               F.count(F.lit(1)).alias("n"))
-    lo, hi, sd, n = (s.select(c).scalar() for c in ("lo", "hi", "sd", "n"))
+    st = scalars(s)
+    lo, hi, sd, n = (st[c] for c in ("lo", "hi", "sd", "n"))
     h = sd * F.pow(n.cast("double"), F.lit(-0.2))
     step = (hi - lo) / (grid - 1)
     pts = x.select("x", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
@@ -216,15 +217,13 @@ def kde(df: DataFrame, col: str, grid: int = 100) -> DataFrame:
                        (F.col("k") / (n * h * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density"))
 
 
-def box_stats(df: DataFrame, value: str, group: str, method: str = "exact") -> DataFrame:
+def box_stats(df: DataFrame, value: str, group: str, method: str | None = None) -> DataFrame:
     """Per group: q1, median, q3, IQR fences, whiskers (extreme in-fence values),
     outlier count.  Pass 1 quantiles per group; pass 2 joins the per-group
     fences back (one row per group; AQE broadcasts it when small)."""
     base = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     v = F.col(value)
-    q = (base.groupBy(group).agg(quantile(v, 0.25, method).alias("q1"),
-                                 quantile(v, 0.5, method).alias("median"),
-                                 quantile(v, 0.75, method).alias("q3"))
+    q = (grouped_with_quantiles(base, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [], method)
          .withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("fence_lo", F.col("q1") - IQR_FACTOR * F.col("iqr"))
          .withColumn("fence_hi", F.col("q3") + IQR_FACTOR * F.col("iqr")))
@@ -236,22 +235,22 @@ def box_stats(df: DataFrame, value: str, group: str, method: str = "exact") -> D
     return q.join(agg, group)  # two per-group tables
 
 
-def outlier_rows(df: DataFrame, value: str, group: str, method: str = "exact") -> DataFrame:
+def outlier_rows(df: DataFrame, value: str, group: str, method: str | None = None) -> DataFrame:
     """Rows outside their group's 1.5*IQR fences (the box-plot outlier points)."""
     base = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     v = F.col(value)
-    q = (base.groupBy(group).agg(quantile(v, 0.25, method).alias("q1"), quantile(v, 0.75, method).alias("q3"))
+    q = (grouped_with_quantiles(base, [group], value, {"q1": 0.25, "q3": 0.75}, [], method)
          .select(group, (F.col("q1") - IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("fence_lo"),
                  (F.col("q3") + IQR_FACTOR * (F.col("q3") - F.col("q1"))).alias("fence_hi")))
     return (join_small(base, q, group).where(~v.between(F.col("fence_lo"), F.col("fence_hi")))
             .select(KEY, group, value, "fence_lo", "fence_hi"))
 
 
-def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
+def iqr_outliers(df: DataFrame, cols: list[str], method: str | None = None) -> DataFrame:
     """Per column: q1, q3, IQR, fences, outlier count and % of non-null values."""
     lv = long_view(df.select(*cols), cols).where(F.col("value").isNotNull())
     v = F.col("value")
-    q = (lv.groupBy("feature").agg(quantile(v, 0.25, method).alias("q1"), quantile(v, 0.75, method).alias("q3"))
+    q = (grouped_with_quantiles(lv, ["feature"], "value", {"q1": 0.25, "q3": 0.75}, [], method)
          .withColumn("iqr", F.col("q3") - F.col("q1"))
          .withColumn("fence_lo", F.col("q1") - IQR_FACTOR * F.col("iqr"))
          .withColumn("fence_hi", F.col("q3") + IQR_FACTOR * F.col("iqr")))
@@ -264,13 +263,13 @@ def iqr_outliers(df: DataFrame, cols: list[str], method: str = "exact") -> DataF
             .withColumn("pct_outliers", 100.0 * F.col("n_outliers") / F.col("n")))
 
 
-def quantile_bands(df: DataFrame, col: str, method: str = "exact") -> DataFrame:
+def quantile_bands(df: DataFrame, col: str, method: str | None = None) -> DataFrame:
     """Bands Q0-Q25 (low), Q25-Q75 (mid), Q75-Q100 (high) with counts and means,
     plus the overall mean; each row falls in exactly one band."""
-    s = df.agg(F.min(col).alias("q0"), quantile(col, 0.25, method).alias("q25"),
-               quantile(col, 0.75, method).alias("q75"), F.max(col).alias("q100"),
-               F.avg(col).alias("mean"))
-    q0, q25, q75, q100, mean = (s.select(c).scalar() for c in ("q0", "q25", "q75", "q100", "mean"))
+    s = grouped_with_quantiles(df, [], col, {"q25": 0.25, "q75": 0.75},
+                               [F.min(col).alias("q0"), F.max(col).alias("q100"), F.avg(col).alias("mean")], method)
+    st = scalars(s)
+    q0, q25, q75, q100, mean = (st[c] for c in ("q0", "q25", "q75", "q100", "mean"))
     v = F.col(col)
     band = F.when(v < q25, "low").when(v <= q75, "mid").otherwise("high")
     lo = F.when(v < q25, q0).when(v <= q75, q25).otherwise(q75)
@@ -285,8 +284,9 @@ def value_band(value: Column, q25: Column, q75: Column) -> Column:
     return F.when(value < q25, "low").when(value <= q75, "mid").otherwise("high")
 
 
-def parameter_ranges(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
+def parameter_ranges(df: DataFrame, cols: list[str], method: str | None = None) -> DataFrame:
     """min, max and median (slider default) per parameter."""
     v = F.col("value")
-    return (long_view(df.select(*cols), cols).groupBy("feature")
-            .agg(F.min(v).alias("min"), F.max(v).alias("max"), quantile(v, 0.5, method).alias("median")))
+    return grouped_with_quantiles(long_view(df.select(*cols), cols), ["feature"], "value", {"median": 0.5},
+                                  [F.min(v).alias("min"), F.max(v).alias("max")], method) \
+        .select("feature", "min", "max", "median")

@@ -5,6 +5,9 @@ pandas and DuckDB ``quantile_cont``); its partial buffers keep one entry per
 distinct value, so it suits tables up to ~1e8 distinct values per group.
 ``method="approx"`` is ``percentile_approx`` (Greenwald-Khanna sketch, bounded
 memory, rank error <= n / accuracy) for any size.
+``method="select"`` (``grouped_quantiles``) is exact and bounded: a
+distributed selection per (group, rank), for tables where one group may hold
+a large share of all rows.
 ``exact_quantiles`` is an exact, bounded-memory alternative for very large
 tables: a distributed selection that narrows a value window by bucket counts,
 one aggregate pass per round, each returning at most ``bins`` bucket counts
@@ -19,19 +22,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Largest group (rows) whose exact quantiles use Spark's ``percentile`` under
+# ``auto``; its buffers hold one entry per distinct value of the group.
+AUTO_EXACT_MAX_ROWS = 5_000_000
+
+
 def default_method() -> str:
-    """Session-wide choice (``adlift.quantile.method`` = exact | approx);
-    a cluster job over very large groups sets ``approx``."""
+    """Session-wide choice (``adlift.quantile.method`` = auto | exact | select | approx).
+    ``auto`` (default) checks the largest group size first: Spark's exact
+    ``percentile`` up to ``AUTO_EXACT_MAX_ROWS`` rows per group, exact
+    selection (``grouped_quantiles``, bounded memory per task) beyond;
+    ``approx`` is a bounded sketch."""
     from pyspark.sql import SparkSession
     s = SparkSession.getActiveSession()
-    return s.conf.get("adlift.quantile.method", "exact") if s is not None else "exact"
+    return s.conf.get("adlift.quantile.method", "auto") if s is not None else "auto"
 
 
 def quantile(col: str | Column, p, method: str | None = "exact", accuracy: int = 100000) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     if method is None or method == "session":
         method = default_method()
-    if method == "approx":
+    if method == "approx":  # "auto" / "select" need a multi-pass operator: see grouped_with_quantiles
         return F.percentile_approx(c, p, accuracy)
     return F.percentile(c, p)
 
@@ -95,3 +106,128 @@ def _kth(base: DataFrame, k: int, n: int, lo: float, hi: float, bins: int, max_r
         else:
             return hi
     raise RuntimeError("quantile selection did not converge")
+
+
+# --------------------------------------------------------------------------
+# Exact grouped quantiles by distributed selection (bounded memory per task)
+# --------------------------------------------------------------------------
+SELECT_BINS = 4096
+SELECT_SMALL = 4096
+
+
+def scalars(one_row: DataFrame) -> Column:
+    """All columns of a one-row aggregate as ONE scalar subquery returning a
+    struct; read fields with ``s["name"]``.  (Several ``scalar()`` calls on the
+    same plan can be merged by the optimizer; one struct keeps them apart.)"""
+    return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
+
+
+def grouped_quantiles(df: DataFrame, value: str, probs: list[float], groups: list[str] | None = None,
+                      bins: int = SELECT_BINS, small: int = SELECT_SMALL, max_rounds: int = 12) -> DataFrame:
+    """Exact linear-interpolation quantiles per group: ``(groups..., p, q)``.
+
+    Equal to Spark's ``percentile`` (same interpolation formula) but no task
+    ever holds more than ``small`` values of one group:
+
+    * pass 0: n, min, max per group; each (group, p) needs the order
+      statistics at ranks floor((n-1)p) and the next one;
+    * each round joins the rows with the active (group, rank) windows
+      (one row per target: broadcast after a size check), counts rows per
+      ``bins`` equal-width sub-range, and a window over that count table
+      (partitioned by target, <= ``bins`` rows) picks the sub-range that
+      holds the rank — a value range 4096 times narrower per round;
+    * a sub-range with one distinct value answers at once (heavy duplicates,
+      a hot value), one with <= ``small`` rows is ranked exactly inside a
+      window partitioned by target.
+    The loop state (one row per target) is checkpointed each round.
+    """
+    from adlift.operators.joins import join_small
+    from adlift.session import ensure_checkpoint_dir
+    from pyspark.sql import Window
+
+    ensure_checkpoint_dir(df.sparkSession)
+    groups = list(groups or [])
+    g_cols = groups or ["__all"]
+    v = F.col(value).cast("double")
+    base = df.where(F.col(value).isNotNull() & ~F.isnan(v)).select(
+        *[F.col(c) for c in groups], *([] if groups else [F.lit(0).alias("__all")]), v.alias("__v"))
+    stats = base.groupBy(*g_cols).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
+                                      F.max("__v").alias("__hi"))
+    targets = (stats.select(*g_cols, "__n", "__lo", "__hi",
+                            F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+               .withColumn("__pos", (F.col("__n") - 1).cast("double") * F.col("p"))
+               .withColumn("__k0", F.floor("__pos").cast("long"))
+               .withColumn("__k1", F.ceil("__pos").cast("long")))
+    ks = (targets.select(*g_cols, "__lo", "__hi", F.explode(F.array_distinct(F.array("__k0", "__k1"))).alias("__k"))
+          .distinct())
+    state = ks.select(*g_cols, "__k", "__lo", "__hi", F.lit(0).cast("long").alias("__below"),
+                      F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).alias("__val"))
+    state = state.checkpoint(eager=True)
+    for _ in range(max_rounds):
+        active = state.where(F.col("__val").isNull())
+        if active.limit(1).count() == 0:
+            break
+        rows = join_small(base, active.select(*g_cols, "__k", "__lo", "__hi", "__below"), g_cols) \
+            .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+        width = (F.col("__hi") - F.col("__lo"))
+        b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1)).cast("long")
+        cnt = rows.groupBy(*g_cols, "__k", "__below", b.alias("__b")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__mn"), F.max("__v").alias("__mx"))
+        w = Window.partitionBy(*g_cols, "__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        cnt = cnt.withColumn("__before", F.col("__below") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
+        pick = cnt.where((F.col("__before") <= F.col("__k")) & (F.col("__k") < F.col("__before") + F.col("__c")))
+        pick = pick.select(*g_cols, "__k", F.col("__mn").alias("__lo"), F.col("__mx").alias("__hi"),
+                           F.col("__before").alias("__below"), "__c").checkpoint(eager=True)
+        single = pick.where(F.col("__lo") == F.col("__hi")).select(
+            *g_cols, "__k", "__lo", "__hi", "__below", F.col("__lo").alias("__val"))
+        few = pick.where((F.col("__lo") < F.col("__hi")) & (F.col("__c") <= small))
+        many = pick.where((F.col("__lo") < F.col("__hi")) & (F.col("__c") > small)).select(
+            *g_cols, "__k", "__lo", "__hi", "__below", F.lit(None).cast("double").alias("__val"))
+        # exact rank inside the small windows: each target sorts <= `small` values
+        in_few = join_small(base, few.select(*g_cols, "__k", "__lo", "__hi", "__below"), g_cols) \
+            .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
+        rk = Window.partitionBy(*g_cols, "__k").orderBy("__v")
+        solved = (in_few.withColumn("__r", F.row_number().over(rk) - 1 + F.col("__below"))
+                  .where(F.col("__r") == F.col("__k"))
+                  .select(*g_cols, "__k", "__lo", "__hi", "__below", F.col("__v").alias("__val")))
+        done = state.where(F.col("__val").isNotNull())
+        state = done.unionByName(single).unionByName(solved).unionByName(many).checkpoint(eager=True)
+    else:
+        raise RuntimeError("quantile selection did not converge")
+    vals = state.select(*g_cols, "__k", "__val")
+    lo_v = vals.select(*g_cols, F.col("__k").alias("__k0"), F.col("__val").alias("__v0"))
+    hi_v = vals.select(*g_cols, F.col("__k").alias("__k1"), F.col("__val").alias("__v1"))
+    t = targets.join(lo_v, [*g_cols, "__k0"]).join(hi_v, [*g_cols, "__k1"])
+    # Spark's percentile interpolation: (hi - pos) * v0 + (pos - lo) * v1
+    q = F.when(F.col("__k0") == F.col("__k1"), F.col("__v0")).otherwise(
+        (F.col("__k1").cast("double") - F.col("__pos")) * F.col("__v0")
+        + (F.col("__pos") - F.col("__k0").cast("double")) * F.col("__v1"))
+    return t.select(*groups, "p", q.alias("q"))
+
+
+def grouped_with_quantiles(df: DataFrame, groups: list[str], value, named_probs: dict, others: list,
+                           method: str | None = None) -> DataFrame:
+    """``groupBy(groups).agg(*others, quantiles...)`` with the quantiles named by
+    ``named_probs`` ({alias: p}).  exact / approx: one aggregate; select: the
+    other aggregates plus ``grouped_quantiles`` joined on the group (both one
+    row per group)."""
+    method = default_method() if method in (None, "session") else method
+    if method == "auto":
+        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+        largest = sizes.agg(F.max("__n")).first()[0] or 0
+        method = "exact" if largest <= AUTO_EXACT_MAX_ROWS else "select"
+    if method != "select":
+        aggs = [*others, *[quantile(value, p, method).alias(n) for n, p in named_probs.items()]]
+        return df.groupBy(*groups).agg(*aggs)
+    vname = value if isinstance(value, str) else "__qv"
+    src = df if isinstance(value, str) else df.withColumn("__qv", value)
+    qt = grouped_quantiles(src, vname, list(named_probs.values()), groups)
+    wide = qt.groupBy(*(groups or [])).agg(
+        *[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n) for n, p in named_probs.items()])
+    if not others:
+        return wide
+    agg = src.groupBy(*groups).agg(*others)
+    if groups:
+        return agg.join(wide, groups, "left")
+    one = F.lit(0)
+    return agg.withColumn("__one", one).join(wide.withColumn("__one", one), "__one").drop("__one")

@@ -255,3 +255,42 @@ def test_exact_quantiles_selection_matches_percentile(spark, clean):
     got = exact_quantiles(clean, "sales", probs, bins=16)
     for i, g in enumerate(got):
         assert g == pytest.approx(want[f"p{i}"], rel=1e-12, abs=1e-9)
+
+
+@pytest.mark.parametrize("op", ["describe", "groups", "box", "iqr", "bands", "ranges"])
+def test_select_quantiles_equal_exact(spark, clean, op):
+    from adlift.operators import profile as P
+    from adlift.constants import NUMERIC
+    runs = {
+        "describe": lambda m: P.numeric_describe(clean, NUMERIC + [TARGET], m),
+        "groups": lambda m: P.group_stats(clean, "influencer", TARGET, m),
+        "box": lambda m: P.box_stats(clean, TARGET, "influencer", m),
+        "iqr": lambda m: P.iqr_outliers(clean, NUMERIC, m),
+        "bands": lambda m: P.quantile_bands(clean, TARGET, m),
+        "ranges": lambda m: P.parameter_ranges(clean, NUMERIC, m),
+    }
+    a = sorted(runs[op]("exact").collect())
+    b = sorted(runs[op]("select").collect())
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        for k in x.asDict():
+            if isinstance(x[k], float):
+                assert x[k] == pytest.approx(y[k], rel=1e-12, abs=1e-12), k
+            else:
+                assert x[k] == y[k], k
+
+
+def test_select_quantiles_hot_group_and_value(spark):
+    """One group holds most rows, half of them one repeated value."""
+    from adlift.operators.quantiles import grouped_quantiles
+    rows = [("hot", 7.0)] * 3000 + [("hot", float(i)) for i in range(3000)] + \
+           [("cold", float(i) * 0.5) for i in range(11)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    want = {(r["g"], p): r[f"q{i}"] for r in df.groupBy("g").agg(
+        *[F.percentile("v", p).alias(f"q{i}") for i, p in enumerate(probs)]).collect()
+        for i, p in enumerate(probs)}
+    got = {(r["g"], r["p"]): r["q"] for r in grouped_quantiles(df, "v", probs, ["g"], bins=8, small=16).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-12)
