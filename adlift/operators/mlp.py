@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from adlift.constants import SEED
 
+# Largest training partition (rows) a task holds in memory during an epoch.
+ROWS_PER_PARTITION = 500_000
+
 
 def _shapes(n_in: int, hidden: tuple) -> list[tuple]:
     sizes = [n_in, *hidden, 1]
@@ -139,10 +142,12 @@ def train_mlp(train: DataFrame, features: list[str], label: str, valid_flag, cfg
     """Fit on ``train`` (rows with ``valid_flag`` true are the validation share).
     Returns (weights, shapes, history of (epoch, val_rmse))."""
     spark = train.sparkSession
-    parts = partitions or spark.sparkContext.defaultParallelism
-    data = (train.select(*features, label, valid_flag.alias("__valid"))
-            .repartition(parts)
-            .withColumn("__part", F.spark_partition_id()))
+    src = train.select(*features, label, valid_flag.alias("__valid"))
+    if partitions is None:
+        # each task holds its partition in pandas: bound the rows per partition
+        n_rows = src.count()
+        partitions = max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_PARTITION))
+    data = src.repartition(partitions).withColumn("__part", F.spark_partition_id())
     from adlift.operators.train import checkpointed
     data = checkpointed(data)
     n_total = data.where(~F.col("__valid")).count()

@@ -294,3 +294,16 @@ def test_select_quantiles_hot_group_and_value(spark):
     assert set(got) == set(want)
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-12)
+
+
+def test_load_raw_csv_round_trip(spark, clean, tmp_dir):
+    """A raw campaign CSV reads back with the explicit schema; 'NaN' is NULL."""
+    from adlift.sources.campaigns import load_raw
+    path = f"{tmp_dir}/raw.csv"
+    (clean.withColumn("tv", F.when(F.col(KEY) % 7 == 0, F.lit(float("nan"))).otherwise(F.col("tv")))
+     .write.option("header", True).csv(path))
+    back = load_raw(spark, path, "csv")
+    assert back.count() == clean.count()
+    assert back.where(F.isnan("tv")).count() == 0
+    assert back.where(F.col("tv").isNull()).count() >= clean.where(F.col(KEY) % 7 == 0).count()
+    assert dict(back.dtypes)["sales"] == "double"
