@@ -47,9 +47,10 @@ def budget_shares(df: DataFrame, cols: list[str]) -> DataFrame:
 def market_gap(df: DataFrame, col: str) -> DataFrame:
     """Deviation of each row from the column mean in %, with a sign class.
 
-    The mean is a scalar subquery: computed once, inlined as a literal, no join.
+    The mean is computed once (one aggregate) and inlined as a literal: no join.
     """
-    m = df.agg(F.avg(col)).scalar()
+    from adlift.operators.quantiles import scalars
+    m = scalars(df.agg(F.avg(col).alias("m")))["m"]
     gap = (F.col(col) - m) / m * 100
     return df.select(KEY, col, gap.alias("gap_pct"),
                      F.when(gap >= 0, "above").otherwise("below").alias("position"))

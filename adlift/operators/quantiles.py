@@ -115,11 +115,15 @@ SELECT_BINS = 4096
 SELECT_SMALL = 4096
 
 
-def scalars(one_row: DataFrame) -> Column:
-    """All columns of a one-row aggregate as ONE scalar subquery returning a
-    struct; read fields with ``s["name"]``.  (Several ``scalar()`` calls on the
-    same plan can be merged by the optimizer; one struct keeps them apart.)"""
-    return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
+def scalars(one_row: DataFrame) -> dict:
+    """The columns of a one-row aggregate as typed literal Columns.
+
+    One action computes the row (a fixed-size statistic); every later use is
+    a literal.  A scalar-subquery Column would instead be planned as a new
+    subquery — a new pass over the data — at each place it is referenced."""
+    row = one_row.first()
+    types = dict(one_row.dtypes)
+    return {c: F.lit(row[c]).cast(types[c]) for c in one_row.columns}
 
 
 def grouped_quantiles(df: DataFrame, value: str, probs: list[float], groups: list[str] | None = None,

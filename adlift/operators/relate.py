@@ -92,6 +92,7 @@ def kpi_summary(df: DataFrame, budget_cols: list[str], group: str, target: str =
                   F.corr(budget_cols[0], target).alias(f"r_{budget_cols[0]}_{target}"))
     best = (df.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg(target).alias("m"))
             .agg(F.max_by(group, F.struct("m", F.col(group))).alias("best_group")))
-    kpis = kpis.withColumn("best_group", best.scalar())
+    from adlift.operators.quantiles import scalars
+    kpis = kpis.withColumn("best_group", scalars(best)["best_group"])
     roi = F.when(F.col("mean_budget") > 0, F.col("mean_sales") / F.col("mean_budget")).otherwise(0.0)
     return kpis.withColumn("roi", roi)

@@ -134,7 +134,8 @@ def importance_synthesis(spark, sf):
     and normalised."""
     sp, te, model = _test_and_model(spark, sf)
     x = F.coalesce(F.col(model.x), F.lit(model.mean_x))
-    sd = sp.where(F.col("split") == "train").agg(F.stddev_pop(x)).scalar()
+    from adlift.operators.quantiles import scalars
+    sd = scalars(sp.where(F.col("split") == "train").agg(F.stddev_pop(x).alias("sd")))["sd"]
     native = (sp.sparkSession.createDataFrame([(c,) for c in _TRANSFORMED], "feature string")
               .select(F.regexp_replace("feature", "_scaled$", "").alias("feature"),
                       F.when(F.col("feature") == f"{model.x}_scaled", abs(model.slope) * sd)

@@ -146,7 +146,8 @@ def champion_card(spark, sf):
     metrics, verdict and feature list (one row)."""
     ctx = _ctx(spark, sf)
     rep = _ml_metrics(ctx)
-    best = rep.agg(F.min_by("model", F.struct("rmse_test", "model"))).scalar()
+    from adlift.operators.quantiles import scalars
+    best = scalars(rep.agg(F.min_by("model", F.struct("rmse_test", "model")).alias("m")))["m"]
     return (rep.where(F.col("model") == best)
             .select(F.col("model").alias("name"), F.lit("regression").alias("task"), F.lit(TARGET).alias("target"),
                     "rmse_test", "r2_test", "mape_test", F.col("verdict").alias("overfitting_verdict"),

@@ -191,7 +191,8 @@ def param_grid(spark, sf):
     joined."""
     fo = fold_table(spark, sf)
     per_fold = fo.groupBy("fold").agg(F.count(F.lit(1)).alias("n_valid"))
-    n_all = fo.agg(F.count(F.lit(1))).scalar()
+    from adlift.operators.quantiles import scalars
+    n_all = scalars(fo.agg(F.count(F.lit(1)).alias("n")))["n"]
     grid = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(p).alias("params")) for m, p in grid_points()])
     return (per_fold.select("fold", "n_valid", F.explode(grid).alias("g"))
             .select("g.model", "g.params", "fold", (n_all - F.col("n_valid")).alias("n_fit"), "n_valid"))
