@@ -205,8 +205,7 @@ cvs AS (SELECT model, avg(rmse) AS cv_rmse, avg(r2) AS cv_r2, count(*) AS n_fold
 
 
 def _folded(spark, sf):
-    sp = split_table(spark, sf)
-    return fold_table(spark, sf, sp)
+    return fold_table(spark, sf)
 
 
 @query("cv_simple_linear", CV_CTES + "\nSELECT * FROM cvl",

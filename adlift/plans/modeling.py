@@ -39,7 +39,7 @@ def _ctx(spark, sf):
     k = (spark.sparkContext.applicationId, sf)
     if k in _CACHE:
         return _CACHE[k]
-    sp = TR.checkpointed(split_table(spark, sf))
+    sp = split_table(spark, sf)  # materialized once per session
     train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
     ests = TR.estimators()
     fitted, times = {}, {}
@@ -119,8 +119,7 @@ def linear_fit(spark, sf):
 def cv_results(spark, sf, profile: str = "quick"):
     """5-fold grid search per model on the fold column
     (CrossValidator), CV RMSE / R2, wall time and best parameters."""
-    sp = TR.checkpointed(split_table(spark, sf))
-    folded = TR.checkpointed(fold_table(spark, sf, sp))
+    folded = fold_table(spark, sf)  # materialized once per session
     rows = []
     for name, est in TR.estimators().items():
         r = TR.cross_validate(folded, name, est, profile)

@@ -73,9 +73,15 @@ def split_table(spark, sf):
 
 
 def fold_table(spark, sf, split=None):
-    """Train rows with ``fold``."""
-    sp = split if split is not None else split_table(spark, sf)
-    return S.kfold(sp.where(F.col("split") == "train"))
+    """Train rows with ``fold``; for the session's split table it is
+    materialized once (every CV consumer then scans it instead of
+    re-deriving the fold cut)."""
+    if split is not None:
+        return S.kfold(split.where(F.col("split") == "train"))
+    from adlift.sources.campaigns import materialized
+    df = materialized(spark, "folds", sf,
+                      lambda: S.kfold(split_table(spark, sf).where(F.col("split") == "train")))
+    return df.select(KEY, *NUMERIC, "influencer", TARGET, "split", "fold")
 
 
 def fit_preprocessor(split_df, output_col: str = ""):
