@@ -187,3 +187,59 @@ def predict(df: DataFrame, weights: np.ndarray, shapes, features: list[str], kee
             yield res
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     return df.select(*keep, *[c for c in features if c not in keep]).mapInPandas(run, f"{schema}, {out} double")
+
+
+def grid_points(grid: dict | None = None) -> list[dict]:
+    """Every combination of the MLP grid (layers x alpha x learning rate)."""
+    from itertools import product
+
+    from adlift.constants import MLP_GRID
+    g = grid or MLP_GRID
+    return [{"layers": tuple(l), "alpha": a, "learningRate": lr}
+            for l, a, lr in product(g["layers"], g["alpha"], g["learningRate"])]
+
+
+def cross_validate_mlp(folded: DataFrame, grid: list[dict], n_folds: int | None = None,
+                       max_epochs: int = 200, label: str | None = None, key: str | None = None) -> dict:
+    """Grid search for the MLP on the ``fold`` column (X13 + X14).
+
+    For every grid point and fold the preprocessor is refitted on the other
+    folds (no leakage), the network is trained data-parallel with early
+    stopping on a hash-chosen validation share of those rows, and the held-out
+    fold is scored; the best mean RMSE wins and is refitted on all rows.
+    Each training is a distributed job sequence; the driver only loops over
+    the (grid point, fold) list, as CrossValidator does.
+    """
+    from adlift.constants import KEY, N_FOLDS, TARGET
+    from adlift.functions.scalar import hash_unit
+    from adlift.operators.evaluate import regression_metrics
+    from adlift.operators.prep import CampaignPreprocessor, output_columns
+
+    n_folds = n_folds or N_FOLDS
+    label, key = label or TARGET, key or KEY
+    feats = output_columns()
+    valid = (hash_unit(F.col(key), "#mlpvalid", 8) % 10) == 0
+
+    def fit(rows, params):
+        prep = CampaignPreprocessor().fit(rows)
+        cfg = MLPConfig(hidden=params["layers"], alpha=params["alpha"], learning_rate=params["learningRate"],
+                        max_epochs=max_epochs)
+        w, shapes, hist = train_mlp(prep.transform(rows), feats, label, valid, cfg)
+        return prep, w, shapes, hist
+
+    results = []
+    for params in grid:
+        per_fold = []
+        for f in range(n_folds):
+            prep, w, shapes, _ = fit(folded.where(F.col("fold") != f), params)
+            held = prep.transform(folded.where(F.col("fold") == f))
+            scored = predict(held, w, shapes, feats, [label])
+            m = regression_metrics(scored.select(F.col(label).alias("y_true"), F.col("prediction").alias("y_pred"),
+                                                 F.lit(0).alias("g")), ["g"]).first()
+            per_fold.append((m["rmse"], m["r2"]))
+        results.append({"params": params, "cv_rmse": float(np.mean([r for r, _ in per_fold])),
+                        "cv_r2": float(np.mean([q for _, q in per_fold]))})
+    best = min(results, key=lambda r: r["cv_rmse"])
+    prep, w, shapes, hist = fit(folded, best["params"])
+    return {"best_params": best["params"], "cv_rmse": best["cv_rmse"], "cv_r2": best["cv_r2"],
+            "results": results, "preprocessor": prep, "weights": w, "shapes": shapes, "epochs": len(hist)}

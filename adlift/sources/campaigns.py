@@ -7,6 +7,9 @@ order), joins ``orders`` and injects nulls by key modulus.
 
 from __future__ import annotations
 
+import hashlib
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,8 @@ def _null_every(key: Column, mod: int, value: Column) -> Column:
 
 
 _MATERIALIZED: dict = {}
+# re-entrant: building the split table materializes the campaign table first
+_LOCK = threading.RLock()
 
 
 def materialized(spark: SparkSession, name: str, source: str, build, partition_by: list[str] | None = None
@@ -45,9 +50,13 @@ def materialized(spark: SparkSession, name: str, source: str, build, partition_b
     ``adlift.materialize=false`` to always recompute."""
     if spark.conf.get("adlift.materialize", "true") != "true":
         return build()
-    import hashlib
-    from adlift.session import shared_path
     key = (spark.sparkContext.applicationId, name, source)
+    with _LOCK:  # concurrent callers in one driver build the table once
+        return spark.read.parquet(_materialize(spark, key, name, source, build, partition_by))
+
+
+def _materialize(spark, key, name, source, build, partition_by) -> str:
+    from adlift.session import shared_path
     if key not in _MATERIALIZED:
         tag = hashlib.md5(f"{source}|{spark.sparkContext.applicationId}".encode()).hexdigest()[:16]
         path = shared_path(spark, f"tables/{name}-{tag}")
@@ -56,7 +65,7 @@ def materialized(spark: SparkSession, name: str, source: str, build, partition_b
             w = w.partitionBy(*partition_by)
         w.parquet(path)
         _MATERIALIZED[key] = path
-    return spark.read.parquet(_MATERIALIZED[key])
+    return _MATERIALIZED[key]
 
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:

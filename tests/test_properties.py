@@ -307,3 +307,15 @@ def test_load_raw_csv_round_trip(spark, clean, tmp_dir):
     assert back.where(F.isnan("tv")).count() == 0
     assert back.where(F.col("tv").isNull()).count() >= clean.where(F.col(KEY) % 7 == 0).count()
     assert dict(back.dtypes)["sales"] == "double"
+
+
+def test_mlp_grid_search_on_folds(spark, clean):
+    from adlift.operators import mlp as MLP
+    folded = S.kfold(S.train_test_split(clean).where("split = 'train'"), k=2)
+    grid = MLP.grid_points({"layers": [(8,)], "alpha": [1e-4, 1e-3], "learningRate": [1e-2]})
+    res = MLP.cross_validate_mlp(folded, grid, n_folds=2, max_epochs=3)
+    assert len(res["results"]) == 2
+    assert res["best_params"] in grid
+    assert res["cv_rmse"] == min(r["cv_rmse"] for r in res["results"])
+    assert math.isfinite(res["cv_r2"])
+    assert len(MLP.grid_points()) == 16
