@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from adlift.constants import CATEGORIES, EXPLAIN_SAMPLE_N, FEATURES, KEY, NUMERIC, TARGET
+from adlift.constants import EXPLAIN_SAMPLE_N, FEATURES, KEY, TARGET
 from adlift.operators import explain as XP
 from adlift.operators import sqlmodels as SM
 from adlift.operators.prep import output_columns

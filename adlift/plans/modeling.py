@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from adlift.constants import FEATURES, KEY, NUMERIC, TARGET
+from adlift.constants import FEATURES, KEY, TARGET
 from adlift.functions.scalar import hash_unit
 from adlift.operators import bootstrap as BS
 from adlift.operators import evaluate as EV
@@ -17,7 +17,7 @@ from adlift.operators import train as TR
 from adlift.operators import treeshap as TS
 from adlift.operators.prep import feature_labels, output_columns
 from adlift.operators.profile import clean_target
-from adlift.operators.split import SPLIT_SALT, hash_sample
+from adlift.operators.split import hash_sample
 from adlift.plans.preparation import PREP_CTES, fold_table, prepared, split_table
 from adlift.plans.registry import query
 from adlift.sources.campaigns import campaigns
