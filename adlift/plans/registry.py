@@ -75,10 +75,30 @@ def round_doubles(df: DataFrame, cols, digits: int = DIGITS) -> DataFrame:
                            for c, d in _digits(cols, digits).items()})
 
 
+def _bigint_count_if(sql: str) -> str:
+    """Wrap every ``count_if(...)`` in ``CAST(... AS BIGINT)``: DuckDB returns
+    HUGEINT where Spark returns bigint."""
+    out, i, token = [], 0, "count_if("
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(token) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        inner = sql[j + len(token):k]
+        out.append(sql[i:j] + "CAST(count_if(" + _bigint_count_if(inner) + ") AS BIGINT)")
+        i = k + 1
+
+
 def oracle(body: str, round_cols, digits: int = DIGITS) -> str:
     """Full DuckDB statement: campaign CTEs, then ``body`` (which may add CTEs
     with a leading comma) and the rounding of ``round_cols``."""
-    body = body.strip()
+    body = _bigint_count_if(body.strip())
     if body.startswith(","):
         full = f"WITH {CAMPAIGNS_CTES}{body}"
     else:

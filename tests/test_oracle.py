@@ -30,6 +30,11 @@ def test_matches_oracle(spark, duck, key):
     dcols = [d[0] for d in res.description]
     drows = [dict(zip(dcols, r)) for r in res.fetchall()]
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    spark_to_duck = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                     "boolean": "BOOLEAN"}
+    for c, t in df.dtypes:
+        assert spark_to_duck.get(t, t) == dtypes[c], (c, t, dtypes[c])
     assert len(srows) == len(drows)
     cols = sorted(dcols)
     assert _rows(srows, cols) == _rows(drows, cols)
