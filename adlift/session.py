@@ -36,19 +36,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_FALLBACK_DIRS: dict = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the platform and only read here; a
-    private temporary folder is created only when the setting is absent,
-    which happens in local tests.
+    On a cluster the folder is set by the platform and only read here.  When
+    it is absent (local tests) the SparkContext's checkpoint folder is used,
+    or a private temporary folder is created once per application; the
+    setting itself is never modified (Spark rejects runtime changes of it).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        d = tempfile.mkdtemp(prefix="adlift-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        app = sc.applicationId
+        if app not in _FALLBACK_DIRS:
+            _FALLBACK_DIRS[app] = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="adlift-ckpt-")
+        d = _FALLBACK_DIRS[app]
+        if d.startswith("file:"):
+            d = d[len("file:"):]
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -64,3 +64,43 @@ def test_slugs(spark):
     assert slug_py("Random Forest") == "random_forest"
     df = spark.createDataFrame([("MLP (Deep Learning)",), ("Random Forest",)], "m string")
     assert [r[0] for r in df.select(slug("m")).collect()] == ["mlp_deep_learning", "random_forest"]
+
+
+def test_checkpoint_dir_read_not_written():
+    """The shared folder is read from the session; when unset, a folder is
+    registered with the SparkContext only (the setting itself is untouched)."""
+    from adlift.session import ensure_checkpoint_dir
+
+    class Conf:
+        def __init__(self, value):
+            self.value, self.writes = value, 0
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+        def set(self, key, value):
+            self.writes += 1
+
+    class Ctx:
+        applicationId = "app-test-unset"
+
+        def __init__(self):
+            self.dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        def __init__(self, value):
+            self.conf, self.sparkContext = Conf(value), Ctx()
+
+    shared = Session("/shared/ckpt")
+    assert ensure_checkpoint_dir(shared) == "/shared/ckpt"
+    assert shared.sparkContext.dir == "/shared/ckpt" and shared.conf.writes == 0
+    unset = Session(None)
+    d = ensure_checkpoint_dir(unset)
+    assert d and unset.sparkContext.dir == d and unset.conf.writes == 0
+    assert ensure_checkpoint_dir(unset) == d
