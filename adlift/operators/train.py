@@ -48,7 +48,7 @@ def estimators(label: str = TARGET):
     return {LR_NAME: lr, RF_NAME: rf, GBT_NAME: gbt}
 
 
-def pipeline(estimator) -> Pipeline:
+def ml_pipeline(estimator) -> Pipeline:
     return Pipeline(stages=[CampaignPreprocessor(outputCol="features"), estimator])
 
 
@@ -92,7 +92,7 @@ def cross_validate(folded: DataFrame, name: str, est, profile: str = "quick", pa
         # at sf0.1 on 8 cores: random forest 35 s at 2-4 concurrent fits, 52 s at 8)
         cores = folded.sparkSession.sparkContext.defaultParallelism
         parallelism = max(1, min(len(grid) * N_FOLDS, cores // 2))
-    pipe = pipeline(est)
+    pipe = ml_pipeline(est)
     maps = [{k: v for k, v in pm.items()} for pm, _ in grid]
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps if maps != [{}] else [{}], evaluator=ev,
@@ -112,7 +112,7 @@ def cross_validate(folded: DataFrame, name: str, est, profile: str = "quick", pa
 
 
 def fit(train: DataFrame, name: str, est, params: dict | None = None) -> PipelineModel:
-    pipe = pipeline(est.copy(params or {}))
+    pipe = ml_pipeline(est.copy(params or {}))
     return pipe.fit(train)
 
 

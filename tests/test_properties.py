@@ -131,8 +131,8 @@ def _brute_shapley(tree, x):
 
 def test_tree_shap_additivity_and_brute_force(spark, clean):
     from pyspark.ml.regression import GBTRegressor
-    from adlift.operators.train import pipeline
-    model = pipeline(GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=5, maxDepth=3,
+    from adlift.operators.train import ml_pipeline
+    model = ml_pipeline(GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=5, maxDepth=3,
                                   seed=42)).fit(clean)
     gbt = model.stages[-1]
     trees = TS.tree_arrays(TS.node_table(gbt, spark, "test-gbt"))
@@ -152,8 +152,8 @@ def test_tree_shap_additivity_and_brute_force(spark, clean):
 
 def test_coalition_shapley_efficiency(spark, clean):
     from pyspark.ml.regression import GBTRegressor
-    from adlift.operators.train import pipeline
-    model = pipeline(GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=5, maxDepth=3,
+    from adlift.operators.train import ml_pipeline
+    model = ml_pipeline(GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=5, maxDepth=3,
                                   seed=42)).fit(clean)
     bg = [r.asDict() for r in S.hash_sample(clean.select(KEY, *FEATURES), 10).collect()]
     cs = TS.coalition_shapley(clean.limit(30), bg, model, FEATURES, KEY).collect()
