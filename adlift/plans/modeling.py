@@ -259,3 +259,29 @@ def waterfall_values(spark, sf):
     long = ts.select(KEY, "base_value", F.inline(F.arrays_zip(names.alias("feature"),
                                                               F.col("contributions").alias("contribution"))))
     return XP.waterfall(long, chosen)
+
+
+@query("importance_synthesis_ml")
+def importance_synthesis_ml(spark, sf, repeats: int = 10):
+    """E1 + E2 + E3 + E5 + E9 on the boosted trees: gain importance, R2-drop
+    permutation importance of the raw features (10 repeats, test split) and
+    mean |TreeSHAP| per transformed feature, folded to raw features, joined
+    and normalised — the interpretability report of the fitted champion."""
+    from adlift.operators import explain as XP
+    ctx = _ctx(spark, sf)
+    model = ctx["models"][TR.GBT_NAME]
+    labels = feature_labels()
+    native = spark.createDataFrame(
+        [(f.lower(), float(v)) for f, v in zip(labels, _gbt(model).featureImportances.toArray())],
+        "feature string, native double")
+
+    def predict(d):
+        return model.transform(d).withColumnRenamed("prediction", "y_pred")
+
+    perm = XP.permutation_importance(ctx["test"], predict, FEATURES, repeats) \
+        .select("feature", F.col("importance_mean").alias("permutation"))
+    ts, _ = tree_shap_df(spark, sf)
+    names = F.array(*[F.lit(f.lower()) for f in labels])
+    long = ts.select(F.inline(F.arrays_zip(names.alias("feature"), F.col("contributions").alias("contribution"))))
+    shap = XP.shap_global(long).select("feature", F.col("mean_abs_contribution").alias("shap"))
+    return XP.importance_synthesis(native, perm, shap)
