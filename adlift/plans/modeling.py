@@ -285,3 +285,10 @@ def importance_synthesis_ml(spark, sf, repeats: int = 10):
     long = ts.select(F.inline(F.arrays_zip(names.alias("feature"), F.col("contributions").alias("contribution"))))
     shap = XP.shap_global(long).select("feature", F.col("mean_abs_contribution").alias("shap"))
     return XP.importance_synthesis(native, perm, shap)
+
+
+@query("evaluation_report_ml")
+def evaluation_report_ml(spark, sf):
+    """X17 + X18 + F5 on the fitted pipelines (linear regression, random forest,
+    boosted trees): train / test MAE, RMSE, R2, MAPE, gaps and verdict."""
+    return _ml_metrics(_ctx(spark, sf))
