@@ -219,7 +219,8 @@ def grouped_with_quantiles(df: DataFrame, groups: list[str], value, named_probs:
     if method == "auto":
         sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
         largest = sizes.agg(F.max("__n")).first()[0] or 0
-        method = "exact" if largest <= AUTO_EXACT_MAX_ROWS else "select"
+        bound = int(df.sparkSession.conf.get("adlift.quantile.exact_max_rows", str(AUTO_EXACT_MAX_ROWS)))
+        method = "exact" if largest <= bound else "select"
     if method != "select":
         aggs = [*others, *[quantile(value, p, method).alias(n) for n, p in named_probs.items()]]
         return df.groupBy(*groups).agg(*aggs)

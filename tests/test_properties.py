@@ -319,3 +319,15 @@ def test_mlp_grid_search_on_folds(spark, clean):
     assert res["cv_rmse"] == min(r["cv_rmse"] for r in res["results"])
     assert math.isfinite(res["cv_r2"])
     assert len(MLP.grid_points()) == 16
+
+
+def test_auto_quantiles_switch_to_selection(spark, clean):
+    """Above the configured group size, ``auto`` runs the bounded selection."""
+    from adlift.operators import profile as P
+    want = sorted(P.group_stats(clean, "influencer", TARGET, "exact").collect())
+    spark.conf.set("adlift.quantile.exact_max_rows", "10")
+    try:
+        got = sorted(P.group_stats(clean, "influencer", TARGET, "auto").collect())
+    finally:
+        spark.conf.unset("adlift.quantile.exact_max_rows")
+    assert [r["median"] for r in got] == pytest.approx([r["median"] for r in want], abs=1e-12)
