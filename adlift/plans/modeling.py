@@ -3,6 +3,8 @@ MLP / Shapley / bootstrap / footprint jobs (rows-only checks + property tests)."
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -32,10 +34,17 @@ CHAMPION_PARAMS = {TR.GBT_NAME: {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1},
 BACKGROUND_N = 50
 
 _CACHE: dict = {}
+_CACHE_LOCK = threading.Lock()
 
 
 def _ctx(spark, sf):
-    """Checkpointed split and the three fitted pipelines, once per (session, sf)."""
+    """Split and the three fitted pipelines, once per (session, sf); concurrent
+    callers wait for the first fit instead of repeating it."""
+    with _CACHE_LOCK:
+        return _build_ctx(spark, sf)
+
+
+def _build_ctx(spark, sf):
     k = (spark.sparkContext.applicationId, sf)
     if k in _CACHE:
         return _CACHE[k]
