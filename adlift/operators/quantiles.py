@@ -8,16 +8,10 @@ memory, rank error <= n / accuracy) for any size.
 ``method="select"`` (``grouped_quantiles``) is exact and bounded: a
 distributed selection per (group, rank), for tables where one group may hold
 a large share of all rows.
-``exact_quantiles`` is an exact, bounded-memory alternative for very large
-tables: a distributed selection that narrows a value window by bucket counts,
-one aggregate pass per round, each returning at most ``bins`` bucket counts
-to the driver.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,68 +45,12 @@ def median(col: str | Column, method: str = "exact") -> Column:
     return quantile(col, 0.5, method)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], bins: int = 65536,
-                    max_rounds: int = 8) -> list[float | None]:
-    """Exact linear-interpolation quantiles by iterative range narrowing.
-
-    Each round computes, in one distributed aggregate, the counts of values
-    in ``bins`` equal-width sub-ranges of the current window (plus the count
-    below it), which is a bounded result collected to the driver.  The
-    window shrinks to the bucket holding the target rank; once a bucket
-    holds few distinct values (or its width is zero) the values inside it
-    are read directly — never more than ``bins`` rows.
-    """
-    v = F.col(col)
-    base = df.where(v.isNotNull() & ~F.isnan(v)).select(v.cast("double").alias("v"))
-    stats = base.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-    if n == 0:
-        return [None for _ in probs]
-    out = []
-    for p in probs:
-        pos = (n - 1) * p
-        r0 = int(math.floor(pos))
-        frac = pos - r0
-        a = _kth(base, r0, n, lo, hi, bins, max_rounds)
-        b = a if frac == 0 or r0 + 1 >= n else _kth(base, r0 + 1, n, lo, hi, bins, max_rounds)
-        out.append(a + (b - a) * frac)
-    return out
-
-
-def _kth(base: DataFrame, k: int, n: int, lo: float, hi: float, bins: int, max_rounds: int) -> float:
-    """Value at 0-based rank ``k`` of column ``v``."""
-    below = 0  # rows strictly below the window [lo, hi]
-    for _ in range(max_rounds):
-        win = base.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        if hi == lo:
-            return lo
-        width = (hi - lo) / bins
-        b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(bins - 1))
-        counts = (win.groupBy(b.alias("b")).agg(F.count("*").alias("c"), F.min("v").alias("mn"),
-                                                  F.max("v").alias("mx"))
-                  .orderBy("b").collect())
-        run = below
-        for row in counts:
-            if run + row["c"] > k:
-                if row["mn"] == row["mx"]:
-                    return row["mn"]
-                if row["c"] <= bins:
-                    vals = sorted(r["v"] for r in win.where(
-                        (F.col("v") >= row["mn"]) & (F.col("v") <= row["mx"])).collect())
-                    return vals[k - run]
-                below, lo, hi = run, row["mn"], row["mx"]
-                break
-            run += row["c"]
-        else:
-            return hi
-    raise RuntimeError("quantile selection did not converge")
-
-
-# --------------------------------------------------------------------------
-# Exact grouped quantiles by distributed selection (bounded memory per task)
-# --------------------------------------------------------------------------
-SELECT_BINS = 4096
-SELECT_SMALL = 4096
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], bins: int = 4096,
+                    small: int = 4096) -> list[float | None]:
+    """Exact quantiles of one column as Python floats (a bounded result),
+    computed by the distributed selection of ``grouped_quantiles``."""
+    rows = {r["p"]: r["q"] for r in grouped_quantiles(df, col, probs, [], bins=bins, small=small).collect()}
+    return [rows.get(float(p)) for p in probs]
 
 
 def scalars(one_row: DataFrame) -> dict:
