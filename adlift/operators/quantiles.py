@@ -15,6 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Sub-ranges counted per selection round, and the window size ranked exactly.
+SELECT_BINS = 4096
+SELECT_SMALL = 4096
 
 # Largest group (rows) whose exact quantiles use Spark's ``percentile`` under
 # ``auto``; its buffers hold one entry per distinct value of the group.
