@@ -6,7 +6,7 @@ links with nothing.  Two documents link when ``100 * |x & y| >= 75 * |x | y|``.
 
 Plan, exact at every size:
 
-1. Copies collapse first: documents with equal sets form a class (128-bit
+1. Copies collapse first: documents with equal sets form a class (named by a 64-bit
    digest); everything below works on classes, so a group of copies costs one.
 2. Linked sets must share one of their ``n - ceil(0.75 n) + 1`` rarest shingles
    (prefix filter).  Frequent shingles, found by lossy counting over all texts
@@ -17,8 +17,8 @@ Plan, exact at every size:
    one class alone vanish there.  Lists of frequent shingles stay plain rows.
 4. Round one checks every list member against its list's hub (its smallest
    class): a group of m near copies costs about m checks, not m * m.  Round two
-   checks only pairs of one list whose ends are still in different components.
-   Pairs already connected need no check, so components are exact.
+   compares only members of one list that are still in different components, block
+   by block on bitmaps, lists with the same members once.  Pairs already connected need no check, so components are exact.
 5. A check is a bitmap bound on the overlap (exact upper bound), then
    T-occurrence search: the query's shingles select inverted lists over a block
    of candidate sets; the short lists are merged, the L longest are probed by
@@ -37,6 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ HEAVY_SHARE = 2e-6          # a shingle with this share of all shingles is order
 BUCKET_POSTINGS = 400_000   # prefix shingles per bucket
 FLUSH_POSTINGS = 1_000_000  # postings packed at once in a task
 BLOCK = 256                 # candidate sets per search block
+BROADCAST_ROWS = 500_000    # doc_ids (8 bytes) sent to every task; more are shuffled
+LIST_BLOCK = 512            # list members compared at once
 LONG_LIST_MU = 0.01         # DivideSkip: weight of log M in the number of long lists
 
 
@@ -64,44 +67,58 @@ def required(nx, ny):
     return -(-MIN_JACCARD * (nx + ny) // (100 + MIN_JACCARD))
 
 
-def _heavy_counts(k: int):
+def class_of(s: np.ndarray) -> int:
+    """64-bit name of a set; sets are equal when their names are."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
+SIGNATURE = "doc_id long, n int, cls long, bits binary, token long, c long"
+
+
+def _signatures(k: int):
+    """Per text its set's size, class and bitmap; per block of shingles those that are
+    frequent in it, with counts, and the block's size (token null)."""
     def run(batches):
         def flush(sets):
             h = np.concatenate(sets)
             tokens, counts = np.unique(h, return_counts=True)
             keep = counts >= max(2, math.ceil(HEAVY_SHARE * len(h)))
-            tokens = np.append(tokens[keep].view(np.int64), 0)
-            counts = np.append(counts[keep], len(h))
-            total = np.zeros(len(tokens), dtype=bool)
-            total[-1] = True
+            m = int(keep.sum()) + 1
             return pa.RecordBatch.from_arrays(
-                [pa.array(tokens), pa.array(counts.astype(np.int64)), pa.array(total)], ["token", "c", "total"])
+                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
+                 pa.array([*tokens[keep].view(np.int64).tolist(), None], pa.int64()),
+                 pa.array([*counts[keep].tolist(), len(h)], pa.int64())], ["doc_id", "n", "cls", "bits", "token", "c"])
 
         held, size = [], 0
         for b in batches:
-            for s in shingle_sets(b.column(0), k):
+            n, cls, bits = [], [], []
+            for s in shingle_sets(b.column("text"), k):
+                n.append(len(s))
+                cls.append(class_of(s) if len(s) else None)
+                bits.append(_bitmap(s) if len(s) else None)
                 held.append(s)
                 size += len(s)
                 if size >= 4 * FLUSH_POSTINGS:
                     yield flush(held)
                     held, size = [], 0
-        if held:
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()),
+                 pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], ["doc_id", "n", "cls", "bits", "token", "c"])
+        if size:
             yield flush(held)
     return run
 
 
-def heavy_shingles(docs: DataFrame, text: str, k: int = SHINGLE_WORDS) -> np.ndarray:
+def heavy_shingles(sig: DataFrame) -> np.ndarray:
     """Frequent shingles with counts, as a (2, m) array sorted by shingle.
 
     Lossy counting: each block of shingles reports those that reach
     ``HEAVY_SHARE`` of the block, so every shingle that reaches it overall is
     reported; of the summed counts those >= HEAVY_SHARE x total are kept, at most
     ``1 / HEAVY_SHARE`` rows whatever the input size."""
-    rows = docs.select(F.col(text)).mapInArrow(_heavy_counts(k), "token long, c long, total boolean")
-    sums = rows.groupBy("token", "total").agg(F.sum("c").alias("c")).checkpoint(eager=True)
-    total = (sums.where("total").agg(F.sum("c")).first()[0] or 0)
-    kept = sums.where(~F.col("total") & (F.col("c") >= max(2, math.ceil(HEAVY_SHARE * total))))
-    got = kept.select("token", "c").toArrow()
+    total = sig.where("n is null and token is null").agg(F.sum("c")).first()[0] or 0
+    sums = sig.where("token is not null").groupBy("token").agg(F.sum("c").alias("c"))
+    got = sums.where(F.col("c") >= max(2, math.ceil(HEAVY_SHARE * total))).toArrow()
     tokens = got.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return np.vstack([tokens[order], got.column("c").to_numpy().astype(np.uint64)[order]])
@@ -120,73 +137,77 @@ def _ordered_prefix(s: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.nd
     return s[order], freq[order] > 0
 
 
-def _signatures(k: int, heavy):
+def _postings(k: int, heavy, buckets: int):
+    """Postings of the prefix shingles, packed by bucket.  Rarer shingles go to bucket
+    shingle modulo ``buckets`` (their quotient's low 32 bits name them there - a chance
+    collision only adds a candidate).  Frequent ones keep their hash and are dealt by
+    class, so none of their lists meets in one task.  A task's copies of one class are
+    packed once per block."""
+    def pack(tok, cls, n, bucket, frequent):
+        order = np.argsort(bucket, kind="stable")
+        ids, first = np.unique(bucket[order], return_index=True)
+        cut = np.append(first, len(tok))
+        parts = [[a[order][cut[i]:cut[i + 1]].tobytes() for i in range(len(ids))] for a in (tok, cls, n)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids.astype(np.int32)), pa.array([frequent] * len(ids), pa.bool_()),
+             *[pa.array(p, pa.binary()) for p in parts]], ["bucket", "frequent", "tok", "cls", "n"])
+
+    def flush(held):
+        for rows, frequent in zip(zip(*held, strict=True), (False, True), strict=True):
+            size = [len(t) for t, _, _ in rows]
+            tok = np.concatenate([t for t, _, _ in rows])
+            cls = np.repeat(np.array([c for _, c, _ in rows], dtype=np.int64), size)
+            n = np.repeat(np.array([x for _, _, x in rows], dtype=np.int32), size)
+            if frequent:
+                yield pack(tok, cls, n, cls % buckets, True)
+            else:
+                yield pack((tok // np.uint64(buckets)).astype(np.uint32), cls, n, tok % np.uint64(buckets), False)
+
     def run(batches):
         hv = heavy.value
+        held, size, seen = [], 0, set()
         for b in batches:
-            n, cls, prefix, common = [], [], [], []
-            for s in shingle_sets(b.column(1), k):
-                n.append(len(s))
-                if len(s) == 0:
-                    cls.append(None), prefix.append(None), common.append(None)
+            for s in shingle_sets(b.column(0), k):
+                if len(s) == 0 or (c := class_of(s)) in seen:
                     continue
-                cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                seen.add(c)
                 t, f = _ordered_prefix(s, hv)
-                prefix.append(t[~f].tobytes())
-                common.append(t[f].view(np.int64).tolist() if f.any() else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(prefix, pa.binary()),
-                 pa.array(common, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix", "common"])
-    return run
-
-
-def _pack(buckets: int):
-    """Postings of the rarer prefix shingles, packed by bucket."""
-    def run(batches):
-        def flush(held):
-            tok = np.concatenate([h[0] for h in held])
-            cls = np.concatenate([h[1] for h in held])
-            n = np.concatenate([h[2] for h in held])
-            bucket = (tok % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            tok, cls, n, bucket = tok[order], cls[order], n[order], bucket[order]
-            ids, first = np.unique(bucket, return_index=True)
-            cut = np.append(first, len(tok))
-            parts = [[a[cut[i]:cut[i + 1]].tobytes() for i in range(len(ids))] for a in (tok, cls, n)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids), *[pa.array(p, pa.binary()) for p in parts]], ["bucket", "tok", "cls", "n"])
-
-        held, size = [], 0
-        for b in batches:
-            ns = b.column("n").to_numpy()
-            cl = b.column("cls").to_numpy()
-            for i, pre in enumerate(b.column("prefix").to_pylist()):
-                t = np.frombuffer(pre, dtype=np.uint64)
-                held.append((t, np.full(len(t), cl[i]), np.full(len(t), ns[i], dtype=np.int32)))
+                held.append(((t[~f], c, len(s)), (t[f], c, len(s))))
                 size += len(t)
                 if size >= FLUSH_POSTINGS:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
+                    yield from flush(held)
+                    held, size, seen = [], 0, set()
+        if held:
+            yield from flush(held)
     return run
 
 
+POSTINGS = "bucket int, frequent boolean, tok binary, cls binary, n binary"
 LIST_SCHEMA = "token long, cls long, n int"
 
 
+def _unpack(t: pa.Table, token_type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+                 for c, kind in (("tok", token_type), ("cls", np.int64), ("n", np.int32)))
+
+
 def _lists(t: pa.Table) -> pa.Table:
-    """Of one bucket: postings of shingles that two classes of fitting size hold."""
-    tok = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("tok").to_pylist()])
-    cls = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("cls").to_pylist()])
-    n = np.concatenate([np.frombuffer(x, np.int32) for x in t.column("n").to_pylist()])
-    order = np.lexsort((n, tok))
+    """Of one bucket: postings of rarer shingles that two classes of fitting size hold,
+    and the postings of frequent shingles as they are."""
+    c_tok, c_cls, c_n = _unpack(t.filter(t.column("frequent")), np.int64)
+    tok, cls, n = _unpack(t.filter(pc.invert(t.column("frequent"))), np.uint32)
+    order = np.lexsort((cls, n, tok))
     tok, cls, n = tok[order], cls[order], n[order]
+    new = np.ones(len(tok), dtype=bool)
+    new[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])  # copies met in several tasks
+    tok, cls, n = tok[new], cls[new], n[new]
     fits = (tok[1:] == tok[:-1]) & (100 * n[:-1].astype(np.int64) >= MIN_JACCARD * n[1:].astype(np.int64))
     keep = np.zeros(len(tok), dtype=bool)  # neighbours by size within a list: the nearest size decides
     keep[1:] |= fits
     keep[:-1] |= fits
-    return pa.table({"token": tok[keep].view(np.int64), "cls": cls[keep], "n": n[keep]})
+    bucket = int(t.column("bucket")[0].as_py()) if t.num_rows else 0
+    return pa.table({"token": np.concatenate([(bucket << 32) + tok[keep].astype(np.int64), c_tok]),
+                     "cls": np.concatenate([cls[keep], c_cls]), "n": np.concatenate([n[keep], c_n])})
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -207,15 +228,12 @@ def _fold(b: np.ndarray, size: int) -> np.ndarray:
 def _full_sets(k: int):
     def run(batches):
         for b in batches:
-            cls, n, bits, sets = [], [], [], []
-            for s in shingle_sets(b.column(0), k):
+            cls, sets = [], []
+            for s in shingle_sets(b.column("text"), k):
                 if len(s):
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    cls.append(int.from_bytes(d[:8], "big", signed=True))
-                    n.append(len(s)), bits.append(_bitmap(s)), sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(bits, pa.binary()),
-                 pa.array(sets, pa.binary())], ["cls", "n", "bits", "set"])
+                    cls.append(class_of(s))
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "set"])
     return run
 
 
@@ -232,6 +250,30 @@ def _bitmap_filter(batches):
         yield b.select(["x", "y"]).filter(ok)
 
 
+def _list_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Pairs between two blocks of one list (or within one) whose ends are in different
+    components and whose bitmap bound reaches the need."""
+    _, a, b = (x.as_py() for x in key)
+    blk, cls, comp = (t.column(c).to_numpy() for c in ("block", "cls", "comp"))
+    n = t.column("n").to_numpy().astype(np.int64)
+    raw = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
+    size = np.array([len(x) for x in raw])
+    folded = {w: np.stack([_fold(x, w) if len(x) >= w else np.zeros(w, np.uint64) for x in raw]) for w in np.unique(size)}
+    left, right = np.flatnonzero(blk == a), np.flatnonzero(blk == b)
+    xs, ys = [], []
+    for i in left:
+        j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= MIN_JACCARD * np.maximum(n[right], n[i]))]
+        j = j[cls[j] > cls[i]] if a == b else j
+        for w in np.unique(np.minimum(size[j], size[i])):
+            k = j[np.minimum(size[j], size[i]) == w]
+            diff = np.bitwise_count(folded[w][k] ^ folded[w][i]).sum(axis=1, dtype=np.int64)
+            k = k[(n[i] + n[k] - diff) // 2 >= required(n[i], n[k])]
+            xs.append(np.full(len(k), cls[i]))
+            ys.append(cls[k])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+    return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+
+
 def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Indexes of the sets whose overlap with ``query`` reaches ``required``.
 
@@ -277,12 +319,44 @@ def _search(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"u": np.full(len(found), left.column("query")[0].as_py(), dtype=np.int64), "v": found})
 
 
-def verified_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` among candidate pairs ``(x, y)`` of classes."""
-    bits = sets.select("cls", "n", "bits")
+def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs ``(x, y)`` that pass the bitmap bound."""
+    bits = classes.select("cls", "n", "bits")
     p = pairs.join(bits.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx")), "x")
     p = p.join(bits.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by")), "y")
-    p = written(p.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_bitmap_filter, "x long, y long"), "pairs")
+    return p.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_bitmap_filter, "x long, y long")
+
+
+def cross_pairs(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of members ``(token, cls, comp)`` of one list in different components that
+    pass the bitmap bound.  Lists with the same members are taken once; a long list is
+    dealt as pairs of blocks."""
+    member = F.xxhash64("cls")
+    lists = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"),
+                                      F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("h")) \
+        .where("lo <> hi").groupBy("m", "s", "h").agg(F.min("token").alias("token")) \
+        .select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("nb"))
+    d = rest.join(lists, "token").withColumn("block", F.pmod(member, F.col("nb")).cast("int"))
+    d = d.join(classes.select("cls", "n", "bits"), "cls")
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    d = d.select("token", "block", other.alias("o"), "cls", "comp", "n", "bits") \
+        .withColumn("a", F.least("block", "o")).withColumn("b", F.greatest("block", "o")).drop("o")
+    return d.groupBy("token", "a", "b").applyInArrow(_list_pairs, "x long, y long").distinct()
+
+
+def verified_links(pairs: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Links ``(u, v)`` among candidate pairs ``(x, y)`` of classes."""
+    p = written(pairs, "pairs")
+    # whole sets of the classes still in question, from their smallest document's text
+    ends = p.select(F.col("x").alias("cls")).union(p.select(F.col("y").alias("cls"))).distinct()
+    texts = written(classes.join(ends, "cls", "left_semi").select("rep", "cls"), "wanted")
+    wanted = texts.select("rep").distinct()
+    if texts.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    sets = sets.mapInArrow(_full_sets(k), "cls long, set binary")
+    # a doc_id on several rows may bring other classes, or one class twice
+    sets = written(sets.join(texts.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     # a query with many candidates is dealt over several blocks, its set once to each
     blocks = p.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     cand = p.join(blocks, "x").withColumn("block", F.pmod(F.xxhash64("y"), F.col("nb")).cast("int"))
@@ -300,55 +374,34 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    heavy = spark.sparkContext.broadcast(heavy_shingles(src, "text", k))
-    sig = written(src.mapInArrow(_signatures(k, heavy), "doc_id long, n long, digest binary, prefix binary, common array<long>"),
-                  "signatures")
-    cls = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")
-    reps = written(sig.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("common").alias("common")).select(cls.alias("cls"), "rep", "n", "prefix", "common"), "classes")
-
-    total = reps.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    buckets = max(1, total // 8 // BUCKET_POSTINGS)
-    packed = reps.select("cls", "n", "prefix").mapInArrow(_pack(buckets), "bucket int, tok binary, cls binary, n binary")
-    lists = packed.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA)
-    common = reps.where("common is not null").select(F.explode("common").alias("token"), "cls", "n")
-    lists = written(lists.unionByName(common), "lists")
-
-    active = lists.join(reps.select("cls", "rep"), "cls").select("rep").distinct()
-    sets = src.join(active, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = written(sets.mapInArrow(_full_sets(k), "cls long, n int, bits binary, set binary"), "sets")
-    sets = sets.join(lists.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]) \
-        if _repeated(src, sets) else sets
+    sig = written(src.mapInArrow(_signatures(k), SIGNATURE), "signatures")
+    heavy = spark.sparkContext.broadcast(heavy_shingles(sig))  # at most 1 / HEAVY_SHARE shingles
+    texts = sig.where("n is not null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("cls").alias("c"))
+    classes = written(sig.where("n > 0").groupBy("cls").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
+
+    total = classes.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
+    buckets = max(1, int(total // BUCKET_POSTINGS))
+    posted = src.select("text").mapInArrow(_postings(k, heavy, buckets), POSTINGS)
+    lists = written(posted.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA), "lists")
 
     fits = (F.least("n", "hub_n").cast("long") * 100 >= F.greatest("n", "hub_n").cast("long") * MIN_JACCARD)
     hubs = lists.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("h")).select(
         "token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
     listed = lists.join(hubs, "token").where("cls <> hub")
     first = listed.where(fits).select(F.col("hub").alias("x"), F.col("cls").alias("y")).distinct()
-    links = written(verified_links(first, sets), "links1")
+    links = written(verified_links(bounded_pairs(first, classes), src, classes, k), "links1")
     comp = written(connected_components(links), "comp1")
 
     # members of one list still in different components, hubs excepted
-    rest = listed.select("token", "cls", "n").join(comp, F.col("cls") == F.col("node"), "left") \
-        .select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    mixed = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rest = written(rest.join(mixed.select("token"), "token"), "mixed")
-    a = rest.select("token", F.col("cls").alias("x"), F.col("n").alias("n"), F.col("comp").alias("cx"))
-    b = rest.select("token", F.col("cls").alias("y"), F.col("n").alias("hub_n"), F.col("comp").alias("cy"))
-    second = a.join(b, "token").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & fits)
-    more = written(verified_links(second.select("x", "y").distinct(), sets), "links2")
+    rest = listed.select("token", "cls").join(comp, F.col("cls") == F.col("node"), "left") \
+        .select("token", "cls", F.coalesce("component", "cls").alias("comp")).distinct()
+    more = written(verified_links(cross_pairs(written(rest, "rest"), classes), src, classes, k), "links2")
     comp = written(connected_components(links.union(more)), "comp2")
 
-    classes = reps.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left") \
+    named = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left") \
         .select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
-    named = classes.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    classes = classes.join(named, "comp").select(F.col("cls").alias("c"), "component_id")
-    out = sig.select("doc_id", F.col("n").alias("n_shingles"), cls.alias("c")).join(classes, "c", "left")
+    ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = named.join(ids, "comp").select("cls", "component_id")
+    out = texts.join(named, F.col("c") == F.col("cls"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def _repeated(src: DataFrame, sets: DataFrame) -> bool:
-    """Whether some class has its set twice (a doc_id that occurs on several rows)."""
-    r = sets.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cls").alias("d")).first()
-    return r["n"] != r["d"]
