@@ -144,7 +144,8 @@ def _borders(tokens: DataFrame, plan: DataFrame) -> DataFrame:
 
 def occurrences(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Every row of ``rows`` (with ``doc_id`` and ``source``) once per epoch that takes it:
-    adds ``epoch``, ``block`` and ``slot``, its place in [0, 1) of the mixed order."""
+    adds ``epoch``, ``block`` and ``slot``, its place in the mixed order (0 to about 1: blocks
+    are even in hash space, not exactly so in tokens)."""
     d = _placed(rows, plan)
     key_before = F.coalesce(F.col("doc_id") < F.col("cut_key"), F.lit(False))
     in_last = F.col("cut_block").isNotNull() & (

@@ -38,7 +38,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlift.llm.textops import mix64
-from adlift.session import ensure_checkpoint_dir
 
 END_ID = 2
 SHARD_ROWS_BYTES = 32 << 20  # text bytes per shard, about
@@ -207,7 +206,7 @@ class ShardIndex:
 
 # -- Spark jobs -------------------------------------------------------------
 
-MANIFEST = "shard int, bin string, idx string, rows long, tokens long"
+MANIFEST = "shard int, bin string, idx string, rows long, tokens long, hi long"
 
 
 def _write_shard(folder: str, tokenizer: str, dtype: str, end_id: int):
@@ -247,7 +246,8 @@ def _write_shard(folder: str, tokenizer: str, dtype: str, end_id: int):
             f.write(ShardIndex.encode(np.concatenate(keys), np.concatenate(valid), starts, n, width))
         yield pa.RecordBatch.from_pydict({
             "shard": pa.array([shard], pa.int32()), "bin": [f"{name}.bin"], "idx": [f"{name}.idx"],
-            "rows": pa.array([len(n)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
+            "rows": pa.array([len(n)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()),
+            "hi": pa.array([int(k[-1]) if (k := np.concatenate(keys)[np.concatenate(valid)]).size else None], pa.int64())})
     return run
 
 
@@ -323,9 +323,44 @@ def read_tokens(spark: SparkSession, folder: str, digest: bool = False) -> DataF
     return m.mapInArrow(_read_shard(_uri(folder), not digest), schema)
 
 
+def _assign_shards(bounds: np.ndarray):
+    """First shard whose largest key is not below the wanted one."""
+    def run(batches):
+        for b in batches:
+            k = b.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.searchsorted(bounds, k).astype(np.int32))], ["key", "at"])
+    return run
+
+
+def _fetch(folder: str, shards: list[dict]):
+    def run(t: pa.Table) -> pa.Table:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        out: list[tuple] = []
+        at = t.column("at")[0].as_py() if t.num_rows else len(shards)
+        if at < len(shards):
+            r = shards[at]
+            with fs.open_input_file(f"{root}/{r['idx']}") as f:
+                index = ShardIndex.decode(f.readall())
+            keys = t.column("key").to_numpy()
+            starts, lengths = index.lookup(keys)
+            with fs.open_input_file(f"{root}/{r['bin']}") as f:
+                for k, s, n in zip(keys.tolist(), starts.tolist(), lengths.tolist(), strict=True):
+                    if s >= 0:
+                        f.seek(s * index.width)
+                        ids = np.frombuffer(f.read(n * index.width), f"<u{index.width}").astype("<u4")
+                        out.append((k, s + r["base"], n, ids.tobytes()))
+        cols = list(zip(*out, strict=True)) or [[], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["key", "start", "n_tokens", "ids"])
+    return run
+
+
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """Ranges of the wanted keys (column ``key``) found through the shard indexes.
-    Every shard is asked for its part of the keys: the keys are joined by the
-    shard's key range kept in the read index."""
-    ensure_checkpoint_dir(spark)
-    return read_tokens(spark, folder).join(keys.select("key"), "key", "left_semi")
+    """Ranges and ids of the wanted keys (column ``key``).  A key is sent to the shard
+    whose key range holds it; there the index gives its place and only its bytes are
+    read.  Keys that are not stored give no row."""
+    shards = [r.asDict() for r in manifest(spark, folder).where("hi is not null").orderBy("shard").collect()]  # one row per shard
+    bounds = np.array([r["hi"] for r in shards], dtype=np.int64)
+    wanted = keys.select(F.col("key").cast("long").alias("key")).where("key is not null").distinct()
+    wanted = wanted.mapInArrow(_assign_shards(bounds), "key long, at int")
+    return wanted.groupBy("at").applyInArrow(_fetch(_uri(folder), shards), RANGES)

@@ -173,7 +173,8 @@ class WarcReader(DataSourceReader):
         """Header predicates are kept; the others go back to Spark."""
         kinds = (EqualTo, In, StringStartsWith, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNotNull)
         for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None
+            column = getattr(f, "attribute", ())
+            name = column[0] if len(column) == 1 else None
             # payload_length comes from the HTTP head behind the WARC headers: parsed with the payload
             if isinstance(f, kinds) and name in HEADERS and name != "payload_length":
                 self.filters.append(f)
