@@ -42,15 +42,21 @@ from adlift.llm.textops import mix64
 END_ID = 2
 SHARD_ROWS_BYTES = 32 << 20  # text bytes per shard, about
 CACHE_PIECES = 300_000       # distinct pieces a worker remembers
+JOINED_WORDS = 1000          # new words encoded in one call
 MAGIC = b"TOKIDX01"
 GAMMA = 2.0                  # bits per key and level of the hash
 
 _SPACE_RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+_PART = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~])(?=\n)")
 
 
 class PieceEncoder:
-    """Texts to packed ids, one library call per distinct piece."""
+    """Texts to packed ids, one library call per distinct part of a piece.
+
+    A piece is further cut where the tokenizer's pattern always ends a token: between
+    a letter and ASCII punctuation and between punctuation and a line end.  The pieces
+    and parts met first are remembered, later ones only within their block."""
 
     def __init__(self, path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,18 +64,38 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype = dtype
-        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if not t else self._pieces(t) for t in texts]
-        new = list({p for s in split for p in s if p not in self.cache})
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = list({p for s in split for p in s})
-        got = self.tok.encode_batch_fast(new, add_special_tokens=False)
-        self.cache.update((p, np.array(e.ids, dtype=self.dtype).tobytes()) for p, e in zip(new, got, strict=True))
-        c = self.cache
-        return [b"".join([c[p] for p in s]) for s in split]
+        split = [self._pieces(t) if t else [] for t in texts]
+        known = self.pieces
+        cut = {p: _PART.split(p) for s in split for p in s if p not in known}
+        new = list({x for parts in cut.values() for x in parts if x not in self.parts})
+        fresh = self._encode_parts(new)
+        have = self.parts
+        late = {p: b"".join([fresh[x] if x in fresh else have[x] for x in parts]) for p, parts in cut.items()}
+        if len(have) < CACHE_PIECES:
+            have.update(fresh)
+        if len(known) < CACHE_PIECES:
+            known.update(late)
+        return [b"".join([known[p] if p in known else late[p] for p in s]) for s in split]
+
+    def _encode_parts(self, new: list[str]) -> dict[str, bytes]:
+        """Plain words (a space and letters: one token word each) go joined, many to a call."""
+        out: dict[str, bytes] = {}
+        words = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        groups = [words[i:i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        for g, e in zip(groups, self.tok.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            at = np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1))
+            if len(at) == len(g):
+                ends = [*at[1:].tolist(), len(ids)]
+                out.update((x, ids[a:b].tobytes()) for x, a, b in zip(g, at.tolist(), ends, strict=True))
+        rest = [x for x in new if x not in out]
+        got = self.tok.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((x, np.array(e.ids, dtype=self.dtype).tobytes()) for x, e in zip(rest, got, strict=True))
+        return out
 
     @staticmethod
     def _pieces(t: str) -> list[str]:
