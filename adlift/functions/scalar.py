@@ -74,22 +74,29 @@ def gap_rmse_pct(rmse_train, rmse_test) -> Column:
 
 
 def verdict(r2_train, r2_test, rmse_train, rmse_test) -> Column:
-    """OVERFITTING / UNDERFITTING / OK on the unrounded gaps."""
+    """OVERFITTING / UNDERFITTING / OK on the unrounded gaps (F5).  A positive test RMSE
+    over a train RMSE of 0 is an infinite relative gap."""
     g2 = gap_r2(r2_train, r2_test)
     gr = gap_rmse_pct(rmse_train, rmse_test)
-    return (F.when((g2 > OVERFIT_GAP_R2) | (gr > OVERFIT_GAP_RMSE_PCT), "OVERFITTING")
+    infinite = (_c(rmse_train) == 0) & (_c(rmse_test) > 0)
+    return (F.when((g2 > OVERFIT_GAP_R2) | (gr > OVERFIT_GAP_RMSE_PCT) | infinite, "OVERFITTING")
             .when((g2 < UNDERFIT_GAP_R2) | (gr < UNDERFIT_GAP_RMSE_PCT), "UNDERFITTING")
             .otherwise("OK"))
 
 
 # ------------------------------------------------------------------- slug
+_SLUG_FROM, _SLUG_TO = " ()", "_"  # the one rule: character for character, the rest removed
+
+
 def slug(name) -> Column:
     """lower case, spaces to '_', parentheses removed."""
-    return F.translate(F.replace(F.lower(_c(name)), F.lit(" "), F.lit("_")), "()", "")
+    return F.translate(F.lower(_c(name)), _SLUG_FROM, _SLUG_TO)
 
 
 def slug_py(name: str) -> str:
-    return name.lower().replace(" ", "_").replace("(", "").replace(")", "")
+    """``slug`` of a Python string."""
+    cut = len(_SLUG_TO)
+    return name.lower().translate(str.maketrans(_SLUG_FROM[:cut], _SLUG_TO, _SLUG_FROM[cut:]))
 
 
 # -------------------------------------------------------------- footprint

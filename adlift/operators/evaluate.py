@@ -18,7 +18,9 @@ from adlift.operators.sqlmodels import r2_expr
 
 
 def regression_metrics(pred: DataFrame, by: list[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """n, MAE, RMSE, R2 (1 - SSE / (n * var_pop)), MAPE % with the |y| guard."""
+    """n, MAE, RMSE, R2 (1 - SSE / (n * var_pop)), MAPE % with the |y| guard, over the
+    rows that have both truth and prediction."""
+    pred = pred.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     err = F.col(y) - F.col(p)
     return pred.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),

@@ -1,13 +1,16 @@
 """Quantile aggregates with an explicit accuracy choice.
 
-``method="exact"`` is Spark's ``percentile`` (linear interpolation, equal to
-pandas and DuckDB ``quantile_cont``); its partial buffers keep one entry per
-distinct value, so it suits tables up to ~1e8 distinct values per group.
-``method="approx"`` is ``percentile_approx`` (Greenwald-Khanna sketch, bounded
-memory, rank error <= n / accuracy) for any size.
-``method="select"`` (``grouped_quantiles``) is exact and bounded: a
-distributed selection per (group, rank), for tables where one group may hold
-a large share of all rows.
+``method="select"`` (the default, ``grouped_quantiles``) is exact and bounded at
+every size: a distributed selection per (group, rank) in which no task holds more
+than ``SELECT_SMALL`` values of one group.
+``method="exact"`` is Spark's ``percentile`` (the same linear interpolation); its
+buffers keep one entry per distinct value, so it is for tables known to be small.
+``method="approx"`` is ``percentile_approx`` (bounded sketch, rank error
+<= n / accuracy), chosen explicitly only.
+
+All methods ignore NULL and NaN values, treat a NULL group as a group, order
+infinities as the extremes they are, and give a row with NULL quantiles for a
+group without values.
 """
 
 from __future__ import annotations
@@ -19,27 +22,19 @@ from pyspark.sql import functions as F
 SELECT_BINS = 4096
 SELECT_SMALL = 4096
 
-# Largest group (rows) whose exact quantiles use Spark's ``percentile`` under
-# ``auto``; its buffers hold one entry per distinct value of the group.
-AUTO_EXACT_MAX_ROWS = 5_000_000
-
 
 def default_method() -> str:
-    """Session-wide choice (``adlift.quantile.method`` = auto | exact | select | approx).
-    ``auto`` (default) checks the largest group size first: Spark's exact
-    ``percentile`` up to ``AUTO_EXACT_MAX_ROWS`` rows per group, exact
-    selection (``grouped_quantiles``, bounded memory per task) beyond;
-    ``approx`` is a bounded sketch."""
+    """Session-wide choice: ``adlift.quantile.method`` = select (default) | exact | approx."""
     from pyspark.sql import SparkSession
     s = SparkSession.getActiveSession()
-    return s.conf.get("adlift.quantile.method", "auto") if s is not None else "auto"
+    return s.conf.get("adlift.quantile.method", "select") if s is not None else "select"
 
 
 def quantile(col: str | Column, p, method: str | None = "exact", accuracy: int = 100000) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    if method is None or method == "session":
-        method = default_method()
-    if method == "approx":  # "auto" / "select" need a multi-pass operator: see grouped_with_quantiles
+    """One-aggregate quantile; for the bounded method see ``grouped_with_quantiles``."""
+    c = (F.col(col) if isinstance(col, str) else col).cast("double")
+    c = F.when(~F.isnan(c), c)
+    if method == "approx":
         return F.percentile_approx(c, p, accuracy)
     return F.percentile(c, p)
 
@@ -48,8 +43,8 @@ def median(col: str | Column, method: str = "exact") -> Column:
     return quantile(col, 0.5, method)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], bins: int = 4096,
-                    small: int = 4096) -> list[float | None]:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], bins: int = SELECT_BINS,
+                    small: int = SELECT_SMALL) -> list[float | None]:
     """Exact quantiles of one column as Python floats (a bounded result),
     computed by the distributed selection of ``grouped_quantiles``."""
     rows = {r["p"]: r["q"] for r in grouped_quantiles(df, col, probs, [], bins=bins, small=small).collect()}
@@ -67,24 +62,39 @@ def scalars(one_row: DataFrame) -> dict:
     return {c: F.lit(row[c]).cast(types[c]) for c in one_row.columns}
 
 
+def _place(v: str) -> Column:
+    """Monotone place of ``v`` in [0, 1] of its target's range: by magnitude while the
+    range holds a sign change, zero, or magnitudes 16 apart, then linear; so a few rounds
+    reach neighbouring doubles however the values are spread."""
+    def clip(c: str) -> Column:
+        return F.greatest(F.least(F.col(c), F.lit(1.7e308)), F.lit(-1.7e308)) / 2
+
+    def magnitude(x: Column) -> Column:
+        return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + 746))
+    lo, hi, x = clip("__lo"), clip("__hi"), clip(v)
+    wide = ((lo <= 0) & (hi >= 0)) | (hi > 16 * lo) & (lo > 0) | (lo < 16 * hi) & (hi < 0)
+    linear = (x - lo) / (hi - lo)
+    return F.when(wide, (magnitude(x) - magnitude(lo)) / (magnitude(hi) - magnitude(lo))).otherwise(linear)
+
+
 def grouped_quantiles(df: DataFrame, value: str, probs: list[float], groups: list[str] | None = None,
-                      bins: int = SELECT_BINS, small: int = SELECT_SMALL, max_rounds: int = 12) -> DataFrame:
-    """Exact linear-interpolation quantiles per group: ``(groups..., p, q)``.
-
-    Equal to Spark's ``percentile`` (same interpolation formula) but no task
-    ever holds more than ``small`` values of one group:
-
-    * pass 0: n, min, max per group; each (group, p) needs the order
-      statistics at ranks floor((n-1)p) and the next one;
-    * each round joins the rows with the active (group, rank) windows
-      (one row per target: broadcast after a size check), counts rows per
-      ``bins`` equal-width sub-range, and a window over that count table
-      (partitioned by target, <= ``bins`` rows) picks the sub-range that
-      holds the rank — a value range 4096 times narrower per round;
-    * a sub-range with one distinct value answers at once (heavy duplicates,
-      a hot value), one with <= ``small`` rows is ranked exactly inside a
-      window partitioned by target.
-    The loop state (one row per target) is checkpointed each round.
+                      bins: int = SELECT_BINS, small: int = SELECT_SMALL) -> DataFrame:
+    """Exact linear-interpolation quantiles per group with values: ``(groups..., p, q)``.
+
+    Equal to Spark's ``percentile`` (same interpolation formula) but no task ever
+    holds more than ``small`` values of one group.  Each (group, p) needs the order
+    statistics at ranks floor((n-1)p) and the next one.  Per round:
+
+    * targets whose range holds <= ``small`` values are ranked exactly in a window
+      partitioned by target;
+    * for the others the rows of the range are counted per ``bins`` sub-ranges
+      (``_place``; infinities in sub-ranges of their own), and a window over that count
+      table picks the sub-range that holds the rank; one distinct value there answers
+      at once.
+
+    Ranges shrink strictly, so the rounds end by themselves.  Groups are compared as
+    structs, so NULL groups match.  The loop state (one row per target) is
+    checkpointed each round.
     """
     from adlift.operators.joins import join_small
     from adlift.session import ensure_checkpoint_dir
@@ -92,88 +102,75 @@ def grouped_quantiles(df: DataFrame, value: str, probs: list[float], groups: lis
 
     ensure_checkpoint_dir(df.sparkSession)
     groups = list(groups or [])
-    g_cols = groups or ["__all"]
+    g = F.struct(*[F.col(c) for c in groups]) if groups else F.struct(F.lit(0).alias("all"))
     v = F.col(value).cast("double")
-    base = df.where(F.col(value).isNotNull() & ~F.isnan(v)).select(
-        *[F.col(c) for c in groups], *([] if groups else [F.lit(0).alias("__all")]), v.alias("__v"))
-    stats = base.groupBy(*g_cols).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
-                                      F.max("__v").alias("__hi"))
-    targets = (stats.select(*g_cols, "__n", "__lo", "__hi",
-                            F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    base = df.where(v.isNotNull() & ~F.isnan(v)).select(g.alias("__g"), v.alias("__v"))
+    stats = base.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    targets = (stats.select("__g", "__n", "__lo", "__hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
                .withColumn("__pos", (F.col("__n") - 1).cast("double") * F.col("p"))
                .withColumn("__k0", F.floor("__pos").cast("long"))
-               .withColumn("__k1", F.ceil("__pos").cast("long")))
-    ks = (targets.select(*g_cols, "__lo", "__hi", F.explode(F.array_distinct(F.array("__k0", "__k1"))).alias("__k"))
-          .distinct())
-    state = ks.select(*g_cols, "__k", "__lo", "__hi", F.lit(0).cast("long").alias("__below"),
-                      F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).alias("__val"))
-    state = state.checkpoint(eager=True)
-    for _ in range(max_rounds):
-        active = state.where(F.col("__val").isNull())
-        if active.limit(1).count() == 0:
+               .withColumn("__k1", F.ceil("__pos").cast("long"))).checkpoint(eager=True)
+    fields = ["__g", "__k", "__lo", "__hi", "__below", "__c"]
+    solved = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).alias("__val")
+    state = targets.select("__g", F.explode(F.array_distinct(F.array("__k0", "__k1"))).alias("__k"), "__lo", "__hi",
+                           F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__c")).distinct()
+    state = state.select(*fields, solved).checkpoint(eager=True)
+    in_range = (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))
+    inf = float("inf")
+    while True:
+        todo = state.where(F.col("__val").isNull()).select(*fields)
+        left = {r["few"]: r["n"] for r in todo.groupBy((F.col("__c") <= small).alias("few")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not left:
             break
-        rows = join_small(base, active.select(*g_cols, "__k", "__lo", "__hi", "__below"), g_cols) \
-            .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-        width = (F.col("__hi") - F.col("__lo"))
-        b = F.least(F.floor((F.col("__v") - F.col("__lo")) / width * bins), F.lit(bins - 1)).cast("long")
-        cnt = rows.groupBy(*g_cols, "__k", "__below", b.alias("__b")).agg(
-            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__mn"), F.max("__v").alias("__mx"))
-        w = Window.partitionBy(*g_cols, "__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        cnt = cnt.withColumn("__before", F.col("__below") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
-        pick = cnt.where((F.col("__before") <= F.col("__k")) & (F.col("__k") < F.col("__before") + F.col("__c")))
-        pick = pick.select(*g_cols, "__k", F.col("__mn").alias("__lo"), F.col("__mx").alias("__hi"),
-                           F.col("__before").alias("__below"), "__c").checkpoint(eager=True)
-        single = pick.where(F.col("__lo") == F.col("__hi")).select(
-            *g_cols, "__k", "__lo", "__hi", "__below", F.col("__lo").alias("__val"))
-        few = pick.where((F.col("__lo") < F.col("__hi")) & (F.col("__c") <= small))
-        many = pick.where((F.col("__lo") < F.col("__hi")) & (F.col("__c") > small)).select(
-            *g_cols, "__k", "__lo", "__hi", "__below", F.lit(None).cast("double").alias("__val"))
-        # exact rank inside the small windows: each target sorts <= `small` values
-        in_few = join_small(base, few.select(*g_cols, "__k", "__lo", "__hi", "__below"), g_cols) \
-            .where((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-        rk = Window.partitionBy(*g_cols, "__k").orderBy("__v")
-        solved = (in_few.withColumn("__r", F.row_number().over(rk) - 1 + F.col("__below"))
-                  .where(F.col("__r") == F.col("__k"))
-                  .select(*g_cols, "__k", "__lo", "__hi", "__below", F.col("__v").alias("__val")))
         done = state.where(F.col("__val").isNotNull())
-        state = done.unionByName(single).unionByName(solved).unionByName(many).checkpoint(eager=True)
-    else:
-        raise RuntimeError("quantile selection did not converge")
-    vals = state.select(*g_cols, "__k", "__val")
-    lo_v = vals.select(*g_cols, F.col("__k").alias("__k0"), F.col("__val").alias("__v0"))
-    hi_v = vals.select(*g_cols, F.col("__k").alias("__k1"), F.col("__val").alias("__v1"))
-    t = targets.join(lo_v, [*g_cols, "__k0"]).join(hi_v, [*g_cols, "__k1"])
+        if left.get(True):
+            few = join_small(base, todo.where(F.col("__c") <= small), "__g").where(in_range)
+            rank = Window.partitionBy("__g", "__k").orderBy("__v")
+            few = few.withColumn("__r", F.row_number().over(rank) - 1 + F.col("__below")).where(F.col("__r") == F.col("__k"))
+            done = done.unionByName(few.select(*fields, F.col("__v").alias("__val")))
+        if left.get(False):
+            rows = join_small(base, todo.where(F.col("__c") > small), "__g").where(in_range)
+            b = (F.when(F.col("__v") == -inf, -1).when(F.col("__v") == inf, bins)
+                 .otherwise(F.least(_place("__v") * bins, F.lit(float(bins - 1))))).cast("long")
+            cnt = rows.groupBy("__g", "__k", "__below", b.alias("__b")).agg(
+                F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__mn"), F.max("__v").alias("__mx"))
+            w = Window.partitionBy("__g", "__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+            cnt = cnt.withColumn("__before", F.col("__below") + F.coalesce(F.sum("__n").over(w), F.lit(0)))
+            pick = cnt.where((F.col("__before") <= F.col("__k")) & (F.col("__k") < F.col("__before") + F.col("__n")))
+            pick = pick.select("__g", "__k", F.col("__mn").alias("__lo"), F.col("__mx").alias("__hi"),
+                               F.col("__before").alias("__below"), F.col("__n").alias("__c"))
+            done = done.unionByName(pick.select(*fields, solved))
+        state = done.checkpoint(eager=True)
+    vals = state.select("__g", "__k", "__val")
+    t = targets.join(vals.select("__g", F.col("__k").alias("__k0"), F.col("__val").alias("__v0")), ["__g", "__k0"]) \
+        .join(vals.select("__g", F.col("__k").alias("__k1"), F.col("__val").alias("__v1")), ["__g", "__k1"])
     # Spark's percentile interpolation: (hi - pos) * v0 + (pos - lo) * v1
-    q = F.when(F.col("__k0") == F.col("__k1"), F.col("__v0")).otherwise(
+    q = F.when((F.col("__k0") == F.col("__k1")) | (F.col("__v0") == F.col("__v1")), F.col("__v0")).otherwise(
         (F.col("__k1").cast("double") - F.col("__pos")) * F.col("__v0")
         + (F.col("__pos") - F.col("__k0").cast("double")) * F.col("__v1"))
-    return t.select(*groups, "p", q.alias("q"))
+    return t.select(*[F.col(f"__g.{c}").alias(c) for c in groups], "p", q.alias("q"))
 
 
 def grouped_with_quantiles(df: DataFrame, groups: list[str], value, named_probs: dict, others: list,
                            method: str | None = None) -> DataFrame:
     """``groupBy(groups).agg(*others, quantiles...)`` with the quantiles named by
     ``named_probs`` ({alias: p}).  exact / approx: one aggregate; select: the
-    other aggregates plus ``grouped_quantiles`` joined on the group (both one
+    other aggregates plus ``grouped_quantiles`` joined on the group, null-safe (both one
     row per group)."""
     method = default_method() if method in (None, "session") else method
-    if method == "auto":
-        sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-        largest = sizes.agg(F.max("__n")).first()[0] or 0
-        bound = int(df.sparkSession.conf.get("adlift.quantile.exact_max_rows", str(AUTO_EXACT_MAX_ROWS)))
-        method = "exact" if largest <= bound else "select"
     if method != "select":
         aggs = [*others, *[quantile(value, p, method).alias(n) for n, p in named_probs.items()]]
         return df.groupBy(*groups).agg(*aggs)
     vname = value if isinstance(value, str) else "__qv"
     src = df if isinstance(value, str) else df.withColumn("__qv", value)
     qt = grouped_quantiles(src, vname, list(named_probs.values()), groups)
-    wide = qt.groupBy(*(groups or [])).agg(
+    wide = qt.groupBy(*groups).agg(
         *[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(n) for n, p in named_probs.items()])
-    if not others:
-        return wide
-    agg = src.groupBy(*groups).agg(*others)
-    if groups:
-        return agg.join(wide, groups, "left")
-    one = F.lit(0)
-    return agg.withColumn("__one", one).join(wide.withColumn("__one", one), "__one").drop("__one")
+    if not groups:
+        return src.agg(*others, F.count(F.lit(1)).alias("__rows")).join(F.broadcast(wide)).drop("__rows")  # two one-row tables
+    agg = src.groupBy(*groups).agg(*others, F.count(F.lit(1)).alias("__rows")).drop("__rows")
+    same = F.lit(True)
+    for i, c in enumerate(groups):
+        wide = wide.withColumnRenamed(c, f"__w{i}")
+        same = same & F.col(c).eqNullSafe(F.col(f"__w{i}"))
+    return agg.join(wide, same, "left").drop(*[f"__w{i}" for i in range(len(groups))])

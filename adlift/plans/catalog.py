@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-from adlift.plans import profiling  # noqa: F401
+from adlift.plans import evaluation, explanation, modeling, preparation, profiling, scoring  # noqa: F401
 from adlift.plans.registry import ORACLES, QUERIES
 
-_TOPICS = ["adlift.plans.preparation", "adlift.plans.evaluation", "adlift.plans.explanation",
-           "adlift.plans.scoring", "adlift.plans.modeling"]
-
-for _m in _TOPICS:
-    try:
-        __import__(_m)
-    except ModuleNotFoundError as e:  # topic not written yet
-        if e.name != _m:
-            raise
-
 
 def queries() -> dict:
     return dict(QUERIES)

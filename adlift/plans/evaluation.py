@@ -47,6 +47,7 @@ er AS (SELECT t.model, t.mae AS mae_train, s.mae AS mae_test, t.rmse AS rmse_tra
               t.r2 AS r2_train, s.r2 AS r2_test, s.mape AS mape_test, t.r2 - s.r2 AS gap_r2,
               CASE WHEN t.rmse <> 0 THEN (s.rmse - t.rmse) / t.rmse * 100 END AS gap_rmse_pct,
               CASE WHEN t.r2 - s.r2 > {OVERFIT_GAP_R2} OR (s.rmse - t.rmse) / t.rmse * 100 > {OVERFIT_GAP_RMSE_PCT}
+                        OR (t.rmse = 0 AND s.rmse > 0)
                    THEN 'OVERFITTING'
                    WHEN t.r2 - s.r2 < {UNDERFIT_GAP_R2} OR (s.rmse - t.rmse) / t.rmse * 100 < {UNDERFIT_GAP_RMSE_PCT}
                    THEN 'UNDERFITTING' ELSE 'OK' END AS verdict

@@ -13,7 +13,6 @@ from adlift.constants import FEATURES, KEY, TARGET
 from adlift.functions.scalar import hash_unit
 from adlift.operators import bootstrap as BS
 from adlift.operators import evaluate as EV
-from adlift.operators import footprint as FP
 from adlift.operators import mlp as MLP
 from adlift.operators import train as TR
 from adlift.operators import treeshap as TS
@@ -241,16 +240,6 @@ def trend_band(spark, sf):
     return BS.trend_band(clean_target(campaigns(spark, sf)), "tv", TARGET)
 
 
-# ------------------------------------------------------------- footprint
-@query("footprint_report")
-def footprint_report(spark, sf):
-    """F11 + F12 + D29 + U1: energy / CO2 of the measured fit times of the
-    session's pipelines, sorted by CO2, with the TOTAL row."""
-    ctx = _ctx(spark, sf)
-    runs = spark.createDataFrame([(n, float(t)) for n, t in ctx["times"].items()], "model string, time_sec double")
-    return FP.footprint_report(runs)
-
-
 @query("waterfall_values")
 def waterfall_values(spark, sf):
     """Waterfall bars (sorted contributions, running total from the base

@@ -42,20 +42,21 @@ _FALLBACK_DIRS: dict = {}
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is set by the platform and only read here.  When
-    it is absent (local tests) the SparkContext's checkpoint folder is used,
-    or a private temporary folder is created once per application; the
-    setting itself is never modified (Spark rejects runtime changes of it).
+    On a cluster the folder is set by the platform and only read here; without it
+    this raises.  On a local master the SparkContext's checkpoint folder is used, or
+    a private temporary folder is created once per application; the setting itself is
+    never modified (Spark rejects runtime changes of it).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not d:
         app = sc.applicationId
         if app not in _FALLBACK_DIRS:
-            _FALLBACK_DIRS[app] = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="adlift-ckpt-")
+            have = sc.getCheckpointDir()
+            if not have and not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            _FALLBACK_DIRS[app] = have or tempfile.mkdtemp(prefix="adlift-ckpt-")
         d = _FALLBACK_DIRS[app]
-        if d.startswith("file:"):
-            d = d[len("file:"):]
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d

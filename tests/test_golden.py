@@ -83,6 +83,7 @@ def test_checkpoint_dir_read_not_written():
 
     class Ctx:
         applicationId = "app-test-unset"
+        master = "local[2]"
 
         def __init__(self):
             self.dir = None
@@ -104,3 +105,7 @@ def test_checkpoint_dir_read_not_written():
     d = ensure_checkpoint_dir(unset)
     assert d and unset.sparkContext.dir == d and unset.conf.writes == 0
     assert ensure_checkpoint_dir(unset) == d
+    cluster = Session(None)
+    cluster.sparkContext.applicationId, cluster.sparkContext.master = "app-test-cluster", "yarn"
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(cluster)

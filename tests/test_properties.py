@@ -321,13 +321,42 @@ def test_mlp_grid_search_on_folds(spark, clean):
     assert len(MLP.grid_points()) == 16
 
 
-def test_auto_quantiles_switch_to_selection(spark, clean):
-    """Above the configured group size, ``auto`` runs the bounded selection."""
-    from adlift.operators import profile as P
-    want = sorted(P.group_stats(clean, "influencer", TARGET, "exact").collect())
-    spark.conf.set("adlift.quantile.exact_max_rows", "10")
-    try:
-        got = sorted(P.group_stats(clean, "influencer", TARGET, "auto").collect())
-    finally:
-        spark.conf.unset("adlift.quantile.exact_max_rows")
-    assert [r["median"] for r in got] == pytest.approx([r["median"] for r in want], abs=1e-12)
+@pytest.mark.parametrize("method", ["select", "exact"])
+def test_quantile_rules_hold_for_every_method(spark, method):
+    """NaN and NULL values are ignored, NULL is a group, a group without values has a row,
+    infinities are the extremes."""
+    from adlift.operators.quantiles import grouped_with_quantiles
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", float(x)) for x in range(9)] + [("a", nan)] * 4 + [("a", None)] + [(None, 1.0), (None, 3.0)]
+    rows += [("empty", None), ("nan", nan)] + [("inf", x) for x in (-inf, -inf, 0.0, 5.0, inf)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["lo"], r["m"], r["hi"]) for r in grouped_with_quantiles(
+        df, ["g"], "x", {"lo": 0.0, "m": 0.5, "hi": 1.0}, [], method).collect()}
+    assert got == {"a": (0.0, 4.0, 8.0), None: (1.0, 2.0, 3.0), "empty": (None,) * 3, "nan": (None,) * 3,
+                   "inf": (-inf, 0.0, inf)}
+    none = grouped_with_quantiles(df.limit(0), [], "x", {"m": 0.5}, [F.count("x").alias("n")], method).collect()
+    assert [tuple(r) for r in none] == [(0, None)]
+
+
+def test_selection_rounds_on_spread_values(spark):
+    """Many narrowing rounds: values over hundreds of decades, tiny bins and windows."""
+    from adlift.operators.quantiles import grouped_quantiles
+    df = spark.range(2000).selectExpr("pow(10.0D, cast(id % 601 as double) - 300) * if(id % 2 = 0, 1, -1) as x")
+    want = df.agg(*[F.percentile("x", p).alias(str(p)) for p in (0.1, 0.5, 0.77)]).first()
+    got = {r["p"]: r["q"] for r in grouped_quantiles(df, "x", [0.1, 0.5, 0.77], bins=64, small=50).collect()}
+    for p in (0.1, 0.5, 0.77):
+        assert got[p] == pytest.approx(want[str(p)], rel=1e-12)
+
+
+def test_metrics_use_complete_pairs(spark):
+    from adlift.operators.evaluate import regression_metrics
+    rows = [("m", 1.0, 1.5), ("m", 2.0, 2.0), ("m", 4.0, None), ("m", None, 3.0)]
+    r = regression_metrics(spark.createDataFrame(rows, "model string, y_true double, y_pred double"), ["model"]).first()
+    assert r["n"] == 2 and r["r2"] == pytest.approx(1 - 0.25 / 0.5)
+
+
+def test_verdict_of_a_perfect_fit_on_train(spark):
+    from adlift.functions.scalar import verdict
+    df = spark.createDataFrame([(1.0, 0.995, 0.0, 5.0), (1.0, 1.0, 0.0, 0.0)], "a double, b double, c double, d double")
+    assert [r[0] for r in df.select(verdict("a", "b", "c", "d")).collect()] == ["OVERFITTING", "OK"]
+
