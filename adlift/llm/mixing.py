@@ -144,8 +144,9 @@ def _borders(tokens: DataFrame, plan: DataFrame) -> DataFrame:
 
 def occurrences(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Every row of ``rows`` (with ``doc_id`` and ``source``) once per epoch that takes it:
-    adds ``epoch``, ``block`` and ``slot``, its place in the mixed order (0 to about 1: blocks
-    are even in hash space, not exactly so in tokens)."""
+    adds ``epoch``, ``block`` and ``slot``, its place in the mixed order: epoch plus block
+    hash in [0, 1), over the source's epochs by budget.  It passes 1 where the last epoch's
+    blocks lie further out in hash space than their share of tokens (sources of few blocks)."""
     d = _placed(rows, plan)
     key_before = F.coalesce(F.col("doc_id") < F.col("cut_key"), F.lit(False))
     in_last = F.col("cut_block").isNotNull() & (

@@ -167,7 +167,11 @@ def test_mixture_meets_its_limits(spark):
     share = [v / sum(spent.values()) for v in spent.values()]
     assert abs(sum(spent.values()) - total) < 0.03 * total
     assert -sum(x * math.log(x) for x in share) <= 0.96 * math.log(20) + 0.02
-    assert all(0 <= r["slot"] < 1.25 for r in out)
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["source"]].append((r["slot"], r["epoch"]))
+    assert all(x >= 0 for v in by.values() for x, _ in v)
+    assert all([e for _, e in sorted(v)] == sorted(e for _, e in v) for v in by.values())  # epochs follow each other
     copies = collections.Counter((r["doc_id"], r["epoch"]) for r in out)
     assert max(copies.values()) == 1
 
