@@ -234,9 +234,13 @@ class Lattice:
                 acc[sel] = np.logaddexp(acc[sel], logp[e] + mass[dest[e]])
             mass[p] = acc
         logp += mass[dest] - mass[src]
-        c = np.cumsum(np.exp(logp))
-        before = np.concatenate(([0.0], c))[off[:-1]]
-        upto = np.minimum((c - before[src]) * 2.0 ** 32, 2.0 ** 32 - 1).astype(np.uint32)
+        share, acc, sel = np.exp(logp), np.zeros(n), np.arange(n)
+        for r in range(int(count.max(initial=0))):  # sums per position: they depend on the unit alone
+            sel = sel[count[sel] > r]
+            e = off[sel] + r
+            acc[sel] += share[e]
+            share[e] = acc[sel]
+        upto = np.minimum(share * 2.0 ** 32, 2.0 ** 32 - 1).astype(np.uint32)
         upto[off[1:] - 1] = 0xFFFFFFFF  # the last edge takes what rounding leaves
         at, edges = len(self.off) - 1, len(self.to)
         self.first = np.concatenate([self.first, (first + at).astype(np.int32)])
