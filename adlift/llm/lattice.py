@@ -45,8 +45,8 @@ from adlift.llm.textops import mix64
 
 ALPHA = 1.0            # weight of a piece: (2 - score) ** -ALPHA
 UNKNOWN_SCORE = -1e6   # score of one byte piece
-BLOCK_CHARS = 3 << 20
-KEPT_POSITIONS = 3_000_000  # lattice characters a worker keeps (about 150 MB)
+BLOCK_CHARS = 1 << 19   # characters sampled at once; a longer text is a block of its own
+KEPT_POSITIONS = 1_000_000  # lattice characters a worker keeps (about 50 MB)
 OPEN_MASS = -60.0      # sets lighter than this below the parent cannot win in double precision
 SPACE = "▁"
 _TEXT_END = 1 << 21    # code of a byte-spelled character: _TEXT_END + code point
