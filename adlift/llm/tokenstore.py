@@ -14,9 +14,9 @@ keys that were never stored.  Task attempts write files of their own name and
 report them; only reported files enter the manifest (a Parquet table beside the
 shards), so a lost executor or a repeated attempt leaves no trace in the result.
 
-Texts are split where no token can span: before a space that follows a
-non-space.  Each distinct piece is encoded once per worker by the tokenizers
-library (bounded memory), which gives the ids of encoding the text whole.
+Texts are split where no token can span (``piece_edges``).  Each distinct piece is
+encoded once per worker, or per block beyond a bounded memory, by the tokenizers
+library, which gives the ids of encoding the text whole.
 
 Edge cases: a null or empty text is the end id alone; null keys sort first and
 share slot "null"; of repeated keys each row keeps its own range (lookups return
@@ -26,7 +26,6 @@ the first); an empty table gives an empty manifest; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -37,26 +36,50 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlift.llm.textops import mix64
+from adlift.llm.textops import mix64, utf8_chunks
 
 END_ID = 2
 SHARD_ROWS_BYTES = 32 << 20  # text bytes per shard, about
 CACHE_PIECES = 300_000       # distinct pieces a worker remembers
 JOINED_WORDS = 1000          # new words encoded in one call
+BLOCK_BYTES = 8 << 20        # text bytes encoded at once; a longer text is one block
+LAID_OUT = 1 << 18           # pieces whose ids are laid out at once
 MAGIC = b"TOKIDX01"
 GAMMA = 2.0                  # bits per key and level of the hash
 
-_SPACE_RUN = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
-_PART = re.compile(r"(?<=[^\W\d_])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~])(?=\n)")
+_CODES = np.arange(128)
+_LETTER, _PUNCT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[c for c in _CODES if chr(c).isalpha()]] = True
+_PUNCT[[c for c in _CODES if 0x20 < c < 0x7F and not chr(c).isalnum()]] = True
+_PUNCT_ALONE = _PUNCT.copy()
+_PUNCT_ALONE[ord("'")] = False  # may begin a contraction
+
+
+def piece_edges(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sorted byte positions where pieces of a block of texts begin, and its end.
+
+    A piece ends where the tokenizer's pattern always ends a token: before a space that
+    follows a non-space, between an ASCII letter and punctuation, before a line end that
+    follows punctuation, and after it if a letter comes next."""
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[off] = True
+    p, c = data[:-1], data[1:]
+    space = (c == 0x20) & (p > 0x20)
+    at = np.flatnonzero(space & (p >= 0x80))  # a longer character before the space: is it a space itself?
+    b1, b2, b3 = data[at], data[at - 1], data[np.maximum(at - 2, 0)]
+    blank = (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0)) | (b3 == 0xE1) & ((b2 == 0x9A) | (b2 == 0xA0)) \
+        | (b3 == 0xE2) & ((b2 == 0x80) | (b2 == 0x81)) | (b3 == 0xE3) & (b2 == 0x80)
+    space[at[blank]] = False
+    edge[1:-1] |= space | _LETTER[p] & _PUNCT_ALONE[c] | _PUNCT[p] & (c == 0x0A)
+    edge[2:-1] |= _PUNCT[p[:-1]] & (p[1:] == 0x0A) & _LETTER[c[1:]]
+    return np.flatnonzero(edge)
 
 
 class PieceEncoder:
-    """Texts to packed ids, one library call per distinct part of a piece.
+    """Blocks of texts to packed ids, one library call per distinct piece.
 
-    A piece is further cut where the tokenizer's pattern always ends a token: between
-    a letter and ASCII punctuation and between punctuation and a line end.  The pieces
-    and parts met first are remembered, later ones only within their block."""
+    Arrow finds the distinct pieces of a block; numpy lays out their ids in text order.
+    The pieces met first are remembered, later ones only within their block."""
 
     def __init__(self, path: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,45 +88,57 @@ class PieceEncoder:
         self.tok.encode_special_tokens = True
         self.dtype = dtype
         self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) if t else [] for t in texts]
+    def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, list[bytes]]:
+        """Ids per text, the end id included, and the packed ids of all texts in order."""
+        at = piece_edges(data, off) if len(data) else np.zeros(1, dtype=np.int64)
+        pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        packed = [*self._ids(pieces.dictionary.to_pylist()), np.array([end_id], self.dtype).tobytes()]
+        n = np.array([len(x) for x in packed], dtype=np.int64) // np.dtype(self.dtype).itemsize
+        ids, first = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(n) - n
+        upto = np.searchsorted(at, off[1:])  # pieces of the texts so far
+        order = np.insert(pieces.indices.to_numpy(), upto, len(packed) - 1)
+        ends = np.cumsum(n[order])[upto + np.arange(len(upto))]
+        out = []
+        for i in range(0, len(order), LAID_OUT):
+            o = order[i:i + LAID_OUT]
+            size = n[o]
+            skip = np.repeat(first[o] - (np.cumsum(size) - size), size)
+            out.append(ids[skip + np.arange(len(skip))].tobytes())
+        return np.diff(ends, prepend=0), out
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
         known = self.pieces
-        cut = {p: _PART.split(p) for s in split for p in s if p not in known}
-        new = list({x for parts in cut.values() for x in parts if x not in self.parts})
-        fresh = self._encode_parts(new)
-        have = self.parts
-        late = {p: b"".join([fresh[x] if x in fresh else have[x] for x in parts]) for p, parts in cut.items()}
-        if len(have) < CACHE_PIECES:
-            have.update(fresh)
+        out = list(map(known.get, pieces))
+        at = [i for i, x in enumerate(out) if x is None]
+        new = [pieces[i] for i in at]
+        fresh = self._encode_new(new)
+        for i, x in zip(at, fresh, strict=True):
+            out[i] = x
         if len(known) < CACHE_PIECES:
-            known.update(late)
-        return [b"".join([known[p] if p in known else late[p] for p in s]) for s in split]
+            known.update(zip(new, fresh, strict=True))
+        return out
 
-    def _encode_parts(self, new: list[str]) -> dict[str, bytes]:
+    def _encode_new(self, new: list[str]) -> list[bytes]:
         """Plain words (a space and letters: one token word each) go joined, many to a call."""
-        out: dict[str, bytes] = {}
-        words = [x for x in new if x[0] == " " and x[1:].isalpha()]
+        out: list[bytes | None] = [None] * len(new)
+        words = [i for i, x in enumerate(new) if x[0] == " " and x[1:].isalpha()]
         groups = [words[i:i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
-        for g, e in zip(groups, self.tok.encode_batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        joined = ["".join([new[i] for i in g]) for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.dtype)
             at = np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1))
             if len(at) == len(g):
-                ends = [*at[1:].tolist(), len(ids)]
-                out.update((x, ids[a:b].tobytes()) for x, a, b in zip(g, at.tolist(), ends, strict=True))
-        rest = [x for x in new if x not in out]
-        got = self.tok.encode_batch_fast(rest, add_special_tokens=False)
-        out.update((x, np.array(e.ids, dtype=self.dtype).tobytes()) for x, e in zip(rest, got, strict=True))
+                raw = ids.tobytes()
+                at = (at * ids.itemsize).tolist()
+                for i, a, b in zip(g, at, [*at[1:], len(raw)], strict=True):
+                    out[i] = raw[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        got = self.tok.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, got, strict=True):
+            out[i] = np.array(e.ids, dtype=self.dtype).tobytes()
         return out
 
-    @staticmethod
-    def _pieces(t: str) -> list[str]:
-        if _SPACE_RUN.search(t) or t[0] == " ":
-            return _CUT.split(t)
-        first, *rest = t.split(" ")
-        return [first, *[" " + w for w in rest]]
-
 
 _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
@@ -242,7 +277,6 @@ def _write_shard(folder: str, tokenizer: str, dtype: str, end_id: int):
         enc = _encoder(tokenizer, dtype)
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"shard-{shard:05d}-{uuid.uuid4().hex}"
-        end = np.array([end_id], dtype=dtype).tobytes()
         width = np.dtype(dtype).itemsize
         keys, valid, lengths, out = [], [], [], None
         for b in batches:
@@ -252,17 +286,11 @@ def _write_shard(folder: str, tokenizer: str, dtype: str, end_id: int):
             k = b.column(0)
             keys.append(k.fill_null(0).to_numpy(zero_copy_only=False))
             valid.append(k.is_valid().to_numpy(zero_copy_only=False))
-            texts = b.column(1).fill_null("").to_pylist()
-            step, i = 2 << 20, 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < step):
-                    size += len(texts[j])
-                    j += 1
-                ids = [x + end for x in enc.encode(texts[i:j])]
-                lengths.append(np.array([len(x) // width for x in ids], dtype=np.int64))
-                out.write(b"".join(ids))
-                i = j
+            for _, _, data, off in utf8_chunks(b.column(1), BLOCK_BYTES):
+                n, packed = enc.encode(data, off, end_id)
+                lengths.append(n)
+                for x in packed:
+                    out.write(x)
         if out is None:
             return
         out.close()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adlift.llm import chat, lattice, mixing, queries, tokenstore, warc
+from adlift.llm import chat, lattice, mixing, queries, textops, tokenstore, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -228,3 +228,20 @@ def test_pipeline_stages_on_a_small_table(spark):
     assert m.columns == docs.columns
     out = P.run(spark, SF)
     assert out.count() > 0 and out.where("not decodes").count() == 0
+
+
+@pytest.mark.parametrize("odd", ["", " ", "\n", "'", "'s", "it's 'sly' don't.\n", "a  b \n c\t d  e　 f  g", "é è, ü;\r\n ñ",
+                                 "x\x1c y\x85 z", "中文 字。\n日本 ", "<|endoftext|> a<|endoftext|>", "1 2,3 4.\n5\nA\n\nB \n C", "🙂 🙂!\n?a"])
+def test_block_encoder_equals_whole_texts(odd):
+    """Blocks of texts give the ids of every text encoded whole, remembered pieces or not."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), tokenstore.PieceEncoder(path, "<u2")
+    tok.encode_special_tokens = True
+    texts = ["the cat, sat.\nOn", odd, None, odd + " " + odd, "", odd * 3, "the cat"]
+    for _ in range(2):
+        for _, _, data, off in textops.utf8_chunks(pa.array(texts), 1 << 20):
+            n, packed = enc.encode(data, off, 2)
+        ids = np.split(np.frombuffer(b"".join(packed), "<u2"), np.cumsum(n)[:-1])
+        assert [x.tolist() for x in ids] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
