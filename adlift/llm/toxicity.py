@@ -239,7 +239,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
 
 
 def learn_lexicon(sample: DataFrame) -> FuzzyLexicon:
-    """Words and stems found nearly only in toxic texts, with log-odds weights."""
+    """Words and stems found nearly only in toxic texts, with log-odds weights.
+
+    A word under a stem stays an entry: the stem has no edits, the word keeps its own."""
     n = sample.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = n["t"] or 0, (n["n"] or 0) - (n["t"] or 0)
     if not toxic:
@@ -259,8 +261,7 @@ def learn_lexicon(sample: DataFrame) -> FuzzyLexicon:
     stem_set = {s for s in stem_set if not any(s != o and s.startswith(o) for o in stem_set)}
     entries = []
     for r in sorted(got, key=lambda r: (r["entry"], r["stem"])):
-        covered = not r["stem"] and any(r["entry"].startswith(s) and r["entry"] != s for s in stem_set)
-        if covered or (r["stem"] and r["entry"] not in stem_set):
+        if r["stem"] and r["entry"] not in stem_set:  # a shorter stem matches all that it does
             continue
         odds = ((r["t"] + 0.5) / (toxic + 1)) / ((r["c"] + 0.5) / (clean + 1))
         entries.append((r["entry"], r["stem"], max(0.1, math.log(odds))))

@@ -99,6 +99,19 @@ def test_stems_match_as_prefixes_and_quotes_weigh_less():
     assert toxicity.features(lex, None) == toxicity.features(lex, "") == [0.0] * len(toxicity.FEATURES)
 
 
+def test_words_under_a_learned_stem_keep_their_edits(spark):
+    kinds = ["worthless", "worthles", "worthlss", "worthlesser"]
+    rows = [(i, f"you {kinds[i % 4]} thing number {i}", 1) for i in range(40)]
+    rows += [(100 + i, f"a calm thing number {i}", 0) for i in range(200)]
+    lex = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert any(stem and "worthless".startswith(text) for text, stem, _ in lex.entries)
+    assert lex.match("worthy") is not None and lex.match("worthless")[1] == 0
+    for word in ("wrothless", "vorthless", "wrthless", "wortless", "worhtless"):
+        m = lex.match(word)
+        assert m is not None and lex.entries[m[0]][0] in (*kinds, "wort"), word
+    assert lex.match("calm") is None and lex.match("vorth") is None
+
+
 def test_toxicity_on_held_out_rows(spark):
     got = queries.op6_toxicity(spark, SF_MID).where("held_out")
     lab = spark.read.parquet(f"{SF_MID}/labels.parquet").select("doc_id", "toxic")
