@@ -1,14 +1,16 @@
-"""Near-duplicate vectors: spherical k-means cells, blocked cosine products.
+"""Near-duplicate vectors, exact: spherical k-means cells, blocked cosine products.
 
 1. Equal vectors collapse to one class with a multiplicity.
 2. Spherical k-means is fitted on at most ``FIT_ROWS`` classes (smallest hashes, a
    documented bound); the number of cells grows with the data up to ``MAX_CELLS``.
-3. Every class is indexed: it enters its ``PROBES`` nearest cells, so neighbours on
-   either side of a border still meet.  Cells are split into blocks of about
-   ``BLOCK`` rows; each pair of blocks is one task-sized group whose cosines are one
-   matrix product in double precision.
-4. A group emits link counts per class and a spanning forest, never pairs.  A pair
-   that meets in several cells is counted in the smallest common one only.
+3. Every class is at home in its nearest cell.  The plane between two centroids bounds
+   the cosine of a row with any vector at home in another cell (``reached``); a row is
+   compared with every cell the bound leaves, so no link is lost, whatever the number
+   of cells.  Clustered vectors leave few cells; vectors without structure leave nearly
+   all, and the work is then that of all pairs.
+4. The vectors go in parts of bounded size to every task; cosines are matrix products
+   in double precision.  A task emits link counts of its own rows and a spanning
+   forest, never pairs.
 5. Components come from the forests; the smallest vec_id of each is kept.
 
 Edge cases: null or zero vectors and vectors with null or non-finite components
@@ -20,6 +22,7 @@ a null vec_id takes part; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlift.llm.graph import connected_components
-from adlift.llm.store import written
+from adlift.llm.store import scratch, written
 from adlift.session import ensure_checkpoint_dir
 
 MIN_COSINE = 0.9
 FIT_ROWS = 20_000
 CELL_ROWS = 256
 MAX_CELLS = 4096
-PROBES = 4
-BLOCK = 1024
+ROWS, BLOCK = 256, 8192  # cosines of so many rows and vectors at once
+TASK_ROWS = 2048
+PART_BYTES = 32 << 20    # vectors sent to every task at once
 ROUNDS = 8
+MAX_SINE = math.sqrt(1 - MIN_COSINE ** 2)
+SLACK = 1e-9             # far above the rounding of the products
+LINKS = "cls long, links long, root long"
 
 
 def _classes(batches):
@@ -74,89 +81,102 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def _assign(centroids, probes: int):
+def _assign(centroids):
     def run(batches):
         c = centroids.value
-        p = min(probes, len(c))
         for b in batches:
             if b.num_rows == 0:
                 continue
             x = _unit(b.column("raw").to_pylist())
-            near = np.concatenate([np.argpartition(-(x[i:i + 1024] @ c.T), p - 1, axis=1)[:, :p]
-                                   for i in range(0, len(x), 1024)])
-            near = np.sort(near, axis=1).astype(np.int32)
-            rows = np.repeat(np.arange(len(x)), p)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel()), *[b.column(n).take(pa.array(rows)) for n in ("cls", "n", "raw")],
-                 pa.array(near[rows].tolist(), pa.list_(pa.int32()))], ["cell", "cls", "n", "raw", "cells"])
+            home = np.concatenate([np.argmax(x[i:i + 1024] @ c.T, axis=1) for i in range(0, len(x), 1024)])
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *[b.column(n) for n in ("cls", "n", "raw")]],
+                                             ["cell", "cls", "n", "raw"])
     return run
 
 
-def _compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Cosines between two blocks of a cell (or within one): link counts and a forest."""
-    cell, a, b = (k.as_py() for k in key)
-    blk = t.column("block").to_numpy()
-    cls, mult = t.column("cls").to_numpy(), t.column("n").to_numpy()
-    cells = np.array(t.column("cells").to_pylist(), dtype=np.int32)
-    x = _unit(t.column("raw").to_pylist())
-    li, ri = np.flatnonzero(blk == a), np.flatnonzero(blk == b)
-    n = len(cls)
-    links = np.zeros(n, dtype=np.int64)
-    label = np.arange(n)
-    ends = []
-    for s in range(0, len(li), 256):
-        i, j = np.nonzero(x[li[s:s + 256]] @ x[ri].T >= MIN_COSINE)
-        i, j = li[s:s + 256][i], ri[j]
-        keep = i < j if a == b else i != j
-        i, j = i[keep], j[keep]
-        if len(i) == 0:
-            continue
-        common = np.full(len(i), np.iinfo(np.int32).max, dtype=np.int32)
-        for p in range(cells.shape[1]):
-            shared = (cells[i, p][:, None] == cells[j]).any(axis=1)
-            common = np.where(shared, np.minimum(common, cells[i, p]), common)
-        once = common == cell
-        np.add.at(links, i[once], mult[j[once]])
-        np.add.at(links, j[once], mult[i[once]])
-        ends.append((i, j))
-    if ends:  # smallest label of each connected set, by repeated minima
-        i, j = np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
-        while True:
-            low = label.copy()
-            np.minimum.at(low, i, label[j])
-            np.minimum.at(low, j, label[i])
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-    tree = np.flatnonzero(label != np.arange(n))
-    some = np.flatnonzero(links)
-    return pa.table({
-        "cls": np.concatenate([cls[some], cls[tree]]),
-        "links": pa.array(np.concatenate([links[some], np.zeros(len(tree), np.int64)])),
-        "root": pa.array(np.concatenate([np.zeros(len(some), np.int64), cls[label[tree]]]),
-                         mask=np.concatenate([np.ones(len(some), bool), np.zeros(len(tree), bool)])),
-    })
-
-
-def cell_links(reps: DataFrame, rows: int, probes: int = PROBES) -> DataFrame:
+def reached(x: np.ndarray, home: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cells (one bool each) that may be home to a vector linked with one of ``x``.
+
+    A vector at home in cell i lies on i's side of the plane between the centroids i and
+    j; a row at home in j whose sine to that plane is above ``MAX_SINE`` links with none."""
+    d = x @ c.T
+    gap = d[np.arange(len(x)), home][:, None] - d
+    apart = np.sqrt(np.maximum(0.0, (c ** 2).sum(axis=1)[home][:, None] + (c ** 2).sum(axis=1) - 2 * c[home] @ c.T))
+    return (gap <= MAX_SINE * apart + SLACK).any(axis=0)
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(cls, root)`` links that connect what the links ``(u, v)`` connect."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[:len(u)], at[len(u):]
+    label = np.arange(len(nodes))
+    while True:  # smallest label of each connected set, by repeated minima
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    tree = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[tree], nodes[label[tree]]
+
+
+def _compare(centroids, part):
+    """Cosines of all rows with the vectors of a part: link counts and a forest."""
+    def run(batches):
+        c = centroids.value
+        cells, other, mult, raw = part.value  # in order of their cells
+        y = _unit(raw)
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            cls, home = b.column("cls").to_numpy(), b.column("cell").to_numpy()
+            x = _unit(b.column("raw").to_pylist())
+            links = np.zeros(len(cls), dtype=np.int64)
+            ends = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for s in range(0, len(x), ROWS):
+                rows = x[s:s + ROWS]
+                cols = np.flatnonzero(reached(rows, home[s:s + ROWS], c)[cells])
+                for t in range(0, len(cols), BLOCK):
+                    at = cols[t:t + BLOCK]
+                    near = y[at[0]:at[-1] + 1] if at[-1] - at[0] + 1 == len(at) else y[at]
+                    i, j = np.nonzero(rows @ near.T >= MIN_COSINE)
+                    i, j = i + s, at[j]
+                    once = cls[i] != other[j]
+                    i, j = i[once], j[once]
+                    np.add.at(links, i, mult[j])
+                    ends.append((cls[i], other[j]))
+            node, root = _forest(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]))
+            some = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([cls[some], node])),
+                pa.array(np.concatenate([links[some], np.zeros(len(node), np.int64)])),
+                pa.array(np.concatenate([np.zeros(len(some), np.int64), root]),
+                         mask=np.concatenate([np.ones(len(some), bool), np.zeros(len(node), bool)]))], ["cls", "links", "root"])
+    return run
+
+
+def cell_links(reps: DataFrame, rows: int, dim: int) -> DataFrame:
     """``(cls, links, root)``: partial link counts (root null) and forest links, of
-    classes ``(cls, n, raw)`` that all have the same length."""
+    classes ``(cls, n, raw)`` that all have the length ``dim``."""
     spark = reps.sparkSession
     k = int(min(MAX_CELLS, max(1, rows // CELL_ROWS)))
     fit = reps.select("cls", "raw").orderBy(F.xxhash64("cls"), "cls").limit(FIT_ROWS).toArrow()
     c = spark.sparkContext.broadcast(spherical_kmeans(_unit(fit.column("raw").to_pylist()), min(k, fit.num_rows)))
-    cells = written(reps.mapInArrow(_assign(c, probes), "cell int, cls long, n long, raw binary, cells array<int>"), "cells")
-    size = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))  # <= MAX_CELLS rows
-    d = cells.join(F.broadcast(size), "cell").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    d = d.select("cell", "block", other.alias("o"), "cls", "n", "raw", "cells").withColumn("a", F.least("block", "o")) \
-        .withColumn("b", F.greatest("block", "o")).drop("o")
-    return d.groupBy("cell", "a", "b").applyInArrow(_compare, "cls long, links long, root long")
-
-
-def vector_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
-                      probes: int = PROBES) -> DataFrame:
+    homes = written(reps.mapInArrow(_assign(c), "cell int, cls long, n long, raw binary"), "cells")
+    parts = -(-rows * dim * 8 // PART_BYTES)
+    dealt = homes.repartitionByRange(max(1, -(-rows // TASK_ROWS)), "cell", "cls")  # a large cell goes to several tasks
+    path = scratch(spark, "links")
+    for p in range(parts):  # each about PART_BYTES, sent to every task
+        t = homes.where(F.pmod(F.xxhash64("cls"), F.lit(parts)) == p).toArrow().sort_by([("cell", "ascending"), ("cls", "ascending")])
+        part = spark.sparkContext.broadcast((*[t.column(x).to_numpy() for x in ("cell", "cls", "n")], t.column("raw").to_pylist()))
+        dealt.mapInArrow(_compare(c, part), LINKS).write.mode("append").parquet(path)
+        part.destroy()
+    return spark.read.schema(LINKS).parquet(path)
+
+
+def vector_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per input row."""
     ensure_checkpoint_dir(vectors.sparkSession)
     src = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -165,7 +185,7 @@ def vector_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "em
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("raw").alias("raw")), "reps")
     found = None
     for r in reps.groupBy("dim").count().orderBy("dim").collect():  # one row per vector length
-        part = cell_links(reps.where(F.col("dim") == r["dim"]).select("cls", "n", "raw"), r["count"], probes)
+        part = cell_links(reps.where(F.col("dim") == r["dim"]).select("cls", "n", "raw"), r["count"], r["dim"])
         found = part if found is None else found.unionByName(part)
     if found is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from adlift.llm import vecdedup
 from adlift.llm.graph import connected_components
 from adlift.llm.ngram_join import divide_skip, ngram_jaccard_components, required
 from adlift.llm.vecdedup import vector_duplicates
@@ -83,6 +84,27 @@ def test_vectors_match_brute_force(spark):
     assert vector_duplicates(df.limit(0)).count() == 0
 
 
+def test_no_link_is_lost_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "CELL_ROWS", 8)  # 500 cells
+    monkeypatch.setattr(vecdedup, "FIT_ROWS", 1000)
+    monkeypatch.setattr(vecdedup, "PART_BYTES", 1 << 20, raising=False)  # two parts
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    cos = rng.uniform(0.9001, 0.91, len(x))[:, None]
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos ** 2) * z])
+    both[3990:] = np.eye(64)[0] + 0.05 * rng.normal(size=(10, 64))  # a cluster
+    unit = both / np.linalg.norm(both, axis=1)[:, None]
+    link = unit @ unit.T >= 0.9
+    want = _components(range(len(both)), [(a, b) for a, b in np.argwhere(link).tolist() if a < b])
+    df = spark.createDataFrame(list(enumerate(both.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vecdedup.vector_duplicates(df).collect()}
+    assert got == {i: (int(link[i].sum()) - 1, want[i]) for i in want}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(None, 1), (5, None), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
