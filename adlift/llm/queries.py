@@ -41,7 +41,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
-    tokenstore.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    tokenstore.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"),
+                            special_ids=True)
     return tokenstore.read_tokens(spark, folder, digest=True).select(
         F.col("key").alias("doc_id"), "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 

@@ -18,7 +18,8 @@ Texts are split where no token can span (``piece_edges``).  Each distinct piece
 encoded once per worker, or per block beyond a bounded memory, by the tokenizers
 library, which gives the ids of encoding the text whole.
 
-Edge cases: a null or empty text is the end id alone; null keys sort first and
+Edge cases: with ``special_ids`` (the query's way) the literal text of an added token
+gives its one id, as the library does by default, else the ids of its characters; a null or empty text is the end id alone; null keys sort first and
 share slot "null"; of repeated keys each row keeps its own range (lookups return
 the first); an empty table gives an empty manifest; other columns are ignored.
 """
@@ -26,6 +27,7 @@ the first); an empty table gives an empty manifest; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -78,20 +80,49 @@ def piece_edges(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Blocks of texts to packed ids, one library call per distinct piece.
 
+    With ``special_ids`` the tokenizer is left at its defaults: the literal text of an
+    added token (``<|endoftext|>``) within a text gives that token's one id.  It is cut
+    out first and is a piece of its own, so that no other edge falls into it.
+
     Arrow finds the distinct pieces of a block; numpy lays out their ids in text order.
     The pieces met first are remembered, later ones only within their block."""
 
-    def __init__(self, path: str, dtype: str) -> None:
+    def __init__(self, path: str, dtype: str, special_ids: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not special_ids
+        added = self.tok.get_added_tokens_decoder().values() if special_ids else []
+        if odd := [t.content for t in added if t.lstrip or t.rstrip or t.single_word or not t.special]:
+            raise ValueError(f"added tokens that are not plain literals: {odd}")
+        texts = sorted((re.escape(t.content.encode()) for t in added), key=len, reverse=True)
+        self._literal = re.compile(b"|".join(texts)) if texts else None
         self.dtype = dtype
         self.pieces: dict[str, bytes] = {}
 
+    def _literals(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
+        """Places of the added tokens' literal texts, none across two texts."""
+        if self._literal is None:
+            return []
+        out, raw = [], data.tobytes()
+        m = self._literal.search(raw)
+        while m:
+            a, b = m.span()
+            end = int(off[np.searchsorted(off, a, side="right")])  # where a's text ends
+            if b > end:  # runs into the next text: what lies within this one may still hold a shorter literal
+                m = self._literal.match(raw, a, end) or self._literal.search(raw, a + 1)
+                continue
+            out.append((a, b))
+            m = self._literal.search(raw, b)
+        return out
+
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, list[bytes]]:
         """Ids per text, the end id included, and the packed ids of all texts in order."""
         at = piece_edges(data, off) if len(data) else np.zeros(1, dtype=np.int64)
+        if found := self._literals(data, off):  # each is a piece of its own
+            a, b = np.array(found).T
+            inside = np.searchsorted(a, at, side="right") - 1
+            at = np.union1d(at[(inside < 0) | (at >= b[inside])], np.concatenate([a, b]))
         pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
         packed = [*self._ids(pieces.dictionary.to_pylist()), np.array([end_id], self.dtype).tobytes()]
         n = np.array([len(x) for x in packed], dtype=np.int64) // np.dtype(self.dtype).itemsize
@@ -140,13 +171,13 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, str, bool], PieceEncoder] = {}
 
 
-def _encoder(path: str, dtype: str) -> PieceEncoder:
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = PieceEncoder(path, dtype)
-    return _ENCODERS[path, dtype]
+def _encoder(path: str, dtype: str, special_ids: bool = False) -> PieceEncoder:
+    if (path, dtype, special_ids) not in _ENCODERS:
+        _ENCODERS[path, dtype, special_ids] = PieceEncoder(path, dtype, special_ids)
+    return _ENCODERS[path, dtype, special_ids]
 
 
 # -- minimal perfect hash ---------------------------------------------------
@@ -270,11 +301,11 @@ class ShardIndex:
 MANIFEST = "shard int, bin string, idx string, rows long, tokens long, hi long"
 
 
-def _write_shard(folder: str, tokenizer: str, dtype: str, end_id: int):
+def _write_shard(folder: str, tokenizer: str, dtype: str, end_id: int, special_ids: bool):
     def run(batches):
         from pyspark import TaskContext
         shard = TaskContext.get().partitionId()
-        enc = _encoder(tokenizer, dtype)
+        enc = _encoder(tokenizer, dtype, special_ids)
         fs, root = pafs.FileSystem.from_uri(folder)
         name = f"shard-{shard:05d}-{uuid.uuid4().hex}"
         width = np.dtype(dtype).itemsize
@@ -310,7 +341,7 @@ def _uri(folder: str) -> str:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, key: str = "doc_id",
-                 text: str = "text", vocab_size: int = 50257) -> None:
+                 text: str = "text", vocab_size: int = 50257, special_ids: bool = False) -> None:
     """Encode every text and write shards plus ``manifest`` under ``folder`` (shared)."""
     spark = docs.sparkSession
     dtype = "<u2" if max(vocab_size - 1, end_id) < 1 << 16 else "<u4"
@@ -322,7 +353,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     fs.create_dir(root, recursive=True)
     dealt = src.repartitionByRange(shards, F.col("key").asc_nulls_first()).sortWithinPartitions(
         F.col("key").asc_nulls_first())
-    dealt.mapInArrow(_write_shard(uri, tokenizer, dtype, end_id), MANIFEST).write.parquet(f"{uri}/manifest")
+    dealt.mapInArrow(_write_shard(uri, tokenizer, dtype, end_id, special_ids), MANIFEST).write.parquet(f"{uri}/manifest")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

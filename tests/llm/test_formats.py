@@ -40,6 +40,25 @@ def test_tokens_equal_whole_text_encoding(spark, tmp_dir):
     assert found == {k: i for k, _, _, i in want if k in (3, 9001)}
 
 
+def test_special_tokens_in_texts_as_the_library_reads_them(spark, tmp_dir):
+    from tokenizers import Tokenizer
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    e = "<|endoftext|>"
+    texts = [e, f"a{e}b", f" {e} ", f"one  {e}\nTwo{e}{e}, x{e[:-1]}", f"x.\n{e}'s it", f"<{e}> <|endof{e}text|>", None, "", "<|endof", "text|>",
+             f"é\u00a0{e}\u00a0 é\n", "plain words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(tmp_dir + "/sf/documents.parquet")
+    tok = Tokenizer.from_file(path)  # left at its defaults
+    start, want = 0, []
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert want[0][2] == 2
+    got = queries.op4_token_store(spark, tmp_dir + "/sf").coalesce(1).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_tokens_of_an_empty_table_and_repeated_keys(spark, tmp_dir):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     none = spark.createDataFrame([], "doc_id long, text string")
