@@ -200,7 +200,8 @@ def grid_points(grid: dict | None = None) -> list[dict]:
 
 
 def cross_validate_mlp(folded: DataFrame, grid: list[dict], n_folds: int | None = None,
-                       max_epochs: int = 200, label: str | None = None, key: str | None = None) -> dict:
+                       max_epochs: int = 200, label: str | None = None, key: str | None = None,
+                       patience: int = 10) -> dict:
     """Grid search for the MLP on the ``fold`` column (X13 + X14).
 
     For every grid point and fold the preprocessor is refitted on the other
@@ -223,7 +224,7 @@ def cross_validate_mlp(folded: DataFrame, grid: list[dict], n_folds: int | None
     def fit(rows, params):
         prep = CampaignPreprocessor().fit(rows)
         cfg = MLPConfig(hidden=params["layers"], alpha=params["alpha"], learning_rate=params["learningRate"],
-                        max_epochs=max_epochs)
+                        max_epochs=max_epochs, patience=patience)
         w, shapes, hist = train_mlp(prep.transform(rows), feats, label, valid, cfg)
         return prep, w, shapes, hist
 

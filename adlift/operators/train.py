@@ -27,7 +27,7 @@ LR_NAME, RF_NAME, GBT_NAME, MLP_NAME = "Linear Regression", "Random Forest", "XG
 SPARK_MAX_DEPTH = 30  # an unlimited depth maps to Spark's maximum
 
 # Grid profiles: "full" is the studied project's grid; "quick" keeps the same
-# axes with fewer points for tests and the registered checks.
+# axes with fewer points for tests.
 PROFILES = {
     "full": {"rf": RF_GRID, "gbt": GBT_GRID},
     "quick": {"rf": {"numTrees": [20], "maxDepth": [6, 10], "minSplit": [2]},
