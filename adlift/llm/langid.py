@@ -43,6 +43,7 @@ SMOOTH = 0.5           # added to every trigram count
 VALUE_SMOOTH = 1.0     # added to every (value, language) sum
 HOST_STRENGTH = 20.0   # pseudo rows of the level above
 MIN_CONFIDENCE = 0.5
+MAX_MISFIT = 3.0       # nats a trigram below what is usual in the language: none of these languages
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -53,6 +54,7 @@ _LOWER[[9, 10, 11, 12, 13]] = 32
 class TrigramModel:
     langs: list[str]
     logp: np.ndarray  # (len(langs), GRAMS) float32
+    usual: np.ndarray  # mean log-likelihood of a training trigram of each language
 
 
 def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +102,9 @@ def fit_trigrams(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     at = {x: i for i, x in enumerate(langs)}
     counts = np.full((len(langs), GRAMS), SMOOTH)
     counts[[at[x] for x in got.column("lang").to_pylist()], got.column("gram").to_numpy()] += got.column("c").to_numpy()
-    return TrigramModel(langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    logp = np.log(counts / counts.sum(axis=1, keepdims=True))
+    usual = ((counts - SMOOTH) * logp).sum(axis=1) / np.maximum((counts - SMOOTH).sum(axis=1), 1)
+    return TrigramModel(langs, logp.astype(np.float32), usual)
 
 
 _MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.I | re.S)
@@ -119,21 +123,25 @@ def _text_evidence(model, markup: bool):
             col = b.column("text")
             if markup:
                 col = pa.array([visible_text(x) for x in col.to_pylist()], pa.string())
-            out = np.zeros((b.num_rows, L))
+            out, fit, got = np.zeros((b.num_rows, L)), np.zeros((b.num_rows, L)), np.zeros(b.num_rows, dtype=bool)
             for i, j, data, off in utf8_chunks(col):
                 g, go = _grams(data, off)
                 n = np.diff(go)
                 scale = np.minimum(1.0, TEXT_WEIGHT / np.maximum(n, 1))
                 for k in range(L):
                     c = np.concatenate(([0.0], np.cumsum(m.logp[k][g], dtype=np.float64)))
-                    out[i:j, k] = (c[go[1:]] - c[go[:-1]]) * scale
+                    ll = c[go[1:]] - c[go[:-1]]
+                    out[i:j, k] = ll * scale
+                    fit[i:j, k] = ll / np.maximum(n, 1) - m.usual[k]
+                got[i:j] = n > 0
             out -= out.max(axis=1, keepdims=True) if L else 0
             post = np.exp(out)
             post /= post.sum(axis=1, keepdims=True) if L else 1
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(c) for c in ("key", "declared", "host", "suffix")],
-                 *[pa.array(out[:, k]) for k in range(L)], *[pa.array(post[:, k]) for k in range(L)]],
-                ["key", "declared", "host", "suffix", *[f"ll{k}" for k in range(L)], *[f"p{k}" for k in range(L)]])
+                 *[pa.array(out[:, k]) for k in range(L)], *[pa.array(post[:, k]) for k in range(L)],
+                 *[pa.array(fit[:, k], mask=~got) for k in range(L)]],
+                ["key", "declared", "host", "suffix", *[f"{x}{k}" for x in ("ll", "p", "fit") for k in range(L)]])
     return run
 
 
@@ -154,7 +162,10 @@ def domain_of(host):
 
 def identify_languages(rows: DataFrame, model: TrigramModel, key: str, text: str, declared=None, host=None,
                        suffix=None, markup: bool = False) -> DataFrame:
-    """``key, language, confidence, text_language`` and the posterior per language.
+    """``key, language, confidence, text_language``, the posterior per language and
+    ``text_fit``: nats a trigram by which the text falls short of (or exceeds) what is
+    usual in ``language``, null without a trigram.  The posterior compares only the
+    model's languages; a fit below ``-MAX_MISFIT`` or null speaks for none of them.
 
     ``declared``, ``host`` and ``suffix`` are columns (or None: no such evidence);
     ``markup`` strips tags from the text first."""
@@ -167,9 +178,9 @@ def identify_languages(rows: DataFrame, model: TrigramModel, key: str, text: str
                         for n, c in (("declared", declared), ("host", host), ("suffix", suffix))])
     if L == 0:
         return src.select("key", nothing.alias("language"), F.lit(0.0).alias("confidence"), nothing.alias("text_language"),
-                          F.array().cast("array<double>").alias("posterior"))
+                          F.array().cast("array<double>").alias("posterior"), F.lit(None).cast("double").alias("text_fit"))
     kind = dict(src.dtypes)["key"]
-    cols = ", ".join([f"ll{k} double" for k in range(L)] + [f"p{k} double" for k in range(L)])
+    cols = ", ".join(f"{x}{k} double" for x in ("ll", "p", "fit") for k in range(L))
     t = src.mapInArrow(_text_evidence(spark.sparkContext.broadcast(model), markup),
                        f"key {kind}, declared string, host string, suffix string, {cols}")
     t = written(t.withColumn("domain", domain_of(F.col("host"))), "evidence")
@@ -193,12 +204,14 @@ def identify_languages(rows: DataFrame, model: TrigramModel, key: str, text: str
                        / (F.col("h_n") - 1 + HOST_STRENGTH)).otherwise(F.lit(base[k]))
         log_post.append(F.col(f"ll{k}") + F.log(prior) + F.coalesce(f"declared_{k}", F.lit(0.0))
                         + F.coalesce(f"suffix_{k}", F.lit(0.0)))
-    j = j.select("key", *[f"p{k}" for k in range(L)], F.array(*log_post).alias("lp"))
+    j = j.select("key", *[f"p{k}" for k in range(L)], F.array(*[f"fit{k}" for k in range(L)]).alias("fits"),
+                 F.array(*log_post).alias("lp"))
     j = j.withColumn("e", F.transform("lp", lambda x: F.exp(x - F.array_max("lp"))))
     j = j.withColumn("posterior", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)))
     names = F.array(*[F.lit(x) for x in model.langs])
     text_post = F.array(*[F.col(f"p{k}") for k in range(L)])
-    return j.select("key", F.element_at(names, F.array_position("posterior", F.array_max("posterior")).cast("int")).alias("language"),
+    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    return j.select("key", F.element_at(names, best).alias("language"),
                     F.array_max("posterior").alias("confidence"),
                     F.element_at(names, F.array_position(text_post, F.array_max(text_post)).cast("int")).alias("text_language"),
-                    "posterior")
+                    "posterior", F.element_at("fits", best).alias("text_fit"))

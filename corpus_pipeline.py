@@ -18,10 +18,13 @@ from adlift.llm.store import table, written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts whose language is known with confidence; the declared language and
-    the source (as host) are evidence beside the text."""
+    the source (as host) are evidence beside the text.  A text without a trigram, or one
+    whose trigrams are not usual in the language found, is in none of the languages,
+    whatever it declares (as long as such texts are few among the labelled ones)."""
     model = langid.fit_trigrams(docs)
     found = langid.identify_languages(docs, model, "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
-    keep = found.where(F.col("confidence") >= langid.MIN_CONFIDENCE).select(F.col("key").alias("k")).distinct()
+    known = (F.col("confidence") >= langid.MIN_CONFIDENCE) & (F.col("text_fit") >= -langid.MAX_MISFIT)
+    keep = found.where(known).select(F.col("key").alias("k")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
 
 

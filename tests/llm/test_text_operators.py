@@ -152,6 +152,20 @@ def test_evidence_decides_short_texts(spark):
     assert [r["language"] for r in langid.identify_languages(df.limit(1), empty, "id", "text").collect()] == [None]
 
 
+def test_language_stage_rejects_junk_and_foreign_texts(spark):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    bad = ["", None, "  ", "0123456789 " * 20, "%%% ### $$$ !!! ((())) " * 10, "3 14 15", "asdkjh qwoeiu zxmcnb qpwoei alskdj zmxncb",
+           "Все люди рождаются свободными и равными в своем достоинстве и правах.", "すべての人間は、生まれながらにして自由である。",
+           "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."]
+    rows = [(10 ** 9 + 10 * i + k, t, lang, "src0", len(t or "")) for i, t in enumerate(bad) for k, lang in enumerate(("en", "de", None))]
+    got = {r[0] for r in corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF_MID)
+           .select("doc_id").collect()}
+    assert not [r for r in rows if r[0] in got]
+    clean = {r[0] for r in docs.where("n_chars >= 40").select("doc_id").collect()}
+    assert len(clean & got) >= 0.99 * len(clean)
+
+
 @pytest.mark.parametrize("page,want", [("<p>a&amp;b</p>", "a&b"), (None, ""), ("<script>x</script>y", "y")])
 def test_visible_text(page, want):
     assert langid.visible_text(page).strip() == want
