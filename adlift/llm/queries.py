@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlift.llm import chat, langid, lattice, mixing, quality, tokenstore, toxicity, vecdedup, warc
+from adlift.llm import chat, langid, lattice, lexicon, mixing, quality, tokenstore, toxicity, vecdedup, warc
 from adlift.llm.ngram_join import ngram_jaccard_components
 from adlift.llm.store import scratch, table
 
@@ -91,9 +91,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tokenizer = table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")
+    ids = lexicon.encode_texts(docs, tokenizer, lexicon.fit_lexicon(docs, tokenizer))
+    return lexicon.decode_ids(ids, tokenizer).select(
+        F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_embedding_dedup, op3_language_id, op4_token_store, op5_warc, op6_toxicity,
-    op7_preference_pairs, op8_quality_rules, op9_sampled_segmentation, op10_ngram_join)}
+    op7_preference_pairs, op8_quality_rules, op9_sampled_segmentation, op10_ngram_join,
+    op11_lexicon_bpe)}
 
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
