@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlift.llm import chat, langid, lattice, lexicon, mixing, quality, tokenstore, toxicity, vecdedup, warc
+from adlift.llm import chat, hybrid_rank, langid, lattice, lexicon, mixing, quality, tokenstore, toxicity, vecdedup, warc
 from adlift.llm.ngram_join import ngram_jaccard_components
 from adlift.llm.store import scratch, table
 
@@ -100,10 +100,14 @@ def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid_rank.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_embedding_dedup, op3_language_id, op4_token_store, op5_warc, op6_toxicity,
     op7_preference_pairs, op8_quality_rules, op9_sampled_segmentation, op10_ngram_join,
-    op11_lexicon_bpe)}
+    op11_lexicon_bpe, op12_hybrid_rank)}
 
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -117,4 +121,5 @@ ORACLES = {
     "op1_source_mixing": mixing.SQL.replace("{docs}", "documents"),
     "op5_warc": WARC_SQL,
     "op7_preference_pairs": chat.SQL,
+    "op12_hybrid_rank": hybrid_rank.SQL,
 }
