@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlift.llm import chat, hybrid_rank, langid, lattice, lexicon, mixing, quality, tokenstore, toxicity, vecdedup, warc
+from adlift.llm import chat, hybrid_rank, langid, lattice, lexicon, mixing, prefix_trie, quality, tokenstore, toxicity, vecdedup, warc
 from adlift.llm.ngram_join import ngram_jaccard_components
 from adlift.llm.store import scratch, table
 
@@ -104,10 +104,14 @@ def op12_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_rank.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_embedding_dedup, op3_language_id, op4_token_store, op5_warc, op6_toxicity,
     op7_preference_pairs, op8_quality_rules, op9_sampled_segmentation, op10_ngram_join,
-    op11_lexicon_bpe, op12_hybrid_rank)}
+    op11_lexicon_bpe, op12_hybrid_rank, op13_prefix_trie)}
 
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -122,4 +126,5 @@ ORACLES = {
     "op5_warc": WARC_SQL,
     "op7_preference_pairs": chat.SQL,
     "op12_hybrid_rank": hybrid_rank.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
