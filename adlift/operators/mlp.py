@@ -1,21 +1,23 @@
-"""Data-parallel multilayer-perceptron regressor (Spark ML has only an MLP
-classifier).
-
-One epoch = one Spark job:
-1. the current weights ship to the executors inside the task closure (size
-   set by the architecture, not the data);
-2. ``mapInPandas`` runs minibatch Adam over each partition's training rows
-   (ReLU hidden layers, identity output, squared loss + L2 ``alpha``) and
-   emits ``weights * rows`` plus the validation squared error as one array;
-3. one ``posexplode`` + ``groupBy(pos).sum`` adds the arrays across
-   partitions (a tree of partial sums, model-sized result) — the row-weighted
-   average of the partition models is the next epoch's start.
-Training stops after ``patience`` epochs without a better validation loss,
-on rows chosen by key hash (the validation share never trains).
+"""Multilayer-perceptron regressors, many networks trained side by side.
+
+Rows are dealt by key hash into groups of about ``ROWS_PER_GROUP`` rows; the number of
+groups comes from the row count alone.  One round is one Spark job: a task takes one
+group's rows (and, where there are fewer groups than cores, a share of the networks),
+trains every network still running for one epoch of minibatch Adam (ReLU layers,
+identity output, squared loss, L2 ``alpha``) and returns weights and optimizer state,
+weighted by its rows.  Groups are summed in group order, ``FAN_IN`` at a time on the
+executors, so the weights depend neither on partitions nor on cores.  A network stops
+after ``patience`` epochs in which R2 on the validation share (a hash-chosen tenth of its
+rows) has not risen by ``tol``; its best weights are kept and it leaves the rounds.
+Where all rows are one group there is nothing to sum and one job trains all epochs.
+
+Every network has the fold it must not see and the affine transform fitted on the other
+folds, so all (grid point, fold) networks share one copy of the rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adlift.constants import SEED
+from adlift.functions.scalar import hash_unit, key_hash_hex
 
-# Largest training partition (rows) a task holds in memory during an epoch.
-ROWS_PER_PARTITION = 500_000
+ROWS_PER_GROUP = 20_000
+FAN_IN = 8
+BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
+NO_FOLD = -1
 
 
 def _shapes(n_in: int, hidden: tuple) -> list[tuple]:
@@ -34,60 +39,56 @@ def _shapes(n_in: int, hidden: tuple) -> list[tuple]:
     return [(sizes[i], sizes[i + 1]) for i in range(len(sizes) - 1)]
 
 
-def _unpack(flat: np.ndarray, shapes):
+def _layers(flat: np.ndarray, shapes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weight and bias views of stacked networks ``(k, weights)``."""
     out, i = [], 0
     for a, b in shapes:
-        W = flat[i:i + a * b].reshape(a, b)
-        i += a * b
-        c = flat[i:i + b]
-        i += b
-        out.append((W, c))
+        out.append((flat[:, i:i + a * b].reshape(-1, a, b), flat[:, None, i + a * b:i + a * b + b]))
+        i += a * b + b
     return out
 
 
-def _pack(layers) -> np.ndarray:
-    return np.concatenate([np.concatenate([W.ravel(), c]) for W, c in layers])
-
-
 def init_weights(n_in: int, hidden: tuple, seed: int = SEED) -> np.ndarray:
     """Glorot-uniform initialisation (as common MLP libraries do)."""
     rng = np.random.default_rng(seed)
-    layers = []
+    parts = []
     for a, b in _shapes(n_in, hidden):
         lim = np.sqrt(6.0 / (a + b))
-        layers.append((rng.uniform(-lim, lim, (a, b)), rng.uniform(-lim, lim, b)))
-    return _pack(layers)
+        parts += [rng.uniform(-lim, lim, a * b), rng.uniform(-lim, lim, b)]
+    return np.concatenate(parts)
 
 
-def forward(flat: np.ndarray, shapes, X: np.ndarray) -> np.ndarray:
-    h = X
-    layers = _unpack(flat, shapes)
-    for k, (W, c) in enumerate(layers):
+def outputs(flat: np.ndarray, shapes, X: np.ndarray) -> np.ndarray:
+    """Predictions ``(k, rows)`` of ``k`` stacked networks of one architecture."""
+    h, layers = X, _layers(flat, shapes)
+    for i, (W, c) in enumerate(layers):
         h = h @ W + c
-        if k < len(layers) - 1:
-            h = np.maximum(h, 0.0)
-    return h[:, 0]
+        if i < len(layers) - 1:
+            np.maximum(h, 0.0, out=h)
+    return h[..., 0]
+
+
+def forward(flat: np.ndarray, shapes, X: np.ndarray) -> np.ndarray:
+    """Predictions of one network."""
+    return outputs(flat[None], shapes, X)[0]
 
 
-def _grad(flat, shapes, X, y, alpha, n_total):
-    layers = _unpack(flat, shapes)
-    acts = [X]
-    h = X
-    for k, (W, c) in enumerate(layers):
+def gradients(flat: np.ndarray, shapes, X: np.ndarray, y: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """Gradient of (mean squared error / 2 + alpha / 2 / rows * squared weights) per network."""
+    layers, acts, h = _layers(flat, shapes), [np.broadcast_to(X, (len(flat), *X.shape))], X
+    for i, (W, c) in enumerate(layers):
         h = h @ W + c
-        if k < len(layers) - 1:
-            h = np.maximum(h, 0.0)
+        if i < len(layers) - 1:
+            np.maximum(h, 0.0, out=h)
         acts.append(h)
-    delta = (acts[-1][:, 0] - y)[:, None] / len(y)
-    grads = []
-    for k in range(len(layers) - 1, -1, -1):
-        W, _ = layers[k]
-        gW = acts[k].T @ delta + alpha * W / n_total
-        gc = delta.sum(axis=0)
-        grads.append((gW, gc))
-        if k > 0:
-            delta = (delta @ W.T) * (acts[k] > 0)
-    return _pack(grads[::-1])
+    out, delta = [], (acts[-1] - y[:, None]) / len(y)
+    for i in range(len(layers) - 1, -1, -1):
+        W, _ = layers[i]
+        g = acts[i].transpose(0, 2, 1) @ delta + (alpha / len(y))[:, None, None] * W
+        out[:0] = [g.reshape(len(flat), -1), delta.sum(axis=1)]
+        if i:
+            delta = (delta @ W.transpose(0, 2, 1)) * (acts[i] > 0)
+    return np.concatenate(out, axis=1)
 
 
 @dataclass
@@ -96,99 +97,249 @@ class MLPConfig:
     alpha: float = 1e-3
     learning_rate: float = 1e-2
     batch_size: int = 200
-    max_epochs: int = 200
-    patience: int = 10
+    max_epochs: int = 500
+    patience: int = 20
     tol: float = 1e-4
     seed: int = SEED
-    history: list = field(default_factory=list)
+    fold: int = NO_FOLD  # rows of this fold are not trained on
 
 
-def _epoch_fn(weights, shapes, features, label, cfg: MLPConfig, epoch: int, n_total: int):
-    def run(batches):
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        w = weights.copy()
-        val = pdf["__valid"].to_numpy(dtype=bool)
-        Xt = pdf.loc[~val, features].to_numpy(dtype=float)
-        yt = pdf.loc[~val, label].to_numpy(dtype=float)
-        m = np.zeros_like(w)
-        v = np.zeros_like(w)
-        b1, b2, eps = 0.9, 0.999, 1e-8
-        n = len(yt)
-        if n:
-            rng = np.random.default_rng(cfg.seed + epoch * 7919 + int(pdf["__part"].iloc[0]))
-            order = rng.permutation(n)
-            t = 0
-            for s in range(0, n, cfg.batch_size):
-                idx = order[s:s + cfg.batch_size]
-                g = _grad(w, shapes, Xt[idx], yt[idx], cfg.alpha, max(n_total, 1))
-                t += 1
-                m = b1 * m + (1 - b1) * g
-                v = b2 * v + (1 - b2) * g * g
-                w = w - cfg.learning_rate * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-        Xv = pdf.loc[val, features].to_numpy(dtype=float)
-        yv = pdf.loc[val, label].to_numpy(dtype=float)
-        # validation error of the epoch's starting weights (the averaged model)
-        sse_v = float(((forward(weights, shapes, Xv) - yv) ** 2).sum()) if len(yv) else 0.0
-        out = np.concatenate([w * n, [float(n), sse_v, float(len(yv))]])
-        yield pd.DataFrame({"acc": [out]})
+@dataclass
+class Network:
+    """Training state; ``fill``, ``mean``, ``scale`` transform the raw features."""
+
+    cfg: MLPConfig
+    affine: tuple[np.ndarray, np.ndarray, np.ndarray]
+    w: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+    steps: float = 0.0
+    epoch: int = 0
+    best: float = -np.inf
+    best_w: np.ndarray | None = None
+    waited: int = 0
+    history: list = field(default_factory=list)
+
+    @property
+    def shapes(self):
+        return _shapes(len(self.affine[0]), self.cfg.hidden)
+
+    @property
+    def done(self) -> bool:
+        return self.waited >= self.cfg.patience or self.epoch >= self.cfg.max_epochs
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.w if self.best_w is None else self.best_w
+
+    def judge(self, w: np.ndarray, sse: float, n: float, s: float, ss: float) -> None:
+        """Early stopping by R2 of ``w`` on the validation share."""
+        spread = ss - s * s / n if n else 0.0
+        r2 = 1 - sse / spread if spread > 0 else (0.0 if n else np.nan)
+        self.history.append((len(self.history), r2))
+        if not n or r2 > self.best + self.cfg.tol:
+            self.waited = 0
+        else:
+            self.waited += 1
+        if not n or r2 > self.best:
+            self.best, self.best_w = r2, w.copy()
+
+
+def new_network(cfg: MLPConfig, affine) -> Network:
+    w = init_weights(len(affine[0]), cfg.hidden, cfg.seed)
+    return Network(cfg, tuple(np.asarray(a, float) for a in affine), w, np.zeros_like(w), np.zeros_like(w))
+
+
+def _transformed(X: np.ndarray, affine) -> np.ndarray:
+    fill, mean, scale = affine
+    return (np.where(np.isnan(X), fill, X) - mean) / scale
+
+
+def _stacks(nets: list[Network]) -> list[list[int]]:
+    """Networks that train on the same rows in the same batches, by shape."""
+    by: dict = {}
+    for i, n in enumerate(nets):
+        by.setdefault((n.cfg.fold, n.cfg.hidden, n.cfg.batch_size, n.cfg.seed, n.epoch), []).append(i)
+    return list(by.values())
+
+
+def _epoch(nets: list[Network], X: np.ndarray, y: np.ndarray, group: int) -> None:
+    """One epoch of networks of one stack on a group's training rows."""
+    cfg, shapes = nets[0].cfg, nets[0].shapes
+    w, m, v = (np.stack([getattr(n, k) for n in nets]).astype(np.float32) for k in ("w", "m", "v"))
+    alpha = np.array([n.cfg.alpha for n in nets], np.float32)
+    rate = np.array([n.cfg.learning_rate for n in nets], np.float32)[:, None]
+    order = np.random.default_rng([cfg.seed, nets[0].epoch, group]).permutation(len(y))
+    t = nets[0].steps
+    for s in range(0, len(y), cfg.batch_size):
+        part = order[s:s + cfg.batch_size]
+        g = gradients(w, shapes, X[part], y[part], alpha)
+        t += 1
+        m += np.float32(1 - BETA1) * (g - m)
+        v += np.float32(1 - BETA2) * (g * g - v)
+        w -= rate * np.float32(np.sqrt(1 - BETA2 ** t) / (1 - BETA1 ** t)) * m / (np.sqrt(v) + np.float32(EPS))
+    for i, n in enumerate(nets):
+        n.w, n.m, n.v, n.steps, n.epoch = w[i].astype(float), m[i].astype(float), v[i].astype(float), t, n.epoch + 1
+
+
+def _errors(nets: list[Network], X, y) -> np.ndarray:
+    flat = np.stack([n.w for n in nets])
+    return ((outputs(flat, nets[0].shapes, X) - y) ** 2).sum(axis=1) if len(y) else np.zeros(len(nets))
+
+
+# -- groups -----------------------------------------------------------------
+
+def dealt_groups(rows: DataFrame, features: list[str], label: str, key: str, valid, rows_per_group: int = ROWS_PER_GROUP,
+                 lanes: int | None = None):
+    """``(units, number of groups, lanes)``: one row per (group, lane) with the group's rows as
+    arrays, in key hash order.  ``rows`` has ``fold``.  Lanes only share out the networks."""
+    y = F.col(label).cast("double")
+    src = rows.where(y.isNotNull()).select(F.col(key).cast("long").alias("k"), "fold", *[F.col(c).cast("double").alias(c) for c in features],
+                                           y.alias("y"), valid.alias("valid"))
+    groups = max(1, -(-src.count() // rows_per_group))
+    dealt = src.withColumn("h", F.conv(F.substring(key_hash_hex(F.col("k"), "#mlpdeal"), 1, 12), 16, 10).cast("long"))
+    dealt = dealt.withColumn("group", (F.col("h") % groups).cast("int"))
+
+    def pack(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["h", "k", "fold", *features, "y"])  # repeated keys: by their values
+        blob = pickle.dumps((t[features].to_numpy(float), t["y"].to_numpy(float), t["fold"].to_numpy(np.int64), t["valid"].to_numpy(bool)))
+        return pd.DataFrame({"group": [int(t["group"].iloc[0])], "rows": [blob]})
+
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    lanes = lanes or max(1, min(20, -(-2 * cores // groups)))
+    units = dealt.groupBy("group").applyInPandas(pack, "group int, rows binary")
+    units = units.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    units = units.withColumn("unit", F.col("group") * lanes + F.col("lane"))
+    return units.repartitionByRange(groups * lanes, "unit").persist(), groups, lanes
+
+
+def _train_unit(shared, lanes: int, alone: bool):
+    """Epochs of a unit's networks: one, or (``alone``: its group is all rows) until each stops."""
+    def run(frames):
+        for pdf in frames:
+            for group, lane, blob in zip(pdf["group"], pdf["lane"], pdf["rows"], strict=True):
+                nets: list[Network] = pickle.loads(shared.value)
+                stacks = [s for i, s in enumerate(_stacks(nets)) if i % lanes == lane]
+                X, y, fold, valid = pickle.loads(blob)
+                out = []
+                for stack in stacks:
+                    part = [nets[i] for i in stack]
+                    mine = fold != part[0].cfg.fold
+                    train, held = mine & ~valid, mine & valid
+                    Xt, yt = _transformed(X[train], part[0].affine).astype(np.float32), y[train].astype(np.float32)
+                    Xv, yv = _transformed(X[held], part[0].affine), y[held]
+                    sums = (float(len(yv)), float(yv.sum()), float((yv * yv).sum()))
+                    if alone:
+                        left = list(part)
+                        while left:
+                            _epoch(left, Xt, yt, int(group))
+                            for n, sse in zip(left, _errors(left, Xv, yv), strict=True):
+                                n.judge(n.w, float(sse), *sums)
+                            left = [n for n in left if not n.done]
+                        out += [(i, nets[i]) for i in stack]
+                    else:
+                        before = _errors(part, Xv, yv)  # of the weights all groups start from
+                        _epoch(part, Xt, yt, int(group))
+                        rows = float(len(yt))
+                        out += [(i, np.concatenate([rows * nets[i].w, rows * nets[i].m, rows * nets[i].v, [rows * nets[i].steps, rows, e, *sums]]))
+                                for i, e in zip(stack, before, strict=True)]
+                yield pd.DataFrame({"group": [group], "lane": [lane], "part": [pickle.dumps(out)]})
     return run
 
 
-def train_mlp(train: DataFrame, features: list[str], label: str, valid_flag, cfg: MLPConfig,
-              partitions: int | None = None):
-    """Fit on ``train`` (rows with ``valid_flag`` true are the validation share).
-    Returns (weights, shapes, history of (epoch, val_rmse))."""
-    spark = train.sparkSession
-    src = train.select(*features, label, valid_flag.alias("__valid"))
-    if partitions is None:
-        # each task holds its partition in pandas: bound the rows per partition
-        n_rows = src.count()
-        partitions = max(spark.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_PARTITION))
-    data = src.repartition(partitions).withColumn("__part", F.spark_partition_id())
-    from adlift.operators.train import checkpointed
-    data = checkpointed(data)
-    n_total = data.where(~F.col("__valid")).count()
-    shapes = _shapes(len(features), cfg.hidden)
-    w = init_weights(len(features), cfg.hidden, cfg.seed)
-    best, best_w, wait = np.inf, w, 0
-    history = []
-    for epoch in range(cfg.max_epochs):
-        fn = _epoch_fn(w, shapes, features, label, cfg, epoch, n_total)
-        acc = data.mapInPandas(fn, "acc array<double>")
-        summed = (acc.select(F.posexplode("acc").alias("pos", "val")).groupBy("pos")
-                  .agg(F.sum("val").alias("val")).orderBy("pos").collect())
-        vec = np.array([r["val"] for r in summed])
-        n_tr, sse_v, n_v = vec[-3], vec[-2], vec[-1]
-        val_rmse = float(np.sqrt(sse_v / n_v)) if n_v else float("nan")
-        history.append((epoch, val_rmse))
-        if epoch > 0:  # validation of the weights that started this epoch
-            if val_rmse < best - cfg.tol:
-                best, best_w, wait = val_rmse, w, 0
-            else:
-                wait += 1
-                if wait >= cfg.patience:
-                    break
-        w = vec[:-3] / max(n_tr, 1.0)
-    cfg.history = history
-    return (best_w if np.isfinite(best) else w), shapes, history
-
-
-def predict(df: DataFrame, weights: np.ndarray, shapes, features: list[str], keep: list[str],
-            out: str = "prediction") -> DataFrame:
+def _added(parts: list[bytes]) -> bytes:
+    total: dict = {}
+    for p in parts:
+        for i, x in pickle.loads(p):
+            total[i] = total[i] + x if i in total else x
+    return pickle.dumps(sorted(total.items()))
+
+
+def _summed(parts: DataFrame, groups: int) -> list[bytes]:
+    """Parts added in group order, ``FAN_IN`` neighbours at a time, until few are left per lane."""
+    def add(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("group")
+        return pd.DataFrame({"group": [int(t["group"].iloc[0]) // FAN_IN], "lane": [int(t["lane"].iloc[0])], "part": [_added(list(t["part"]))]})
+    while groups > FAN_IN:
+        parts = parts.groupBy((F.col("group") / FAN_IN).cast("int").alias("above"), "lane").applyInPandas(add, "group int, lane int, part binary")
+        groups = -(-groups // FAN_IN)
+    return [bytes(r["part"]) for r in sorted(parts.collect(), key=lambda r: (r["group"], r["lane"]))]
+
+
+def train_networks(units: DataFrame, groups: int, lanes: int, nets: list[Network]) -> list[Network]:
+    """Train all networks; a job per round, with those still running."""
+    sc = units.sparkSession.sparkContext
+    schema = "group int, lane int, part binary"
+    while running := [i for i, n in enumerate(nets) if not n.done]:
+        shared = sc.broadcast(pickle.dumps([nets[i] for i in running]))  # size set by the networks
+        parts = units.mapInPandas(_train_unit(shared, lanes, groups == 1), schema)
+        if groups == 1:
+            for p in _summed(parts, 1):
+                for i, n in pickle.loads(p):
+                    nets[running[i]] = n
+        else:
+            for i, x in pickle.loads(_added(_summed(parts, groups))):
+                n = nets[running[i]]
+                size = len(n.w)
+                rows, sse, *sums = x[3 * size + 1:]
+                if n.epoch:
+                    n.judge(n.w, sse, *sums)
+                n.epoch += 1
+                if not n.done:
+                    n.w, n.m, n.v = (x[k * size:(k + 1) * size] / max(rows, 1.0) for k in range(3))
+                    n.steps = x[3 * size] / max(rows, 1.0)
+        shared.destroy()
+    return nets
+
+
+def train_mlp(train: DataFrame, features: list[str], label: str, valid_flag, cfg: MLPConfig, key: str,
+              rows_per_group: int = ROWS_PER_GROUP) -> Network:
+    """One network on prepared features (rows with ``valid_flag`` are the validation share)."""
+    m = len(features)
+    units, groups, lanes = dealt_groups(train.withColumn("fold", F.lit(0)), features, label, key, valid_flag, rows_per_group, lanes=1)
+    try:
+        return train_networks(units, groups, lanes, [new_network(cfg, (np.zeros(m), np.zeros(m), np.ones(m)))])[0]
+    finally:
+        units.unpersist()
+
+
+def predict(df: DataFrame, net: Network, features: list[str], keep: list[str], out: str = "prediction") -> DataFrame:
     """Score rows batch-wise with the trained weights (mapInPandas)."""
+    weights, shapes, affine = net.weights, net.shapes, net.affine
+
     def run(batches):
         for pdf in batches:
-            X = pdf[features].to_numpy(dtype=float)
-            res = pdf[keep].copy()
-            res[out] = forward(weights, shapes, X) if len(pdf) else np.zeros(0)
-            yield res
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
+            X = _transformed(pdf[features].to_numpy(dtype=float), affine)
+            yield pdf[keep].assign(**{out: forward(weights, shapes, X) if len(pdf) else np.zeros(0)})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
     return df.select(*keep, *[c for c in features if c not in keep]).mapInPandas(run, f"{schema}, {out} double")
 
 
+def held_errors(rows: DataFrame, nets: list[Network], features: list[str], label: str) -> dict[int, float]:
+    """Squared error of every network on the rows of its own fold, in one pass."""
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(pickle.dumps([(n.cfg.fold, n.affine, n.weights, n.cfg.hidden) for n in nets]))
+
+    def run(batches):
+        known = pickle.loads(shared.value)
+        stacks: dict = {}
+        for i, (fold, _, w, hidden) in enumerate(known):
+            stacks.setdefault((fold, hidden), []).append((i, w))
+        for pdf in batches:
+            X, y, fold = pdf[features].to_numpy(float), pdf[label].to_numpy(float), pdf["fold"].to_numpy()
+            out = []
+            for (f, hidden), part in stacks.items():
+                mine = fold == f
+                if mine.any():
+                    affine = known[part[0][0]][1]
+                    p = outputs(np.stack([w for _, w in part]), _shapes(X.shape[1], hidden), _transformed(X[mine], affine))
+                    out += [(i, float(e)) for (i, _), e in zip(part, ((p - y[mine]) ** 2).sum(axis=1), strict=True)]
+            yield pd.DataFrame(out, columns=["net", "sse"]).astype({"net": "int32", "sse": "float64"})
+    src = rows.where(F.col(label).isNotNull()).select("fold", *[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias(label))
+    found = src.mapInPandas(run, "net int, sse double").groupBy("net").agg(F.sum("sse").alias("sse")).collect()
+    return {r["net"]: r["sse"] for r in found}
+
+
 def grid_points(grid: dict | None = None) -> list[dict]:
     """Every combination of the MLP grid (layers x alpha x learning rate)."""
     from itertools import product
@@ -199,48 +350,57 @@ def grid_points(grid: dict | None = None) -> list[dict]:
             for l, a, lr in product(g["layers"], g["alpha"], g["learningRate"])]
 
 
-def cross_validate_mlp(folded: DataFrame, grid: list[dict], n_folds: int | None = None,
-                       max_epochs: int = 200, label: str | None = None, key: str | None = None,
-                       patience: int = 10) -> dict:
-    """Grid search for the MLP on the ``fold`` column (X13 + X14).
+def raw_features() -> list[str]:
+    """The columns that ``raw_columns`` adds, in the order of the transformed features."""
+    from adlift.constants import CATEGORIES, NUMERIC
+    return [*NUMERIC, *[f"is_{v.lower()}" for v in CATEGORIES]]
+
+
+def raw_columns(df: DataFrame) -> DataFrame:
+    from adlift.constants import CATEGORICAL, CATEGORIES
+    return df.withColumns({f"is_{v.lower()}": F.coalesce(F.col(CATEGORICAL) == v, F.lit(False)).cast("double") for v in CATEGORIES})
+
+
+def affine_of(prep) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fill values, means and scales of a fitted preprocessor over ``raw_features``."""
+    from adlift.constants import CATEGORIES
+    k = len(CATEGORIES)
+    return (np.append(prep.getOrDefault("medians"), np.zeros(k)), np.append(prep.getOrDefault("means"), np.zeros(k)),
+            np.append(prep.getOrDefault("scales"), np.ones(k)))
+
 
-    For every grid point and fold the preprocessor is refitted on the other
-    folds (no leakage), the network is trained data-parallel with early
-    stopping on a hash-chosen validation share of those rows, and the held-out
-    fold is scored; the best mean RMSE wins and is refitted on all rows.
-    Each training is a distributed job sequence; the driver only loops over
-    the (grid point, fold) list, as CrossValidator does.
-    """
+def cross_validate_mlp(folded: DataFrame, grid: list[dict], preps: dict | None = None, n_folds: int | None = None,
+                       max_epochs: int = 500, patience: int = 20, label: str | None = None, key: str | None = None,
+                       rows_per_group: int = ROWS_PER_GROUP) -> dict:
+    """Grid search on the ``fold`` column (X13 + X14): the networks of all points and folds
+    train together, each with the preprocessor of its other folds; then the best mean RMSE
+    is trained on all rows."""
     from adlift.constants import KEY, N_FOLDS, TARGET
-    from adlift.functions.scalar import hash_unit
-    from adlift.operators.evaluate import regression_metrics
-    from adlift.operators.prep import CampaignPreprocessor, output_columns
+    from adlift.operators import cube
 
-    n_folds = n_folds or N_FOLDS
-    label, key = label or TARGET, key or KEY
-    feats = output_columns()
+    label, key, folds = label or TARGET, key or KEY, list(range(n_folds or N_FOLDS))
+    preps = preps or cube.fit_preprocessors(folded, [*folds, cube.ALL])
+    rows, feats = raw_columns(folded), raw_features()
     valid = (hash_unit(F.col(key), "#mlpvalid", 8) % 10) == 0
 
-    def fit(rows, params):
-        prep = CampaignPreprocessor().fit(rows)
-        cfg = MLPConfig(hidden=params["layers"], alpha=params["alpha"], learning_rate=params["learningRate"],
-                        max_epochs=max_epochs, patience=patience)
-        w, shapes, hist = train_mlp(prep.transform(rows), feats, label, valid, cfg)
-        return prep, w, shapes, hist
-
-    results = []
-    for params in grid:
-        per_fold = []
-        for f in range(n_folds):
-            prep, w, shapes, _ = fit(folded.where(F.col("fold") != f), params)
-            held = prep.transform(folded.where(F.col("fold") == f))
-            scored = predict(held, w, shapes, feats, [label])
-            m = regression_metrics(scored.select(F.col(label).alias("y_true"), F.col("prediction").alias("y_pred"),
-                                                 F.lit(0).alias("g")), ["g"]).first()
-            per_fold.append((m["rmse"], m["r2"]))
-        results.append({"params": params, "cv_rmse": float(np.mean([r for r, _ in per_fold])),
-                        "cv_r2": float(np.mean([q for _, q in per_fold]))})
-    best = min(results, key=lambda r: r["cv_rmse"])
-    prep, w, shapes, hist = fit(folded, best["params"])
-    return {"best_params": best["params"], "cv_rmse": best["cv_rmse"], "cv_r2": best["cv_r2"],
-            "results": results, "preprocessor": prep, "weights": w, "shapes": shapes, "epochs": len(hist)}
+    def network(p, f):
+        cfg = MLPConfig(hidden=tuple(p["layers"]), alpha=p["alpha"], learning_rate=p["learningRate"], max_epochs=max_epochs, patience=patience, fold=f)
+        return new_network(cfg, affine_of(preps[f]))
+
+    units, groups, lanes = dealt_groups(rows, feats, label, key, valid, rows_per_group)
+    try:
+        nets = train_networks(units, groups, lanes, [network(p, f) for p in grid for f in folds])
+        sse = held_errors(rows, nets, feats, label)
+        y = F.col(label).cast("double")
+        sums = {r["fold"]: r for r in rows.where(y.isNotNull()).groupBy("fold").agg(F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss")).collect()}
+        results = []
+        for i, p in enumerate(grid):
+            per = [(sse.get(i * len(folds) + j, 0.0), sums[f]) for j, f in enumerate(folds) if f in sums]
+            results.append({"params": p, "cv_rmse": float(np.mean([np.sqrt(e / r["n"]) for e, r in per])),
+                            "cv_r2": float(np.mean([1 - e / (r["ss"] - r["s"] ** 2 / r["n"]) for e, r in per]))})
+        best = min(results, key=lambda r: r["cv_rmse"])
+        final = train_networks(units, groups, lanes, [network(best["params"], cube.ALL)])[0]
+    finally:
+        units.unpersist()
+    return {"best_params": best["params"], "cv_rmse": best["cv_rmse"], "cv_r2": best["cv_r2"], "results": results,
+            "preprocessor": preps[cube.ALL], "network": final, "networks": nets, "epochs": final.epoch}

@@ -1,44 +1,18 @@
-"""Model registry, pipelines and cross-validation on Spark ML.
+"""Spark ML pipelines over the campaign preprocessor.
 
-Every model is ``Pipeline([CampaignPreprocessor, estimator])`` so the
-preprocessing is refitted inside every fold (no leakage).  Cross-validation
-uses ``CrossValidator`` with the hash-assigned ``fold`` column; the train
-table is checkpointed to the shared checkpoint folder first, so the ~50 fits
-of a grid read a short lineage and survive executor loss.
+``Pipeline([CampaignPreprocessor, estimator])`` refits the preprocessing with every
+fit (no leakage).  The grid search of all models is in ``tuning``.
 """
 
 from __future__ import annotations
 
-import json
-import time
-from itertools import product
-
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from adlift.constants import GBT_GRID, N_FOLDS, RF_GRID, SEED, TARGET
+from adlift.constants import SEED, TARGET
 from adlift.operators.prep import CampaignPreprocessor
-
-LR_NAME, RF_NAME, GBT_NAME, MLP_NAME = "Linear Regression", "Random Forest", "XGBoost", "MLP (Deep Learning)"
-SPARK_MAX_DEPTH = 30  # an unlimited depth maps to Spark's maximum
-
-# Grid profiles: "full" is the studied project's grid; "quick" keeps the same
-# axes with fewer points for tests.
-PROFILES = {
-    "full": {"rf": RF_GRID, "gbt": GBT_GRID},
-    "quick": {"rf": {"numTrees": [20], "maxDepth": [6, 10], "minSplit": [2]},
-              "gbt": {"maxIter": [20], "maxDepth": [3, 5], "stepSize": [0.1]}},
-}
-
-
-def _min_instances(min_split: int) -> int:
-    """sklearn min_samples_split -> Spark minInstancesPerNode (children of a
-    split node need at least this many rows; nearest equivalent)."""
-    return max(1, min_split // 2)
+from adlift.operators.tuning import GBT_NAME, LR_NAME, RF_NAME
 
 
 def estimators(label: str = TARGET):
@@ -52,71 +26,5 @@ def ml_pipeline(estimator) -> Pipeline:
     return Pipeline(stages=[CampaignPreprocessor(outputCol="features"), estimator])
 
 
-def param_grid(name: str, est, profile: str = "quick"):
-    """List of (param map for the pipeline's estimator, readable dict)."""
-    if name == LR_NAME:
-        return [({}, {})]
-    grid = PROFILES[profile]["rf" if name == RF_NAME else "gbt"]
-    keys = list(grid)
-    out = []
-    for combo in product(*(grid[k] for k in keys)):
-        readable = dict(zip(keys, combo))
-        pm = {}
-        for k, v in readable.items():
-            if k == "maxDepth":
-                pm[est.maxDepth] = SPARK_MAX_DEPTH if v is None else v
-            elif k == "minSplit":
-                pm[est.minInstancesPerNode] = _min_instances(v)
-            else:
-                pm[getattr(est, k)] = v
-        out.append((pm, readable))
-    return out
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into ``spark.checkpoint.dir`` (shared storage)."""
-    from adlift.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def cross_validate(folded: DataFrame, name: str, est, profile: str = "quick", parallelism: int | None = None,
-                   label: str = TARGET) -> dict:
-    """Grid search with ``CrossValidator`` on the ``fold`` column; RMSE picks the
-    best point, R2 of the same point is measured on each held-out fold with
-    the fold's sub-model; the best pipeline is refitted on all rows."""
-    grid = param_grid(name, est, profile)
-    if parallelism is None:
-        # fits of different grid points / folds run concurrently; each fit is
-        # itself parallel, so half the cores avoids oversubscription (measured
-        # at sf0.1 on 8 cores: random forest 35 s at 2-4 concurrent fits, 52 s at 8)
-        cores = folded.sparkSession.sparkContext.defaultParallelism
-        parallelism = max(1, min(len(grid) * N_FOLDS, cores // 2))
-    pipe = ml_pipeline(est)
-    maps = [{k: v for k, v in pm.items()} for pm, _ in grid]
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps if maps != [{}] else [{}], evaluator=ev,
-                        numFolds=N_FOLDS, foldCol="fold", parallelism=parallelism, collectSubModels=True,
-                        seed=SEED)
-    t0 = time.time()
-    model = cv.fit(folded)
-    elapsed = time.time() - t0
-    metrics = list(model.avgMetrics)
-    best = min(range(len(metrics)), key=lambda i: metrics[i])
-    r2 = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
-    r2s = [r2.evaluate(model.subModels[f][best].transform(folded.where(F.col("fold") == f)))
-           for f in range(N_FOLDS)]
-    return {"model": name, "cv_rmse": float(metrics[best]), "cv_r2": float(sum(r2s) / len(r2s)),
-            "time_sec": float(elapsed), "best_params": json.dumps(grid[best][1]) if grid[best][1] else "N/A",
-            "fitted": model.bestModel}
-
-
-def fit(train: DataFrame, name: str, est, params: dict | None = None) -> PipelineModel:
-    pipe = ml_pipeline(est.copy(params or {}))
-    return pipe.fit(train)
-
-
-def timed_fit(train: DataFrame, name: str, est, params: dict | None = None):
-    t0 = time.time()
-    m = fit(train, name, est, params)
-    return m, time.time() - t0
+def fit(train: DataFrame, estimator, params: dict | None = None) -> PipelineModel:
+    return ml_pipeline(estimator.copy(params or {})).fit(train)

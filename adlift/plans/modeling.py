@@ -1,11 +1,15 @@
-"""Registered modeling queries: Gram sums (with oracle) and the Spark-ML /
-MLP / Shapley / bootstrap / footprint jobs (rows-only checks + property tests)."""
+"""Registered modeling queries: Gram sums (with oracle) and the tuning, registry,
+explanation and bootstrap jobs (rows-only checks + property tests).
+
+The whole grid is tuned once per session and scale; every job here explains, judges or
+scores with the tuned models.  The one with the lowest test RMSE is promoted to the
+session's registry, which the champion jobs read."""
 
 from __future__ import annotations
 
 import json
 import threading
-import time
+import uuid
 
 import numpy as np
 from pyspark.sql import Window
@@ -15,23 +19,22 @@ from adlift.constants import FEATURES, KEY, TARGET
 from adlift.functions.scalar import hash_unit
 from adlift.operators import bootstrap as BS
 from adlift.operators import evaluate as EV
+from adlift.operators import explain as XP
 from adlift.operators import mlp as MLP
 from adlift.operators import train as TR
 from adlift.operators import treeshap as TS
+from adlift.operators import tuning as TU
 from adlift.operators.prep import feature_labels, output_columns
 from adlift.operators.profile import clean_target
 from adlift.operators.split import hash_sample
 from adlift.plans.preparation import PREP_CTES, fold_table, prepared, split_table
 from adlift.plans.registry import query
+from adlift.session import shared_path
+from adlift.sources import registry as REG
 from adlift.sources.campaigns import campaigns
 
 FEATURE_COLS = output_columns()
 GRAM_COLS = ["intercept"] + FEATURE_COLS + [TARGET]
-# Fixed hyper-parameters of the models fitted once per session for the
-# explanation and champion jobs (one point of the quick grids).
-CHAMPION_PARAMS = {TR.GBT_NAME: {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1},
-                   TR.RF_NAME: {"numTrees": 30, "maxDepth": 8},
-                   TR.LR_NAME: {}}
 BACKGROUND_N = 50
 MLP_EPOCHS, MLP_PATIENCE = 500, 20  # as in the studied project
 
@@ -39,35 +42,35 @@ _CACHE: dict = {}
 _CACHE_LOCK = threading.Lock()
 
 
-def _ctx(spark, sf):
-    """Split and the three fitted pipelines, once per (session, sf); concurrent
-    callers wait for the first fit instead of repeating it."""
+def tuned(spark, sf) -> dict:
+    """The split and the tuned models, once per (session, sf); concurrent callers wait for
+    the first search instead of repeating it."""
     with _CACHE_LOCK:
-        return _build_ctx(spark, sf)
-
-
-def _build_ctx(spark, sf):
-    k = (spark.sparkContext.applicationId, sf)
-    if k in _CACHE:
+        k = (spark.sparkContext.applicationId, sf)
+        if k not in _CACHE:
+            sp = split_table(spark, sf)  # materialized once per session
+            found = TU.tune(fold_table(spark, sf), epochs=MLP_EPOCHS, patience=MLP_PATIENCE)
+            _CACHE[k] = {"split": sp, "train": sp.where(F.col("split") == "train"), "test": sp.where(F.col("split") == "test"),
+                         "search": found, "models": {r["model"]: r["fitted"] for r in found}}
         return _CACHE[k]
-    sp = split_table(spark, sf)  # materialized once per session
-    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-    ests = TR.estimators()
-    fitted, times = {}, {}
-    for name, est in ests.items():
-        params = {getattr(est, p): v for p, v in CHAMPION_PARAMS[name].items()}
-        fitted[name], times[name] = TR.timed_fit(train, name, est, params)
-    _CACHE[k] = {"split": sp, "train": train, "test": test, "models": fitted, "times": times}
-    return _CACHE[k]
 
 
-def _gbt(model):
-    return model.stages[-1]
+def registry_root(spark, sf) -> str:
+    """The session's registry, with the tuned model of lowest test RMSE promoted."""
+    ctx = tuned(spark, sf)
+    with _CACHE_LOCK:
+        if "registry" not in ctx:
+            report = _ml_metrics(ctx).collect()  # a row per model
+            best = min(report, key=lambda r: (r["rmse_test"], r["model"]))
+            root = shared_path(spark, f"registry-{uuid.uuid4().hex[:12]}")
+            REG.promote(spark, root, ctx["models"][best["model"]], {k: v for k, v in best.asDict().items() if k != "model"})
+            ctx["registry"] = root
+    return ctx["registry"]
 
 
 def _transformed(ctx, df):
     """Rows with the seven transformed feature columns of the fitted preprocessor."""
-    return ctx["models"][TR.GBT_NAME].stages[0].transform(df)
+    return ctx["models"][TU.GBT_NAME].features(df)
 
 
 # -------------------------------------------------------------- Gram sums
@@ -116,8 +119,8 @@ def linear_fit(spark, sf):
     """Spark ML LinearRegression coefficients next to the closed-form
     (Gram) minimum-norm solution.  One-hot + intercept is rank deficient, so
     coefficients may differ while predictions agree (see tests)."""
-    ctx = _ctx(spark, sf)
-    lr = ctx["models"][TR.LR_NAME].stages[-1]
+    train = split_table(spark, sf).where(F.col("split") == "train")
+    lr = TR.fit(train, TR.estimators()[TU.LR_NAME]).stages[-1]
     beta = solve_gram(gram_matrix(spark, sf).collect())
     names = ["intercept"] + feature_labels()
     ml = [float(lr.intercept)] + [float(c) for c in lr.coefficients]
@@ -127,65 +130,61 @@ def linear_fit(spark, sf):
 
 # ------------------------------------------------------------ CV results
 @query("cv_results")
-def cv_results(spark, sf, profile: str = "full"):
-    """5-fold grid search per model on the fold column
-    (CrossValidator; the MLP by ``cross_validate_mlp``), CV RMSE / R2, wall time and
-    best parameters.  The quick profile leaves the MLP out."""
-    folded = fold_table(spark, sf)  # materialized once per session
-    rows = []
-    for name, est in TR.estimators().items():
-        r = TR.cross_validate(folded, name, est, profile)
-        rows.append((r["model"], r["cv_rmse"], r["cv_r2"], r["time_sec"], r["best_params"]))
-    if profile == "full":
-        t0 = time.time()
-        r = MLP.cross_validate_mlp(folded, MLP.grid_points(), max_epochs=MLP_EPOCHS, patience=MLP_PATIENCE)
-        rows.append((TR.MLP_NAME, r["cv_rmse"], r["cv_r2"], time.time() - t0, json.dumps(r["best_params"])))
-    df = spark.createDataFrame(rows, "model string, cv_rmse double, cv_r2 double, time_sec double, best_params string")
-    return df.orderBy("cv_rmse")
+def cv_results(spark, sf):
+    """5-fold grid search over all 41 points of the four models,
+    CV RMSE / R2, wall time and best parameters."""
+    rows = [(r["model"], r["cv_rmse"], r["cv_r2"], float(r["time_sec"]), json.dumps(r["best_params"]) if r["best_params"] else "N/A")
+            for r in tuned(spark, sf)["search"]]
+    return spark.createDataFrame(rows, "model string, cv_rmse double, cv_r2 double, time_sec double, best_params string").orderBy("cv_rmse")
+
+
+@query("cv_grid")
+def cv_grid(spark, sf):
+    """Mean RMSE and R2 over the folds of every grid point, and its rank in its model."""
+    rows = [(r["model"], json.dumps(x["params"]), x["cv_rmse"], x["cv_r2"]) for r in tuned(spark, sf)["search"] for x in r["results"]]
+    df = spark.createDataFrame(rows, "model string, params string, cv_rmse double, cv_r2 double")
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy("cv_rmse", "params")))
 
 
 # ----------------------------------------------------- champion and cards
 def _ml_metrics(ctx):
-    preds = []
-    for name, m in ctx["models"].items():
-        preds.append(m.transform(ctx["split"]).select(KEY, "split", F.lit(name).alias("model"),
-                                                      F.col(TARGET).alias("y_true"),
-                                                      F.col("prediction").alias("y_pred")))
-    allp = preds[0].unionByName(preds[1]).unionByName(preds[2])
+    keep = ctx["split"].select(KEY, "split", *FEATURES, TARGET)
+    preds = [m.transform(keep, "y_pred").select("split", F.lit(name).alias("model"), F.col(TARGET).alias("y_true"), "y_pred")
+             for name, m in ctx["models"].items()]
+    allp = preds[0]
+    for p in preds[1:]:
+        allp = allp.unionByName(p)
     return EV.evaluation_report(EV.regression_metrics(allp, ["model", "split"]))
 
 
 @query("champion_card")
 def champion_card(spark, sf):
-    """X19 + X20: champion by test RMSE among the fitted pipelines, with its
-    metrics, verdict and feature list (one row)."""
-    ctx = _ctx(spark, sf)
-    rep = _ml_metrics(ctx)
-    from adlift.operators.quantiles import scalars
-    best = scalars(rep.agg(F.min_by("model", F.struct("rmse_test", "model")).alias("m")))["m"]
-    return (rep.where(F.col("model") == best)
-            .select(F.col("model").alias("name"), F.lit("regression").alias("task"), F.lit(TARGET).alias("target"),
-                    "rmse_test", "r2_test", "mape_test", F.col("verdict").alias("overfitting_verdict"),
-                    F.array(*[F.lit(f) for f in feature_labels()]).alias("features")))
+    """X19 + X20: the registry's champion with its version, metrics, verdict, parameters and
+    feature list (one row)."""
+    row, _ = REG.champion(spark, registry_root(spark, sf))
+    m = row["metrics"]
+    df = spark.createDataFrame([(row["version"], row["model"], "regression", TARGET, m["rmse_test"], m["r2_test"], m["mape_test"], m["verdict"],
+                                 json.dumps(row["params"]), feature_labels())],
+                               "version int, name string, task string, target string, rmse_test double, r2_test double, mape_test double, "
+                               "overfitting_verdict string, best_params string, features array<string>")
+    return df
 
 
 @query("native_importance")
 def native_importance(spark, sf):
     """Split-gain importance of the boosted trees per transformed feature."""
-    ctx = _ctx(spark, sf)
-    imp = _gbt(ctx["models"][TR.GBT_NAME]).featureImportances.toArray()
-    rows = [(f, float(v)) for f, v in zip(feature_labels(), imp)]
+    imp = tuned(spark, sf)["models"][TU.GBT_NAME].importances()
+    rows = [(f, float(v)) for f, v in zip(feature_labels(), imp, strict=True)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.withColumn("importance_pct", 100 * F.col("importance") / F.sum("importance").over(Window.partitionBy()))
 
 
 # ------------------------------------------------------------- Shapley
 def tree_shap_df(spark, sf):
-    ctx = _ctx(spark, sf)
-    gbt = _gbt(ctx["models"][TR.GBT_NAME])
-    trees = TS.tree_arrays(TS.node_table(gbt, spark, "gbt"))
+    ctx = tuned(spark, sf)
+    trees, weights, base = ctx["models"][TU.GBT_NAME].trees()
     rows = _transformed(ctx, ctx["test"])
-    return TS.tree_shap(rows, trees, list(gbt.treeWeights), FEATURE_COLS, KEY), rows
+    return TS.tree_shap(rows, trees, weights, FEATURE_COLS, KEY, base), rows
 
 
 @query("tree_shap")
@@ -213,9 +212,9 @@ def shap_long(spark, sf):
 def coalition_shapley(spark, sf):
     """E4R: exact interventional Shapley values on the 4 raw features for every
     test row, against a 50-row seeded background sample of the train split."""
-    ctx = _ctx(spark, sf)
+    ctx = tuned(spark, sf)
     bg = [r.asDict() for r in hash_sample(ctx["train"].select(KEY, *FEATURES), BACKGROUND_N).collect()]
-    return TS.coalition_shapley(ctx["test"], bg, ctx["models"][TR.GBT_NAME], FEATURES, KEY)
+    return TS.coalition_shapley(ctx["test"], bg, ctx["models"][TU.GBT_NAME], FEATURES, KEY)
 
 
 # ------------------------------------------------------------------ MLP
@@ -228,11 +227,11 @@ def mlp_fit(spark, sf, max_epochs: int = MLP_EPOCHS, patience: int = MLP_PATIENC
     train = pf.where(F.col("split") == "train")
     valid = (hash_unit(F.col(KEY), "#mlpvalid", 8) % 10) == 0
     cfg = MLP.MLPConfig(max_epochs=max_epochs, patience=patience)
-    w, shapes, hist = MLP.train_mlp(train, FEATURE_COLS, TARGET, valid, cfg)
-    scored = MLP.predict(pf, w, shapes, FEATURE_COLS, [KEY, "split", TARGET])
+    net = MLP.train_mlp(train, FEATURE_COLS, TARGET, valid, cfg, KEY)
+    scored = MLP.predict(pf, net, FEATURE_COLS, [KEY, "split", TARGET])
     met = EV.regression_metrics(scored.select("split", F.col(TARGET).alias("y_true"),
                                               F.col("prediction").alias("y_pred")), ["split"])
-    return met.withColumn("model", F.lit(TR.MLP_NAME)).withColumn("epochs", F.lit(len(hist)))
+    return met.withColumn("model", F.lit(TU.MLP_NAME)).withColumn("epochs", F.lit(net.epoch))
 
 
 # ------------------------------------------------------------- bootstrap
@@ -254,13 +253,11 @@ def waterfall_values(spark, sf):
     value, at most 10 bars) of the boosted trees at the 10 / 50 / 90 % rows of
     the explanation sample.  Only the chosen rows are explained (broadcast
     semi-join with the three chosen keys)."""
-    from adlift.operators import explain as XP
-    ctx = _ctx(spark, sf)
+    ctx = tuned(spark, sf)
     chosen = XP.waterfall_rows(XP.explanation_sample(ctx["test"].select(KEY, TARGET)))
     rows = _transformed(ctx, ctx["test"].join(F.broadcast(chosen.select(KEY)), KEY, "left_semi"))
-    gbt = _gbt(ctx["models"][TR.GBT_NAME])
-    trees = TS.tree_arrays(TS.node_table(gbt, spark, "gbt-waterfall"))
-    ts = TS.tree_shap(rows, trees, list(gbt.treeWeights), FEATURE_COLS, KEY)
+    trees, weights, base = ctx["models"][TU.GBT_NAME].trees()
+    ts = TS.tree_shap(rows, trees, weights, FEATURE_COLS, KEY, base)
     names = F.array(*[F.lit(f) for f in feature_labels()])
     long = ts.select(KEY, "base_value", F.inline(F.arrays_zip(names.alias("feature"),
                                                               F.col("contributions").alias("contribution"))))
@@ -273,16 +270,15 @@ def importance_synthesis_ml(spark, sf, repeats: int = 10):
     permutation importance of the raw features (10 repeats, test split) and
     mean |TreeSHAP| per transformed feature, folded to raw features, joined
     and normalised — the interpretability report of the fitted champion."""
-    from adlift.operators import explain as XP
-    ctx = _ctx(spark, sf)
-    model = ctx["models"][TR.GBT_NAME]
+    ctx = tuned(spark, sf)
+    model = ctx["models"][TU.GBT_NAME]
     labels = feature_labels()
     native = spark.createDataFrame(
-        [(f.lower(), float(v)) for f, v in zip(labels, _gbt(model).featureImportances.toArray())],
+        [(f.lower(), float(v)) for f, v in zip(labels, model.importances(), strict=True)],
         "feature string, native double")
 
     def predict(d):
-        return model.transform(d).withColumnRenamed("prediction", "y_pred")
+        return model.transform(d, "y_pred")
 
     perm = XP.permutation_importance(ctx["test"], predict, FEATURES, repeats) \
         .select("feature", F.col("importance_mean").alias("permutation"))
@@ -295,6 +291,6 @@ def importance_synthesis_ml(spark, sf, repeats: int = 10):
 
 @query("evaluation_report_ml")
 def evaluation_report_ml(spark, sf):
-    """X17 + X18 + F5 on the fitted pipelines (linear regression, random forest,
-    boosted trees): train / test MAE, RMSE, R2, MAPE, gaps and verdict."""
-    return _ml_metrics(_ctx(spark, sf))
+    """X17 + X18 + F5 on the four tuned models: train / test MAE, RMSE, R2, MAPE, gaps and
+    verdict."""
+    return _ml_metrics(tuned(spark, sf))

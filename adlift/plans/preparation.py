@@ -176,7 +176,7 @@ def grid_points() -> list[tuple[str, str]]:
             return "-".join(str(x) for x in v)
         return str(v)
     out = []
-    for model, grid in (("Random Forest", RF_GRID), ("XGBoost", GBT_GRID), ("MLP (Deep Learning)", MLP_GRID)):
+    for model, grid in (("Random Forest", RF_GRID), ("Gradient Boosting", GBT_GRID), ("MLP (Deep Learning)", MLP_GRID)):
         keys = list(grid)
         for combo in product(*(grid[k] for k in keys)):
             out.append((model, ";".join(f"{k}={fmt(v)}" for k, v in zip(keys, combo))))

@@ -114,6 +114,19 @@ def test_permuting_unused_feature_changes_nothing(clean):
     assert pi["tv"]["importance_mean"] > 0
 
 
+def _expected(tree, X, fixed, node=0):
+    """The tree walked with the features of ``fixed`` set and the others averaged by cover."""
+    left, right = int(tree["left"][node]), int(tree["right"][node])
+    if left < 0:
+        return np.full(X.shape[0], tree["value"][node])
+    lv, rv = _expected(tree, X, fixed, left), _expected(tree, X, fixed, right)
+    f = int(tree["feature"][node])
+    if f in fixed:
+        return np.where(X[:, f] <= tree["threshold"][node], lv, rv)
+    cl, cr = tree["cover"][left], tree["cover"][right]
+    return (cl * lv + cr * rv) / (cl + cr)
+
+
 def _brute_shapley(tree, x):
     used = sorted({int(f) for f, l in zip(tree["feature"], tree["left"]) if l >= 0})
     X = x[None, :]
@@ -125,7 +138,7 @@ def _brute_shapley(tree, x):
         for size in range(len(others) + 1):
             w = math.factorial(size) * math.factorial(k - size - 1) / math.factorial(k)
             for s in combinations(others, size):
-                phi[i] += w * (TS._expected(tree, X, frozenset(s) | {i})[0] - TS._expected(tree, X, frozenset(s))[0])
+                phi[i] += w * (_expected(tree, X, frozenset(s) | {i})[0] - _expected(tree, X, frozenset(s))[0])
     return phi
 
 

@@ -1,37 +1,220 @@
-"""The registered tuning jobs run the studied project's whole grid and epochs."""
+"""The tuning jobs: every grid point of the studied project, equal to models fitted one by one."""
 
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from adlift.constants import FEATURES, KEY, TARGET
+from adlift.operators import cube as C
+from adlift.operators import forest as FO
 from adlift.operators import mlp as MLP
-from adlift.operators import train as TR
-from adlift.plans import modeling
-
-
-def test_cv_results_runs_the_full_grid_and_the_mlp(spark, monkeypatch):
-    calls = []
-
-    def grid_search(folded, name, est, profile):
-        calls.append((name, len(TR.param_grid(name, est, profile))))
-        return {"model": name, "cv_rmse": 2.0, "cv_r2": 0.5, "time_sec": 0.0, "best_params": "N/A"}
-
-    def mlp_search(folded, grid, max_epochs, patience):
-        calls.append((TR.MLP_NAME, len(grid), max_epochs, patience))
-        return {"best_params": grid[0], "cv_rmse": 1.0, "cv_r2": 0.6}
-    monkeypatch.setattr(modeling, "fold_table", lambda spark, sf: None)
-    monkeypatch.setattr(TR, "cross_validate", grid_search)
-    monkeypatch.setattr(MLP, "cross_validate_mlp", mlp_search)
-    rows = modeling.cv_results(spark, "unused").collect()
-    assert calls == [(TR.LR_NAME, 1), (TR.RF_NAME, 12), (TR.GBT_NAME, 12), (TR.MLP_NAME, 16, 500, 20)]
-    assert [r["model"] for r in rows][0] == TR.MLP_NAME and len(rows) == 4
-
-
-def test_mlp_fit_may_take_500_epochs_with_patience_20(spark, monkeypatch):
-    class Stop(Exception):
-        pass
-
-    def train(rows, features, label, valid, cfg):
-        raise Stop(cfg.max_epochs, cfg.patience)
-    monkeypatch.setattr(modeling, "prepared", lambda spark, sf: spark.createDataFrame([("train",)], "split string"))
-    monkeypatch.setattr(MLP, "train_mlp", train)
-    try:
-        modeling.mlp_fit(spark, "unused")
-    except Stop as e:
-        assert e.args == (500, 20)
+from adlift.operators import split as S
+from adlift.operators import treeshap as TS
+from adlift.operators import tuning as TU
+from adlift.operators.prep import CampaignPreprocessor, output_columns
+from adlift.operators.profile import clean_target
+from adlift.sources import registry as REG
+from adlift.sources.campaigns import campaigns
+from adlift.sources.results import MissingInput
+
+from conftest import SF_SMALL
+
+SMALL = {TU.RF_NAME: {"numTrees": [3, 7], "maxDepth": [None, 2, 4], "minSplit": [2, 30]},
+         TU.GBT_NAME: {"maxIter": [4, 9], "maxDepth": [2, 3], "stepSize": [0.1, 0.3]},
+         TU.MLP_NAME: {"layers": [(8,)], "alpha": [1e-4, 1e-3], "learningRate": [1e-2]}}
+
+
+@pytest.fixture(scope="module")
+def folded(spark):
+    clean = clean_target(campaigns(spark, SF_SMALL))
+    return S.kfold(S.train_test_split(clean).where("split = 'train'")).select(KEY, *FEATURES, TARGET, "fold").cache()
+
+
+@pytest.fixture(scope="module")
+def small_search(folded):
+    return {r["model"]: r for r in TU.tune(folded, grids=SMALL, epochs=4)}
+
+
+def test_the_grid_has_the_41_points():
+    assert [len(TU.points(m)) for m in TU.MODELS] == [1, 12, 12, 16]
+
+
+def _walk(nodes, bins):
+    out = np.empty(len(bins))
+    for i, x in enumerate(bins):
+        at = 0
+        while nodes["left"][at] >= 0:
+            at = nodes["right"][at] if x[nodes["feature"][at]] > nodes["bin"][at] else nodes["left"][at]
+        out[i] = nodes["value"][at]
+    return out
+
+
+def _fold_rows(folded, f, prep):
+    rows = folded.withColumn("cell", C.fit_binnings(folded, {f: prep})[f].cell()).toPandas().sort_values("cell")
+    return rows[rows["fold"] != f], rows[rows["fold"] == f]
+
+
+def test_points_equal_models_grown_and_scored_apart(folded, small_search):
+    preps = {f: CampaignPreprocessor().fit(folded.where(F.col("fold") != f)) for f in range(5)}
+    rmse = {}
+    for f, prep in preps.items():
+        train, held = _fold_rows(folded, f, prep)
+        cells, at = np.unique(np.concatenate([train["cell"], held["cell"]]), return_inverse=True)
+        bins, at, mine = C.cell_bins(cells), at[:len(train)], at[len(train):]
+        y, n = train[TARGET].to_numpy(), np.bincount(at, minlength=len(cells)).astype(float)
+        s, ss = np.bincount(at, y, len(cells)), np.bincount(at, y * y, len(cells))
+        for p in TU.points(TU.RF_NAME, SMALL):
+            trees = [FO.grow(bins, *FO.bootstrap(n, s, ss, TU.SEED, t), TU._limit(p["maxDepth"]), p["minSplit"])[0] for t in range(p["numTrees"])]
+            pred = np.mean([_walk(t, bins[mine]) for t in trees], axis=0)
+            rmse.setdefault((TU.RF_NAME, str(p)), []).append(np.sqrt(np.mean((pred - held[TARGET]) ** 2)))
+        for p in TU.points(TU.GBT_NAME, SMALL):
+            base, trees, _ = FO.boost(bins, n, s, p["maxIter"], p["maxDepth"], p["stepSize"], TU.RIDGE)
+            pred = base + p["stepSize"] * sum(_walk(t, bins[mine]) for t in trees)
+            rmse.setdefault((TU.GBT_NAME, str(p)), []).append(np.sqrt(np.mean((pred - held[TARGET]) ** 2)))
+    for name in (TU.RF_NAME, TU.GBT_NAME):
+        for r in small_search[name]["results"]:
+            assert r["cv_rmse"] == pytest.approx(np.mean(rmse[name, str(r["params"])]), rel=1e-9)
+
+
+def test_a_tree_takes_the_best_split():
+    rng = np.random.default_rng(1)
+    bins = np.stack([rng.integers(0, 6, 80), rng.integers(0, 3, 80)], axis=1)
+    w, y = rng.integers(0, 4, 80).astype(float), rng.normal(size=80)
+    nodes, pred, _ = FO.grow(bins, w, w * y, max_depth=1)
+    best = max(((w[m] @ y[m]) ** 2 / w[m].sum() + (w[~m] @ y[~m]) ** 2 / w[~m].sum(), j, b)
+               for j, top in ((0, 5), (1, 2)) for b in range(top) for m in [bins[:, j] <= b])
+    assert (nodes["feature"][0], nodes["bin"][0]) == best[1:]
+    full = FO.grow(bins, w, w * y)[0]  # wide tables and lists of bins agree, whatever the size of the level
+    assert (full["cover"][full["left"] < 0].sum(), full["cover"][0]) == (w.sum(), w.sum())
+
+
+def test_preprocessors_of_all_folds_equal_single_fits(folded):
+    got = C.fit_preprocessors(folded, [0, 3, C.ALL])
+    for f, m in got.items():
+        want = CampaignPreprocessor().fit(folded if f == C.ALL else folded.where(F.col("fold") != f))
+        for k in ("medians", "means", "scales"):
+            assert m.getOrDefault(k) == pytest.approx(want.getOrDefault(k), rel=1e-12)
+
+
+def test_linear_regression_from_moments(folded, small_search):
+    rmse = []
+    for f in range(5):
+        prep = CampaignPreprocessor().fit(folded.where(F.col("fold") != f))
+        rows = prep.transform(folded).toPandas()
+        x = np.column_stack([np.ones(len(rows)), rows[output_columns()].to_numpy()])
+        mine = (rows["fold"] == f).to_numpy()
+        beta = np.linalg.lstsq(x[~mine], rows[TARGET][~mine], rcond=None)[0]
+        rmse.append(np.sqrt(np.mean((x[mine] @ beta - rows[TARGET][mine]) ** 2)))
+    assert small_search[TU.LR_NAME]["cv_rmse"] == pytest.approx(np.mean(rmse), rel=1e-8)
+
+
+@pytest.mark.parametrize("name", TU.MODELS)
+def test_saved_models_load_and_score_alike(spark, folded, small_search, name):
+    m = small_search[name]["fitted"]
+    back = TU.load_fitted(spark, m.path)
+    rows = folded.unionByName(spark.createDataFrame([(-1, 1e6, None, -5.0, "Giga", 1.0, 0)], folded.schema))
+    a = {r[KEY]: r["prediction"] for r in m.transform(rows).collect()}
+    assert a == {r[KEY]: r["prediction"] for r in back.transform(rows).collect()} and len(a) == rows.count()
+    assert all(math.isfinite(v) for v in a.values())
+
+
+@pytest.mark.parametrize("name", [TU.RF_NAME, TU.GBT_NAME])
+def test_trees_on_features_predict_as_the_cell_table(folded, small_search, name):
+    m = small_search[name]["fitted"]
+    trees, weights, base = m.trees()
+    rows = {r[KEY]: r for r in TS.tree_shap(m.features(folded), trees, weights, output_columns(), KEY, base).collect()}
+    for r in m.transform(folded).collect():
+        e = rows[r[KEY]]
+        assert e["prediction"] == pytest.approx(r["prediction"], rel=1e-9)
+        assert e["base_value"] + sum(e["contributions"]) == pytest.approx(e["prediction"], rel=1e-9)
+
+
+def test_tree_shap_with_twenty_features():
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 2, (400, 20))
+    y = bins @ rng.normal(size=20) + bins[:, 0] * bins[:, 1]
+    t = FO.grow(bins, np.ones(400), y)[0]
+    tree = {**t, "feature": np.maximum(t["feature"], 0), "threshold": t["bin"] + 0.5}
+    base, phi, pred = TS.tree_shap_matrix([tree], [1.0], bins[:50].astype(float))
+    assert np.allclose(base + phi.sum(axis=1), pred) and np.allclose(pred, FO.follow(t, bins[:50]))
+
+
+# -- networks ---------------------------------------------------------------
+
+def _weights(folded, parts, per_group, calls=None):
+    rows = MLP.raw_columns(folded.repartition(parts))
+    valid = F.col(KEY) % 10 == 0
+    prep = CampaignPreprocessor().fit(folded)
+    units, groups, lanes = MLP.dealt_groups(rows, MLP.raw_features(), TARGET, KEY, valid, per_group)
+    nets = [MLP.new_network(MLP.MLPConfig(hidden=h, max_epochs=e, fold=f), MLP.affine_of(prep)) for h in ((8,), (6, 4)) for f, e in ((0, 5), (1, 3))]
+    out = MLP.train_networks(units, groups, lanes, nets)
+    units.unpersist()
+    return groups, out
+
+
+@pytest.mark.parametrize("per_group", [100_000, 90])
+def test_weights_do_not_depend_on_partitions(folded, per_group):
+    groups, a = _weights(folded, 2, per_group)
+    _, b = _weights(folded, 7, per_group)
+    assert groups == (1 if per_group > 1000 else -(-folded.count() // 90))
+    for x, y in zip(a, b, strict=True):
+        assert np.abs(x.weights - y.weights).max() <= 1e-9 and x.history == y.history
+    assert [n.epoch for n in a] == [5, 3, 5, 3]
+
+
+def test_all_networks_share_the_jobs_of_a_round(spark, folded):
+    rows = MLP.raw_columns(folded)
+    units, groups, lanes = MLP.dealt_groups(rows, MLP.raw_features(), TARGET, KEY, F.col(KEY) % 10 == 0, 300)
+    units.count()
+    affine = MLP.affine_of(CampaignPreprocessor().fit(folded))
+    nets = [MLP.new_network(MLP.MLPConfig(hidden=h, max_epochs=4, fold=f), affine) for h in ((8,), (6, 4)) for f in range(5)]
+    spark.sparkContext.setJobGroup("networks", "ten networks, four epochs")
+    MLP.train_networks(units, groups, lanes, nets)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("networks")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    units.unpersist()
+    assert groups > 1 and len(jobs) == 4
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(0)
+    X, y, shapes = rng.normal(size=(12, 3)), rng.normal(size=12), MLP._shapes(3, (4, 3))
+    w = np.stack([MLP.init_weights(3, (4, 3), s) for s in (1, 2)])
+    alpha = np.array([0.0, 0.5])
+
+    def loss(flat):
+        squares = sum((W ** 2).sum(axis=(1, 2)) for W, _ in MLP._layers(flat, shapes))
+        return ((MLP.outputs(flat, shapes, X) - y) ** 2).mean(axis=1) / 2 + alpha * squares / 2 / len(y)
+    g = MLP.gradients(w, shapes, X, y, alpha)
+    for i in range(w.shape[1]):
+        d = np.zeros_like(w)
+        d[:, i] = 1e-6
+        assert (loss(w + d) - loss(w - d)) / 2e-6 == pytest.approx(g[:, i], abs=1e-5)
+
+
+def test_held_errors_are_those_of_the_predictions(folded):
+    nets = [MLP.new_network(MLP.MLPConfig(hidden=(5,), fold=f), MLP.affine_of(CampaignPreprocessor().fit(folded))) for f in (0, 2)]
+    rows = MLP.raw_columns(folded)
+    got = MLP.held_errors(rows, nets, MLP.raw_features(), TARGET)
+    for i, n in enumerate(nets):
+        p = MLP.predict(rows.where(F.col("fold") == n.cfg.fold), n, MLP.raw_features(), [TARGET]).toPandas()
+        assert got[i] == pytest.approx(((p["prediction"] - p[TARGET]) ** 2).sum(), rel=1e-9)
+
+
+# -- registry ---------------------------------------------------------------
+
+def test_a_promotion_cut_short_leaves_the_champion(spark, small_search, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(MissingInput):
+        REG.champion(spark, root)
+    a, b = small_search[TU.LR_NAME]["fitted"], small_search[TU.GBT_NAME]["fitted"]
+    assert REG.promote(spark, root, a, {"rmse_test": 2.0}) == 1
+    (tmp_path / "registry" / "version=2").mkdir()  # rows on their way, no mark yet
+    assert REG.champion(spark, root)[0]["model"] == TU.LR_NAME and REG.newest(spark, root) == 1
+    assert REG.promote(spark, root, b, {"rmse_test": 1.0}) == 3
+    row, model = REG.champion(spark, root)
+    assert (row["version"], row["model"], row["metrics"]["rmse_test"], model.path) == (3, TU.GBT_NAME, 1.0, b.path)
+    assert REG.champion(spark, root, 1)[0]["model"] == TU.LR_NAME
+    assert sorted(r["version"] for r in REG.history(spark, root).collect()) == [1, 3]
