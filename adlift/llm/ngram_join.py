@@ -16,9 +16,12 @@ Plan, exact at every size:
 3. Prefix shingles are dealt by hash into buckets of bounded size; lists held by
    one class alone vanish there.  Lists of frequent shingles stay plain rows.
 4. Round one checks every list member against its list's hub (its smallest
-   class): a group of m near copies costs about m checks, not m * m.  Round two
-   compares only members of one list that are still in different components, block
-   by block on bitmaps, lists with the same members once.  Pairs already connected need no check, so components are exact.
+   class): a group of m near copies costs about m checks, not m * m.  Round two checks
+   the members of long lists that are still in different components against a few pivots.
+   Round three takes what is still open, lists with the same members once, as pairs of
+   blocks bounded in shingles: bitmaps choose the members that have a candidate, only
+   those bring their sets, and a block's search gives a forest of links, fewer than its
+   members.  Pairs already connected need no check, so components are exact.
 5. A check is a bitmap bound on the overlap (exact upper bound), then
    T-occurrence search: the query's shingles select inverted lists over a block
    of candidate sets; the short lists are merged, the L longest are probed by
@@ -41,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adlift.llm.graph import connected_components
+from adlift.llm.graph import UnionFind, connected_components
 from adlift.llm.store import written
 from adlift.llm.textops import shingle_sets
 from adlift.session import ensure_checkpoint_dir
@@ -50,10 +53,12 @@ SHINGLE_WORDS = 5
 MIN_JACCARD = 75            # per cent
 HEAVY_SHARE = 2e-6          # a shingle with this share of all shingles is ordered last
 BUCKET_POSTINGS = 400_000   # prefix shingles per bucket
-FLUSH_POSTINGS = 1_000_000  # postings packed at once in a task
+FLUSH_POSTINGS = 500_000  # postings packed at once in a task
 BLOCK = 256                 # candidate sets per search block
 BROADCAST_ROWS = 500_000    # doc_ids (8 bytes) sent to every task; more are shuffled
-LIST_BLOCK = 512            # list members compared at once
+BLOCK_SHINGLES = 200_000    # shingles of the list members compared at once, about (at least one member)
+PIVOTS = 8                  # members of a long list that all others are compared with first
+PIVOT_LIST = 32             # members from which a list is long
 LONG_LIST_MU = 0.01         # DivideSkip: weight of log M in the number of long lists
 
 
@@ -72,6 +77,7 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
+MEMBER_SCHEMA = "token long, a int, b int, block int, cls long, comp long, n int, bits binary"
 SIGNATURE = "doc_id long, n int, cls long, bits binary, token long, c long"
 
 
@@ -98,7 +104,7 @@ def _signatures(k: int):
                 bits.append(_bitmap(s) if len(s) else None)
                 held.append(s)
                 size += len(s)
-                if size >= 4 * FLUSH_POSTINGS:
+                if size >= 2 * FLUSH_POSTINGS:
                     yield flush(held)
                     held, size = [], 0
             yield pa.RecordBatch.from_arrays(
@@ -250,28 +256,52 @@ def _bitmap_filter(batches):
         yield b.select(["x", "y"]).filter(ok)
 
 
-def _list_pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Pairs between two blocks of one list (or within one) whose ends are in different
-    components and whose bitmap bound reaches the need."""
+def _block_candidates(key: tuple[pa.Scalar, ...], t: pa.Table):
+    """Within the pair of blocks ``key`` of one list: per left row the right rows in other
+    components whose bitmap bound reaches the need."""
     _, a, b = (x.as_py() for x in key)
     blk, cls, comp = (t.column(c).to_numpy() for c in ("block", "cls", "comp"))
     n = t.column("n").to_numpy().astype(np.int64)
     raw = [np.frombuffer(x, np.uint64) for x in t.column("bits").to_pylist()]
     size = np.array([len(x) for x in raw])
     folded = {w: np.stack([_fold(x, w) if len(x) >= w else np.zeros(w, np.uint64) for x in raw]) for w in np.unique(size)}
-    left, right = np.flatnonzero(blk == a), np.flatnonzero(blk == b)
-    xs, ys = [], []
-    for i in left:
+    right = np.flatnonzero(blk == b)
+    for i in np.flatnonzero(blk == a):
         j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= MIN_JACCARD * np.maximum(n[right], n[i]))]
         j = j[cls[j] > cls[i]] if a == b else j
+        found = []
         for w in np.unique(np.minimum(size[j], size[i])):
             k = j[np.minimum(size[j], size[i]) == w]
             diff = np.bitwise_count(folded[w][k] ^ folded[w][i]).sum(axis=1, dtype=np.int64)
-            k = k[(n[i] + n[k] - diff) // 2 >= required(n[i], n[k])]
-            xs.append(np.full(len(k), cls[i]))
-            ys.append(cls[k])
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-    return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+            found.append(k[(n[i] + n[k] - diff) // 2 >= required(n[i], n[k])])
+        if found and len(k := np.concatenate(found)):
+            yield i, k
+
+
+def _list_members(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Members of a pair of blocks that have a candidate in it: at most one row each."""
+    some = np.zeros(t.num_rows, dtype=bool)
+    for i, k in _block_candidates(key, t):
+        some[i] = some[k] = True
+    t = t.filter(pa.array(some))
+    return t.select(["token", "a", "b", "block", "cls", "comp", "n", "bits"])
+
+
+def _list_forest(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Search within a pair of blocks with the whole sets at hand; of the links found those
+    that join what was not yet joined: fewer than members."""
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+    cls, comp = t.column("cls").to_pylist(), t.column("comp").to_pylist()
+    joined, u, v = UnionFind(), [], []
+    for i, k in _block_candidates(key, t):
+        k = [j for j in k.tolist() if joined.find(comp[j]) != joined.find(comp[i])]
+        if not k:
+            continue
+        for hit in divide_skip(sets[i], [sets[j] for j in k]).tolist():
+            if joined.union(comp[i], comp[k[hit]]):
+                u.append(cls[i])
+                v.append(cls[k[hit]])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -327,36 +357,59 @@ def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_bitmap_filter, "x long, y long")
 
 
-def cross_pairs(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members ``(token, cls, comp)`` of one list in different components that
-    pass the bitmap bound.  Lists with the same members are taken once; a long list is
-    dealt as pairs of blocks."""
+def open_lists(rest: DataFrame) -> DataFrame:
+    """``(token, m, shingles)`` of the lists ``(token, cls, comp, n)`` whose members are in
+    different components; lists with the same members once."""
     member = F.xxhash64("cls")
-    lists = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"),
-                                      F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("h")) \
-        .where("lo <> hi").groupBy("m", "s", "h").agg(F.min("token").alias("token")) \
-        .select("token", F.ceil(F.col("m") / LIST_BLOCK).cast("int").alias("nb"))
-    d = rest.join(lists, "token").withColumn("block", F.pmod(member, F.col("nb")).cast("int"))
-    d = d.join(classes.select("cls", "n", "bits"), "cls")
+    return rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"),
+                                     F.sum("n").alias("shingles"), F.sum(member.cast("decimal(38,0)")).alias("s"),
+                                     F.bit_xor(member).alias("h")) \
+        .where("lo <> hi").groupBy("m", "shingles", "s", "h").agg(F.min("token").alias("token")).select("token", "m", "shingles")
+
+
+def pivot_pairs(rest: DataFrame, lists: DataFrame) -> DataFrame:
+    """Members of long lists against the list's pivots, the members with the smallest hashes.
+    The hashes do not depend on the list, so lists that overlap share their pivots."""
+    long = lists.where(F.col("m") >= PIVOT_LIST).select("token")
+    d = rest.join(long, "token")
+    lowest = [F.min(F.struct(F.xxhash64(F.lit(i), "cls").alias("h"), "cls", "comp", "n")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = d.groupBy("token").agg(*lowest).select("token", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
+    fits = F.least("n", "p.n").cast("long") * 100 >= F.greatest("n", "p.n").cast("long") * MIN_JACCARD
+    return d.join(pivots, "token").where((F.col("comp") != F.col("p.comp")) & fits).select(F.col("p.cls").alias("x"), F.col("cls").alias("y")).distinct()
+
+
+def cross_links(rest: DataFrame, lists: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Links between members of one list in different components, as forests.  A list is
+    dealt as pairs of blocks of about ``BLOCK_SHINGLES``; bitmaps choose the members that have
+    a candidate, only those bring their sets."""
+    lists = lists.select("token", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("nb"))
+    d = rest.join(lists, "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    d = d.join(classes.select("cls", "bits"), "cls")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     d = d.select("token", "block", other.alias("o"), "cls", "comp", "n", "bits") \
         .withColumn("a", F.least("block", "o")).withColumn("b", F.greatest("block", "o")).drop("o")
-    return d.groupBy("token", "a", "b").applyInArrow(_list_pairs, "x long, y long").distinct()
+    d = d.groupBy("token", "a", "b").applyInArrow(_list_members, MEMBER_SCHEMA)
+    d = written(d, "members")
+    sets = class_sets(d.select("cls").distinct(), src, classes, k)
+    return d.join(sets, "cls").groupBy("token", "a", "b").applyInArrow(_list_forest, "u long, v long")
 
 
-def verified_links(pairs: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Links ``(u, v)`` among candidate pairs ``(x, y)`` of classes."""
-    p = written(pairs, "pairs")
-    # whole sets of the classes still in question, from their smallest document's text
-    ends = p.select(F.col("x").alias("cls")).union(p.select(F.col("y").alias("cls"))).distinct()
-    texts = written(classes.join(ends, "cls", "left_semi").select("rep", "cls"), "wanted")
-    wanted = texts.select("rep").distinct()
+def class_sets(wanted: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``(cls, set)`` of the wanted classes, from their smallest document's text."""
+    texts = written(classes.join(wanted, "cls", "left_semi").select("rep", "cls"), "wanted")
+    reps = texts.select("rep").distinct()
     if texts.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = src.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+        reps = F.broadcast(reps)
+    sets = src.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = sets.mapInArrow(_full_sets(k), "cls long, set binary")
     # a doc_id on several rows may bring other classes, or one class twice
-    sets = written(sets.join(texts.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    return written(sets.join(texts.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+
+def verified_links(pairs: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Links ``(u, v)`` among candidate pairs ``(x, y)`` of classes."""
+    p = written(pairs, "pairs")
+    sets = class_sets(p.select(F.col("x").alias("cls")).union(p.select(F.col("y").alias("cls"))).distinct(), src, classes, k)
     # a query with many candidates is dealt over several blocks, its set once to each
     blocks = p.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     cand = p.join(blocks, "x").withColumn("block", F.pmod(F.xxhash64("y"), F.col("nb")).cast("int"))
@@ -368,6 +421,13 @@ def verified_links(pairs: DataFrame, src: DataFrame, classes: DataFrame, k: int)
     return query.groupBy("query", "part").cogroup(cand.groupBy("x", "block")).applyInArrow(_search, "u long, v long")
 
 
+def _still_open(rest: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """List members with their components, and the lists that hold more than one."""
+    rest = rest.join(comp, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
+    rest = written(rest, "rest")
+    return rest, written(open_lists(rest), "open")
+
+
 def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                              k: int = SHINGLE_WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per input row."""
@@ -393,11 +453,15 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
     links = written(verified_links(bounded_pairs(first, classes), src, classes, k), "links1")
     comp = written(connected_components(links), "comp1")
 
-    # members of one list still in different components, hubs excepted
-    rest = listed.select("token", "cls").join(comp, F.col("cls") == F.col("node"), "left") \
-        .select("token", "cls", F.coalesce("component", "cls").alias("comp")).distinct()
-    more = written(verified_links(cross_pairs(written(rest, "rest"), classes), src, classes, k), "links2")
-    comp = written(connected_components(links.union(more)), "comp2")
+    # members of one list still in different components: against pivots, then all that is left
+    rest = lists.select("token", "cls", "n").distinct()
+    opened, todo = _still_open(rest, comp)
+    more = written(verified_links(bounded_pairs(pivot_pairs(opened, todo), classes), src, classes, k), "links2")
+    links = links.union(more)
+    comp = written(connected_components(links), "comp2")
+    opened, todo = _still_open(rest, comp)
+    links = links.union(written(cross_links(opened, todo, src, classes, k), "links3"))
+    comp = written(connected_components(links), "comp3")
 
     named = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left") \
         .select("cls", "rep", F.coalesce("component", "cls").alias("comp"))

@@ -115,3 +115,27 @@ def test_components_of_paths_and_stars(spark):
 def test_required_is_the_smallest_overlap(nx, ny):
     o = int(required(nx, ny))
     assert 100 * o >= 75 * (nx + ny - o) and 100 * (o - 1) < 75 * (nx + ny - o + 1)
+
+
+def test_ngram_join_group_whose_hub_links_with_few(spark, monkeypatch):
+    """300 near copies of a base text: two copies link where few words differ, the hub of a list may be far from most."""
+    import random
+
+    from adlift.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 4000)  # many pairs of blocks
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for d in range(300):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + i, " ".join(f"y{i}-{j}" if j % 9 else base[j] for j in range(60))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    sets = [(d, _shingles(t)) for d, t in rows]
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 100 * len(x & y) >= 75 * len(x | y)]
+    want = _components([d for d, _ in sets], links)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_components(df).collect()}
+    assert got == want and len(set(want.values())) > 31
