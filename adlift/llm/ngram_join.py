@@ -19,9 +19,9 @@ Plan, exact at every size:
    class): a group of m near copies costs about m checks, not m * m.  Round two checks
    the members of long lists that are still in different components against a few pivots.
    Round three takes what is still open, lists with the same members once, as pairs of
-   blocks bounded in shingles: bitmaps choose the members that have a candidate, only
-   those bring their sets, and a block's search gives a forest of links, fewer than its
-   members.  Pairs already connected need no check, so components are exact.
+   blocks bounded in shingles.  Bitmaps choose the candidates; where they are few the pairs
+   are checked, once for all lists, else the members bring their sets to the block, whose
+   search gives a forest of links.  Either way rows grow with members, not their square.  Pairs already connected need no check, so components are exact.
 5. A check is a bitmap bound on the overlap (exact upper bound), then
    T-occurrence search: the query's shingles select inverted lists over a block
    of candidate sets; the short lists are merged, the L longest are probed by
@@ -57,6 +57,7 @@ FLUSH_POSTINGS = 500_000  # postings packed at once in a task
 BLOCK = 256                 # candidate sets per search block
 BROADCAST_ROWS = 500_000    # doc_ids (8 bytes) sent to every task; more are shuffled
 BLOCK_SHINGLES = 200_000    # shingles of the list members compared at once, about (at least one member)
+PAIRS_A_MEMBER = 4          # candidate pairs a block may pass on per member; denser ones are searched in place
 PIVOTS = 8                  # members of a long list that all others are compared with first
 PIVOT_LIST = 32             # members from which a list is long
 LONG_LIST_MU = 0.01         # DivideSkip: weight of log M in the number of long lists
@@ -77,7 +78,7 @@ def class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-MEMBER_SCHEMA = "token long, a int, b int, block int, cls long, comp long, n int, bits binary"
+MEMBER_SCHEMA = "token long, a int, b int, block int, cls long, comp long, n int, bits binary, other long"
 SIGNATURE = "doc_id long, n int, cls long, bits binary, token long, c long"
 
 
@@ -279,12 +280,24 @@ def _block_candidates(key: tuple[pa.Scalar, ...], t: pa.Table):
 
 
 def _list_members(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """Members of a pair of blocks that have a candidate in it: at most one row each."""
-    some = np.zeros(t.num_rows, dtype=bool)
+    """What a pair of blocks leaves to check, at most ``PAIRS_A_MEMBER`` rows a member: its
+    candidate pairs (``cls``, ``other``), or, where they are more, the members that have
+    candidates (``other`` null)."""
+    cls = t.column("cls").to_numpy()
+    some, x, y, n = np.zeros(t.num_rows, dtype=bool), [], [], 0
     for i, k in _block_candidates(key, t):
         some[i] = some[k] = True
-    t = t.filter(pa.array(some))
-    return t.select(["token", "a", "b", "block", "cls", "comp", "n", "bits"])
+        n += len(k)
+        if n <= PAIRS_A_MEMBER * t.num_rows:
+            x.append(np.full(len(k), cls[i]))
+            y.append(cls[k])
+    names = ["token", "a", "b", "block", "cls", "comp", "n", "bits"]
+    if n <= PAIRS_A_MEMBER * int(some.sum()):
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y))
+        nothing = {c: pa.nulls(len(x), t.schema.field(c).type) for c in names}
+        return pa.table(nothing | {"cls": np.minimum(x, y), "other": np.maximum(x, y)})
+    t = t.filter(pa.array(some)).select(names)
+    return t.append_column("other", pa.nulls(t.num_rows, pa.int64()))
 
 
 def _list_forest(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
@@ -380,8 +393,8 @@ def pivot_pairs(rest: DataFrame, lists: DataFrame) -> DataFrame:
 
 def cross_links(rest: DataFrame, lists: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Links between members of one list in different components, as forests.  A list is
-    dealt as pairs of blocks of about ``BLOCK_SHINGLES``; bitmaps choose the members that have
-    a candidate, only those bring their sets."""
+    dealt as pairs of blocks of about ``BLOCK_SHINGLES``.  Bitmaps choose candidates; few pairs
+    are checked once for all lists, in dense blocks the members bring their sets."""
     lists = lists.select("token", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("nb"))
     d = rest.join(lists, "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     d = d.join(classes.select("cls", "bits"), "cls")
@@ -390,8 +403,11 @@ def cross_links(rest: DataFrame, lists: DataFrame, src: DataFrame, classes: Data
         .withColumn("a", F.least("block", "o")).withColumn("b", F.greatest("block", "o")).drop("o")
     d = d.groupBy("token", "a", "b").applyInArrow(_list_members, MEMBER_SCHEMA)
     d = written(d, "members")
-    sets = class_sets(d.select("cls").distinct(), src, classes, k)
-    return d.join(sets, "cls").groupBy("token", "a", "b").applyInArrow(_list_forest, "u long, v long")
+    few = d.where("other is not null").select(F.col("cls").alias("x"), F.col("other").alias("y")).distinct()
+    many = d.where("other is null").drop("other")
+    sets = class_sets(many.select("cls").distinct(), src, classes, k)
+    many = many.join(sets, "cls").groupBy("token", "a", "b").applyInArrow(_list_forest, "u long, v long")
+    return verified_links(few, src, classes, k).union(many)
 
 
 def class_sets(wanted: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:

@@ -139,3 +139,32 @@ def test_ngram_join_group_whose_hub_links_with_few(spark, monkeypatch):
     want = _components([d for d, _ in sets], links)
     got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard_components(df).collect()}
     assert got == want and len(set(want.values())) > 31
+
+
+@pytest.mark.parametrize("pairs", [0, 1000])
+def test_a_block_passes_pairs_or_members_and_loses_no_link(monkeypatch, pairs):
+    import pyarrow as pa
+
+    from adlift.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "PAIRS_A_MEMBER", pairs)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(200)[:rng.integers(150, 200)]], rng.integers(0, 2**63, 12).astype(np.uint64)])) for _ in range(40)]
+    t = pa.table({"token": [7] * 40, "a": pa.array([0] * 40, pa.int32()), "b": pa.array([1] * 40, pa.int32()),
+                  "block": pa.array([i % 2 for i in range(40)], pa.int32()), "cls": list(range(40)), "comp": [i if i > 3 else 0 for i in range(40)],
+                  "n": pa.array([len(s) for s in sets], pa.int32()), "bits": [ngram_join._bitmap(s) for s in sets]})
+    key = tuple(pa.scalar(x) for x in (7, 0, 1))
+    links = [(i, j) for i in range(0, 40, 2) for j in range(1, 40, 2) if t["comp"][i] != t["comp"][j]
+             and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    got = ngram_join._list_members(key, t)
+    if pairs:
+        found = list(zip(got["cls"].to_pylist(), got["other"].to_pylist()))
+        assert {(min(x), max(x)) for x in links} <= set(found)
+    else:
+        assert got["other"].null_count == got.num_rows <= 40
+        found = ngram_join._list_forest(key, got.drop_columns(["other"]).append_column("set", pa.array([sets[c].tobytes() for c in got["cls"].to_pylist()])))
+        found = list(zip(found["u"].to_pylist(), found["v"].to_pylist()))
+        assert len(found) < got.num_rows and {(min(x), max(x)) for x in found} <= {(min(x), max(x)) for x in links}
+        start = [(i, 0) for i in range(4)]
+        assert _components(range(40), found + start) == _components(range(40), links + start)
+    assert links
