@@ -196,12 +196,16 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def kde(df: DataFrame, col: str, grid: int = 100) -> DataFrame:
+KDE_BINS = 4096
+
+
+def kde(df: DataFrame, col: str, grid: int = 100, bins: int = KDE_BINS) -> DataFrame:
     """Gaussian kernel density on ``grid`` evenly spaced points from min to max,
-    Scott bandwidth h = std * n^(-1/5).
+    Scott bandwidth h = std * n^(-1/5), by linear binning and convolution.
 
-    Exact: each row emits its ``grid`` kernel terms in-stage (``explode`` of a
-    fixed-size sequence) and the partial aggregate keeps ``grid`` rows per task.
+    One aggregate deals every row's weight to the two ends of its bin (``bins`` + 1
+    rows whatever the table); the kernel is summed over those.  With bins of width d
+    a density is off by at most (d / h)^2 / 8 / (h sqrt(2 pi)).
     """
     x = df.where(F.col(col).isNotNull()).select(F.col(col).alias("x"))
     s = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_samp("x").alias("sd"),
@@ -209,10 +213,16 @@ def kde(df: DataFrame, col: str, grid: int = 100) -> DataFrame:
     st = scalars(s)
     lo, hi, sd, n = (st[c] for c in ("lo", "hi", "sd", "n"))
     h = sd * F.pow(n.cast("double"), F.lit(-0.2))
-    step = (hi - lo) / (grid - 1)
-    pts = x.select("x", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
-    z = (F.col("x") - (lo + F.col("g") * step)) / h
-    dens = pts.groupBy("g").agg(F.sum(F.exp(-0.5 * z * z)).alias("k"))
+    step, width = (hi - lo) / (grid - 1), (hi - lo) / bins
+    t = F.when(width > 0, (F.col("x") - lo) / width).otherwise(F.lit(0.0))
+    b = F.least(F.floor(t), F.lit(bins - 1))
+    parts = x.select(b.alias("b"), (t - b).alias("f")).groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.sum("f").alias("f"))
+    ends = F.array(F.struct(F.col("b").alias("j"), (F.col("c") - F.col("f")).alias("w")),
+                   F.struct((F.col("b") + 1).alias("j"), F.col("f").alias("w")))
+    binned = parts.select(F.inline(ends)).groupBy("j").agg(F.sum("w").alias("w"))
+    pts = binned.select("j", "w", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
+    z = ((lo + F.col("j") * width) - (lo + F.col("g") * step)) / h
+    dens = pts.groupBy("g").agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("k"))
     return dens.select(F.col("g").cast("int").alias("point"), (lo + F.col("g") * step).alias("x"),
                        (F.col("k") / (n * h * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density"))
 

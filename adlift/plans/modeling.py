@@ -208,13 +208,18 @@ def shap_long(spark, sf):
     return z.select(KEY, F.inline("z"))
 
 
+def background(spark, sf) -> list[dict]:
+    """The seeded background rows that absent features are averaged over."""
+    train = split_table(spark, sf).where(F.col("split") == "train")
+    return [r.asDict() for r in hash_sample(train.select(KEY, *FEATURES), BACKGROUND_N).collect()]
+
+
 @query("coalition_shapley")
 def coalition_shapley(spark, sf):
     """E4R: exact interventional Shapley values on the 4 raw features for every
     test row, against a 50-row seeded background sample of the train split."""
     ctx = tuned(spark, sf)
-    bg = [r.asDict() for r in hash_sample(ctx["train"].select(KEY, *FEATURES), BACKGROUND_N).collect()]
-    return TS.coalition_shapley(ctx["test"], bg, ctx["models"][TU.GBT_NAME], FEATURES, KEY)
+    return TS.coalition_shapley(ctx["test"], background(spark, sf), ctx["models"][TU.GBT_NAME], FEATURES, KEY)
 
 
 # ------------------------------------------------------------------ MLP
@@ -235,13 +240,28 @@ def mlp_fit(spark, sf, max_epochs: int = MLP_EPOCHS, patience: int = MLP_PATIENC
 
 
 # ------------------------------------------------------------- bootstrap
-@query("group_mean_ci")
+@query("group_mean_ci", f"""
+, r AS (SELECT campaign_id, influencer, sales FROM clean WHERE influencer IS NOT NULL),
+{BS.weights_sql('r')},
+m AS (SELECT influencer, rep, CASE WHEN sum(w) > 0 THEN sum(w * sales) / sum(w) END AS m FROM w GROUP BY influencer, rep),
+ci AS (SELECT influencer, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM m GROUP BY influencer)
+SELECT influencer, avg(sales) AS mean, count(*) AS n, ci_lo, ci_hi FROM r JOIN ci USING (influencer) GROUP BY influencer, ci_lo, ci_hi""",
+       round_cols=["mean", "ci_lo", "ci_hi"])
 def group_mean_ci(spark, sf):
     """Mean sales per influencer with a 95 % Poisson-bootstrap interval."""
     return BS.group_mean_ci(clean_target(campaigns(spark, sf)), "influencer", TARGET)
 
 
-@query("trend_band")
+@query("trend_band", f"""
+, r AS (SELECT campaign_id, tv, sales FROM clean WHERE tv IS NOT NULL),
+{BS.weights_sql('r')},
+s AS (SELECT rep, sum(w) AS n, sum(w * tv) AS sx, sum(w * sales) AS sy, sum(w * tv * sales) AS sxy, sum(w * tv * tv) AS sxx FROM w GROUP BY rep),
+b AS (SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b FROM s),
+ab AS (SELECT b, (sy - b * sx) / n AS a FROM b),
+p AS (SELECT min(tv) AS lo, (max(tv) - min(tv)) / 19 AS step, regr_slope(sales, tv) AS b0, regr_intercept(sales, tv) AS a0 FROM r),
+g AS (SELECT x.range AS g, lo + x.range * step AS xv, a0 + b0 * (lo + x.range * step) AS fit FROM p, range(20) x)
+SELECT CAST(g AS INTEGER) AS point, xv AS x, fit AS y_fit, quantile_cont(a + b * xv, 0.025) AS y_lo, quantile_cont(a + b * xv, 0.975) AS y_hi
+FROM g, ab GROUP BY g, xv, fit""", round_cols=["x", "y_fit", "y_lo", "y_hi"])
 def trend_band(spark, sf):
     """Trend of sales on tv with a 95 % bootstrap band on 20 points."""
     return BS.trend_band(clean_target(campaigns(spark, sf)), "tv", TARGET)

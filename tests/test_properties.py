@@ -186,8 +186,8 @@ def test_batch_equals_stream(spark, clean, tmp_dir):
                            checkpoint=f"{tmp_dir}/ckpt", max_files_per_trigger=2)
     q.awaitTermination(300)
     batch_ok, batch_rej = score_stream.scored_batch(req, model.predict(), "m")
-    got = spark.read.parquet(f"{tmp_dir}/out").drop("batch_id")
-    rej = spark.read.parquet(f"{tmp_dir}/rej").drop("batch_id")
+    got = score_stream.read_sink(spark, f"{tmp_dir}/out", f"{tmp_dir}/out").select(batch_ok.columns)
+    rej = score_stream.read_sink(spark, f"{tmp_dir}/rej", f"{tmp_dir}/out")
     assert sorted(got.collect()) == sorted(batch_ok.collect())
     assert sorted(r["request_id"] for r in rej.collect()) == sorted(r["request_id"] for r in batch_rej.collect())
     assert rej.count() > 0
@@ -373,3 +373,26 @@ def test_verdict_of_a_perfect_fit_on_train(spark):
     df = spark.createDataFrame([(1.0, 0.995, 0.0, 5.0), (1.0, 1.0, 0.0, 0.0)], "a double, b double, c double, d double")
     assert [r[0] for r in df.select(verdict("a", "b", "c", "d")).collect()] == ["OVERFITTING", "OK"]
 
+
+
+def test_binned_density_is_within_its_bound(clean):
+    from adlift.operators.profile import kde
+    x = np.array([r[TARGET] for r in clean.select(TARGET).collect()])
+    h = x.std(ddof=1) * len(x) ** -0.2
+    for bins in (4096, 64):
+        bound = ((x.max() - x.min()) / bins / h) ** 2 / 8 / (h * math.sqrt(2 * math.pi))
+        worst = max(abs(r["density"] - np.exp(-0.5 * ((x - r["x"]) / h) ** 2).sum() / (len(x) * h * math.sqrt(2 * math.pi)))
+                    for r in kde(clean, TARGET, 100, bins).collect())
+        assert worst <= bound * (1 + 1e-9) and bound > 0
+
+
+def test_bootstrap_weights_are_poisson_and_plans_hold_no_generate(clean):
+    from adlift.operators import bootstrap as BS
+    sums = BS.replicate_sums(clean, [], {"n": F.lit(1.0)}, 200).collect()
+    n = clean.count()
+    w = np.array([r["n"] for r in sums]) / n
+    assert len(w) == 200 and abs(w.mean() - 1) < 5 / math.sqrt(200 * n) and 0.5 < w.std() * math.sqrt(n) < 1.5
+    again = BS.replicate_sums(clean.repartition(7), [], {"n": F.lit(1.0)}, 200).collect()
+    assert sorted(map(tuple, sums)) == sorted(map(tuple, again))
+    plan = BS.group_mean_ci(clean, "influencer", TARGET)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan

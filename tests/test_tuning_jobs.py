@@ -218,3 +218,31 @@ def test_a_promotion_cut_short_leaves_the_champion(spark, small_search, tmp_path
     assert (row["version"], row["model"], row["metrics"]["rmse_test"], model.path) == (3, TU.GBT_NAME, 1.0, b.path)
     assert REG.champion(spark, root, 1)[0]["model"] == TU.LR_NAME
     assert sorted(r["version"] for r in REG.history(spark, root).collect()) == [1, 3]
+
+
+# -- stream on the registry -------------------------------------------------
+
+def test_stream_takes_the_new_champion_and_keeps_one_copy(spark, small_search, tmp_path):
+    from adlift.operators import score as SC
+    from adlift.streaming import score_stream as ST
+    root, out, rejected = str(tmp_path / "models"), str(tmp_path / "out"), str(tmp_path / "rejected")
+    a, b = small_search[TU.LR_NAME]["fitted"], small_search[TU.GBT_NAME]["fitted"]
+    rows = SC.requests_from_campaigns(campaigns(spark, SF_SMALL)).limit(300).cache()
+    first, second = rows.where("request_id % 2 = 0"), rows.where("request_id % 2 = 1")
+    REG.promote(spark, root, a, {})
+    ST.write_batch(first, 0, out, rejected, registry=root)
+    REG.promote(spark, root, b, {})
+    ST.write_batch(first, 0, out, rejected, registry=root)  # replayed after its commit
+    # killed between the sinks and the commit: rows of an attempt that no commit names
+    ok, bad = ST.scored_batch(second, a, a.name)
+    for df, path in ((ok, out), (bad, rejected)):
+        df.withColumn("model_version", F.lit(1)).write.parquet(f"{path}/batch_id=1/attempt=lost")
+    ST.write_batch(second, 1, out, rejected, registry=root)
+    good, refused = (ST.read_sink(spark, p, out).collect() for p in (out, rejected))
+    valid = SC.validate(rows)
+    assert sorted(r["request_id"] for r in good) == sorted(r["request_id"] for r in valid.where("is_valid").collect())
+    want = {r["request_id"]: r["errors_text"] for r in valid.where("not is_valid").collect()}
+    assert {r["request_id"]: r["errors_text"] for r in refused} == want and len(refused) == len(want) > 0
+    assert {(r["request_id"] % 2, r["model_version"], r["model_used"]) for r in good} == {(0, 1, a.name), (1, 2, b.name)}
+    plain = {r["request_id"]: r["prediction"] for r in b.transform(second).collect()}
+    assert all(r["predicted_sales_m"] == pytest.approx(plain[r["request_id"]], abs=1e-4) for r in good if r["request_id"] % 2)
