@@ -37,7 +37,9 @@ def residuals(pred: DataFrame, ids: list[str]) -> DataFrame:
 
 def residual_summary(pred: DataFrame, by: list[str]) -> DataFrame:
     """Residual mean, std (ddof 1), the +-2 sigma band and the joint range of
-    truth and prediction (endpoints of the perfect-prediction diagonal)."""
+    truth and prediction (endpoints of the perfect-prediction diagonal), over the rows
+    that have both."""
+    pred = pred.where(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
     r = F.col("y_true") - F.col("y_pred")
     return (pred.groupBy(*by)
             .agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean_residual"),

@@ -165,6 +165,11 @@ def group_stats(df: DataFrame, group: str, target: str = TARGET, method: str | N
             .withColumn(f"{group}_rank", category_rank(group)))
 
 
+def group_means(df: DataFrame, group: str, target: str = TARGET) -> DataFrame:
+    """Mean of ``target`` per group; null group dropped."""
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.avg(target).alias("mean"))
+
+
 def best_worst_group(stats: DataFrame, group: str) -> DataFrame:
     """Best and worst group by mean and the relative spread best/worst - 1 in %."""
     return stats.agg(
@@ -177,7 +182,7 @@ def best_worst_group(stats: DataFrame, group: str) -> DataFrame:
 
 # ---------------------------------------------------------- distributions
 def _range_of(df: DataFrame, col: str):
-    """Scalar-subquery columns for min and max of ``col`` (computed once)."""
+    """Min and max of ``col``, computed once and inlined as literals."""
     s = scalars(df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")))
     return s["lo"], s["hi"]
 
@@ -300,3 +305,33 @@ def parameter_ranges(df: DataFrame, cols: list[str], method: str | None = None)
     return grouped_with_quantiles(long_view(df.select(*cols), cols), ["feature"], "value", {"median": 0.5},
                                   [F.min(v).alias("min"), F.max(v).alias("max")], method) \
         .select("feature", "min", "max", "median")
+
+
+# ----------------------------------------------------------- linked panels
+def panels(df: DataFrame, cols: list[str], group: str, target: str, target_range: tuple[float, float], bins: int) -> DataFrame:
+    """All panels of a filtered view from one scan (R4): every row is tagged with the (panel,
+    group) pairs it belongs to and one aggregate serves them, so a new filter costs one pass.
+
+    ``kpi``: mean budget and target and their ratio; ``group``: target per category;
+    ``trend``: line and correlation of the target on each number; ``histogram``: counts in
+    ``bins`` equal bins of the filter's own target range (so no pass is needed to find it)."""
+    y, lo, width = F.col(target), target_range[0], (target_range[1] - target_range[0]) / bins
+    total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    none = F.lit(None).cast("double")
+    bin_ = F.least(F.floor((y - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int").cast("string")
+
+    def tag(panel, grp, x):
+        return F.struct(F.lit(panel).alias("panel"), grp.alias("grp"), x.alias("x"))
+    tags = [tag("kpi", F.lit("all"), total), tag("group", F.col(group), none), tag("histogram", bin_, none),
+            *[tag("trend", F.lit(c), F.col(c)) for c in cols]]
+    rows = df.select(y.alias("y"), F.inline(F.array(*tags)))
+    x, trend = F.col("x"), F.col("panel") == "trend"
+    known = F.count_if(x.isNotNull() & F.col("y").isNotNull()) > 1
+    agg = rows.groupBy("panel", "grp").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.stddev_samp("y").alias("std_y"),
+        F.min("y").alias("min_y"), F.max("y").alias("max_y"), F.when(known, F.regr_slope("y", "x")).alias("b"),
+        F.when(known, F.regr_intercept("y", "x")).alias("a"), F.when(known, F.corr("x", "y")).alias("c"))
+    ratio = F.when(F.col("mean_x") > 0, F.col("mean_y") / F.col("mean_x")).otherwise(F.lit(0.0))
+    return agg.select("panel", "grp", "n", "mean_x", "mean_y", "std_y", "min_y", "max_y", F.when(trend, F.col("b")).alias("slope"),
+                      F.when(trend, F.col("a")).alias("intercept"), F.when(trend, F.col("c")).alias("r"),
+                      F.when(F.col("panel") == "kpi", ratio).alias("roi"))

@@ -135,7 +135,7 @@ SELECT arg_max(influencer, mean) AS best_group, max(mean) AS best_mean,
        round_cols=["best_mean", "worst_mean", "spread_pct"])
 def best_worst_group(spark, sf):
     """D12."""
-    return P.best_worst_group(P.group_stats(clean(spark, sf), "influencer"), "influencer")
+    return P.best_worst_group(P.group_means(clean(spark, sf), "influencer"), "influencer")
 
 
 # ----------------------------------------------------------- correlations
@@ -329,6 +329,28 @@ def filter_coverage(spark, sf):
             .withColumn("pct_kept", 100.0 * F.col("n_kept") / F.col("n_total")))
 
 
+_LO, _HI = EXPLORER["sales"]
+
+
+@query("linked_panels", f"""
+, f AS (SELECT * FROM clean WHERE {_explorer_sql_pred()}),
+t AS (SELECT 'kpi' AS panel, 'all' AS grp, tv + radio + social_media AS x, sales AS y FROM f
+  UNION ALL SELECT 'group', influencer, NULL, sales FROM f
+  UNION ALL SELECT 'histogram', CAST(CAST(least(floor((sales - {_LO}) / {(_HI - _LO) / HIST_BINS}), {HIST_BINS - 1}) AS INTEGER) AS VARCHAR), NULL, sales FROM f
+  UNION ALL """ + " UNION ALL ".join(f"SELECT 'trend', '{c}', {c}, sales FROM f" for c in NUMERIC) + """)
+SELECT panel, grp, count(*) AS n, avg(x) AS mean_x, avg(y) AS mean_y, stddev_samp(y) AS std_y, min(y) AS min_y, max(y) AS max_y,
+  CASE WHEN panel = 'trend' AND regr_count(y, x) > 1 THEN regr_slope(y, x) END AS slope,
+  CASE WHEN panel = 'trend' AND regr_count(y, x) > 1 THEN regr_intercept(y, x) END AS intercept,
+  CASE WHEN panel = 'trend' AND regr_count(y, x) > 1 THEN corr(x, y) END AS r,
+  CASE WHEN panel = 'kpi' THEN CASE WHEN avg(x) > 0 THEN avg(y) / avg(x) ELSE CAST(0 AS DOUBLE) END END AS roi
+FROM t GROUP BY panel, grp""", round_cols=["mean_x", "mean_y", "std_y", "min_y", "max_y", "slope", "intercept", "r", "roi"])
+def linked_panels(spark, sf):
+    """KPIs, group statistics, trends and histogram of the filtered rows, one scan."""
+    df = clean(spark, sf)
+    kept = df.where(explorer_filter(df, EXPLORER["influencers"], EXPLORER["tv"], EXPLORER["sales"]))
+    return P.panels(kept, NUMERIC, "influencer", TARGET, EXPLORER["sales"], HIST_BINS)
+
+
 @query("campaign_roi", """
 SELECT campaign_id, tv + radio + social_media AS total_budget, sales,
        round(CASE WHEN tv + radio + social_media > 0 THEN sales / (tv + radio + social_media)

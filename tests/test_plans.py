@@ -32,3 +32,9 @@ def test_explorer_filters_pushed_to_parquet(spark):
 def test_row_local_keys_do_not_shuffle(spark, key):
     plan = _plan(E.queries()[key](spark, SF_SMALL))
     assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan
+
+
+def test_linked_panels_scan_once(spark):
+    from adlift.plans.profiling import linked_panels
+    plan = linked_panels(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
