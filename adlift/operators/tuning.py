@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlift.constants import GBT_GRID, KEY, MLP_GRID, N_FOLDS, NUMERIC, RF_GRID, SEED, TARGET
+from adlift.functions.scalar import slug_py
 from adlift.operators import cube as C
 from adlift.operators import forest as FO
 from adlift.operators import mlp as MLP
@@ -287,7 +288,7 @@ def tune(folded: DataFrame, names: list[str] = MODELS, grids: dict = GRIDS, n_fo
     for name in names:
         start, extra = time.time(), {}
         grid = points(name, grids)
-        where = f"{root}/{name.lower().replace(' ', '_').replace('(', '').replace(')', '')}"
+        where = f"{root}/{slug_py(name)}"
         if name == LR_NAME:
             groups, rows = C.moment_groups(folded, label), []
             for f in folds:
