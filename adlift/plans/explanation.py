@@ -28,21 +28,32 @@ def _predictor(model):
 
 
 # ------------------------------------------------------------------ SQL parts
-PERM_CTES = MODEL_CTES + f"""
+def _feistel_sql(x: str) -> str:
+    left, right = f"({x} // side)", f"({x} % side)"
+    for i in range(1, 2 * XP.PERM_ROUNDS, 2):
+        left, right = right, f"(({left} + ({right} * k[{i}] + k[{i + 1}]) % {XP.PERM_PRIME}) % side)"
+    return f"{left} * side + {right}"
+
+
+def _perm_ctes(jobs: list[tuple[str, int]]) -> str:
+    """The test rows, numbered by key, with one feature taken from the row that a walk leads from."""
+    values = ", ".join(f"('{f}', {r}, {XP.permutation_keys(f, r)}::BIGINT[])" for f, r in jobs)
+    picked = ", ".join(f"CASE WHEN v.feature = '{f}' THEN b.{f} ELSE a.{f} END AS {f}" for f in FEATURES)
+    return MODEL_CTES + f"""
 , te AS (SELECT * FROM sp WHERE split = 'test'),
-jobs AS (SELECT f.feature, CAST(r.range AS INTEGER) AS rep FROM (VALUES {_FEATS_SQL}) AS f(feature), range({PERM_REPEATS}) r),
-rk AS (SELECT te.*, jobs.feature, jobs.rep,
-              row_number() OVER (PARTITION BY jobs.feature, jobs.rep ORDER BY
-                  md5(CAST(campaign_id AS VARCHAR) || '{XP.PERM_SALT_A}' || jobs.feature || ':' || CAST(jobs.rep AS VARCHAR)),
-                  campaign_id) AS ra,
-              row_number() OVER (PARTITION BY jobs.feature, jobs.rep ORDER BY
-                  md5(CAST(campaign_id AS VARCHAR) || '{XP.PERM_SALT_B}' || jobs.feature || ':' || CAST(jobs.rep AS VARCHAR)),
-                  campaign_id) AS rb
-       FROM te, jobs),
-pm AS (SELECT a.campaign_id, a.feature, a.rep, a.sales,
-              """ + ",\n              ".join(
-    f"CASE WHEN a.feature = '{f}' THEN b.{f} ELSE a.{f} END AS {f}" for f in FEATURES) + """
-       FROM rk a JOIN rk b ON a.feature = b.feature AND a.rep = b.rep AND a.ra = b.rb),
+nb AS (SELECT te.*, row_number() OVER (ORDER BY campaign_id) - 1 AS nr FROM te),
+sz AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM te),
+jobs AS (SELECT * FROM (VALUES {values}) AS j(feature, rep, k)),
+walk AS (
+  WITH RECURSIVE w(nr, feature, rep, k, y) AS (
+    SELECT nr, feature, rep, k, {_feistel_sql('nr')} FROM nb, jobs, sz
+    UNION ALL SELECT nr, feature, rep, k, {_feistel_sql('y')} FROM w, sz WHERE y >= n)
+  SELECT nr, feature, rep, y FROM w, sz WHERE y < n),
+pm AS (SELECT a.campaign_id, v.feature, v.rep, a.sales, a.tv AS tv_original, {picked}
+       FROM walk v JOIN nb b ON b.nr = v.nr JOIN nb a ON a.nr = v.y)"""
+
+
+PERM_CTES = _perm_ctes([(f, r) for f in FEATURES for r in range(PERM_REPEATS)]) + """,
 base AS (SELECT """ + R2_SQL.replace("y_true", "sales").replace("y_pred", "(lin.a + lin.b * coalesce(tv, lin.mx))") + """ AS r2
          FROM te, lin),
 drops AS (SELECT feature, rep, base.r2 - (""" + R2_SQL.replace("y_true", "sales").replace(
@@ -61,13 +72,7 @@ sg AS (SELECT feature, avg(abs(contribution)) AS mean_abs_contribution, count(*)
 
 
 # -------------------------------------------------------------------- queries
-@query("permute_column", MODEL_CTES + f"""
-, te AS (SELECT * FROM sp WHERE split = 'test'),
-ra AS (SELECT campaign_id, tv, row_number() OVER (ORDER BY md5(CAST(campaign_id AS VARCHAR) || '{XP.PERM_SALT_A}tv:0'),
-                                                  campaign_id) AS r FROM te),
-rb AS (SELECT tv, row_number() OVER (ORDER BY md5(CAST(campaign_id AS VARCHAR) || '{XP.PERM_SALT_B}tv:0'),
-                                     campaign_id) AS r FROM te)
-SELECT ra.campaign_id, ra.tv AS tv_original, rb.tv AS tv_permuted FROM ra JOIN rb ON ra.r = rb.r""")
+@query("permute_column", _perm_ctes([("tv", 0)]) + "\nSELECT campaign_id, tv_original, tv AS tv_permuted FROM pm")
 def permute_column(spark, sf):
     """E2 building block: the test rows with ``tv`` permuted (repeat 0)."""
     _, te, _ = _test_and_model(spark, sf)

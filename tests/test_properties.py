@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from adlift.constants import FEATURES, KEY, NUMERIC, TARGET
 from adlift.operators import split as S
 from adlift.operators import treeshap as TS
+from adlift.operators import explain as XP
 from adlift.operators.explain import permuted_copies
 from adlift.operators.prep import CampaignPreprocessor, output_columns
 from adlift.operators.profile import clean_target
@@ -103,6 +104,36 @@ def test_permutation_is_a_permutation(clean):
         assert any(r["tv"] != r["tv0"] for r in rows)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 101, 1000, 4097])
+def test_partner_is_a_keyed_bijection(spark, n):
+    keys = [XP.permutation_keys("tv", r) for r in range(3)]
+    rows = spark.range(n).select(F.col("id").alias("number"), F.inline(F.array(*[
+        F.struct(F.lit(r).alias("rep"), F.array(*[F.lit(k).cast("long") for k in ks]).alias("keys")) for r, ks in enumerate(keys)])))
+    got = {r: [0] * n for r in range(3)}
+    for r in XP.with_partner(rows, n, "number", "keys", "to").collect():
+        got[r["rep"]][r["number"]] = r["to"]
+    assert all(sorted(v) == list(range(n)) for v in got.values())
+    if n >= 100:  # few fixed points, repeats differ, neighbours part
+        assert all(sum(i == x for i, x in enumerate(v)) < 10 for v in got.values())
+        assert sum(a == b for a, b in zip(got[0], got[1])) < 10
+        assert all(abs(np.corrcoef(np.arange(n), v)[0, 1]) < 0.3 for v in got.values())
+        assert all(sum(abs(a - b) == 1 for a, b in zip(v, v[1:])) < n / 5 for v in got.values())
+
+
+def test_dense_numbers_follow_the_key(clean):
+    rows, n = XP.dense_numbers(clean.select(KEY), KEY, "number")
+    want = sorted(r[KEY] for r in clean.select(KEY).collect())
+    assert n == len(want) and [r[KEY] for r in rows.orderBy("number").collect()] == want
+    assert sorted(r["number"] for r in rows.collect()) == list(range(n))
+    empty, none = XP.dense_numbers(clean.select(KEY).limit(0), KEY, "number")
+    assert none == 0 and empty.count() == 0
+
+
+def test_permuted_copies_rank_nothing(clean):
+    plan = permuted_copies(clean.select(KEY, *FEATURES, TARGET), FEATURES, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_permuting_unused_feature_changes_nothing(clean):
     from adlift.operators.explain import permutation_importance
     from adlift.operators.sqlmodels import LinearOnOne
