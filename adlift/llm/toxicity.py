@@ -35,7 +35,6 @@ from adlift.llm.textops import shingle_sets
 TRAIN_ROWS = 20_000
 MIN_TOXIC_DOCS = 8     # toxic training texts that hold an entry
 MIN_PURITY = 0.9       # share of an entry's texts that are toxic (smoothed)
-MAX_ENTRIES = 2_000
 STEMS = (4, 5)         # stem lengths tried
 MIN_STEM_WORDS = 4     # distinct words of a stem in toxic texts
 WINDOW = 6
@@ -229,13 +228,16 @@ def _with_smallest_shingle(batches):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` labelled texts ``(doc_id, text, toxic)``, copies thinned."""
+    """At most ``rows`` labelled ids' texts ``(doc_id, text, toxic)``; of near copies that
+    share the smallest shingle and label the one of the smallest (hash, doc_id) stays."""
     lab = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max("toxic").cast("int").alias("toxic"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # <= rows x 12 bytes: broadcast is bounded
-    j = docs.join(F.broadcast(lab), "doc_id").select("doc_id", "text", "toxic")
+    j = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .join(F.broadcast(lab), "doc_id").select("doc_id", "text", "toxic")
+    first = F.min_by(F.struct("doc_id", "text"), F.struct(F.xxhash64("doc_id"), "doc_id", F.md5("text"))).alias("first")
     return j.mapInArrow(_with_smallest_shingle, "doc_id long, text string, toxic int, low long") \
-        .dropDuplicates(["low", "toxic"]).select("doc_id", "text", "toxic")
+        .groupBy("low", "toxic").agg(first).select("first.*", "toxic")
 
 
 def learn_lexicon(sample: DataFrame) -> FuzzyLexicon:
@@ -256,7 +258,7 @@ def learn_lexicon(sample: DataFrame) -> FuzzyLexicon:
     words = w.where(pure).select(F.col("word").alias("entry"), F.lit(False).alias("stem"), "t", "c")
     stems = stems.where(pure & (F.col("kinds") >= MIN_STEM_WORDS)).select(
         F.col("stem").alias("entry"), F.lit(True).alias("stem"), "t", "c")
-    got = words.unionByName(stems).orderBy(F.desc("t"), "entry", "stem").limit(MAX_ENTRIES).collect()
+    got = words.unionByName(stems).collect()  # each in at least MIN_TOXIC_DOCS of the bounded sample's texts
     stem_set = sorted({r["entry"] for r in got if r["stem"]}, key=len)
     stem_set = {s for s in stem_set if not any(s != o and s.startswith(o) for o in stem_set)}
     entries = []
@@ -299,6 +301,8 @@ def fit_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows:
     got = sample.select("text", "toxic").mapInArrow(_feature_batches(b), "toxic int, x array<double>").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = got.column("toxic").to_numpy().astype(float)
+    order = np.lexsort((y, *x.T))  # sums, and so the weights, do not depend on the order of tasks
+    x, y = x[order], y[order]
     mean = x.mean(axis=0) if len(x) else np.zeros(len(FEATURES))
     scale = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(len(FEATURES))
     coef = _logistic((x - mean) / scale, y) if len(x) and 0 < y.sum() < len(y) else np.array([-30.0] + [0.0] * len(FEATURES))
@@ -323,4 +327,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
 
 
 def held_out(key: str = "doc_id"):
-    return (F.crc32(F.col(key).cast("string")) % 5) == 0
+    """Whether crc32 of the key's text is divisible by 5; a null key is not held out."""
+    return F.coalesce((F.crc32(F.col(key).cast("string")) % 5) == 0, F.lit(False))

@@ -169,3 +169,29 @@ def test_language_stage_rejects_junk_and_foreign_texts(spark):
 @pytest.mark.parametrize("page,want", [("<p>a&amp;b</p>", "a&b"), (None, ""), ("<script>x</script>y", "y")])
 def test_visible_text(page, want):
     assert langid.visible_text(page).strip() == want
+
+
+def test_toxicity_fit_is_repeatable(spark):
+    """Same model whatever the partitions, with copies under both labels and columns that clash."""
+    word = [f"plain{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choices(word, k=12) + ["gromble"] * (i % 3 == 0)), i % 3 == 0) for i in range(240)]
+    rows += [(1000 + i, "one and the same copied text again " + word[i % 2], i % 2 == 0) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string") \
+        .withColumn("toxic", F.lit("x")).withColumn("low", F.lit(1)).withColumn("score", F.lit(0.5))
+    labels = spark.createDataFrame([(r[0], int(r[2])) for r in rows], "doc_id long, toxic int")
+    one = toxicity.fit_toxicity(spark, docs.coalesce(1), labels.coalesce(1))
+    two = toxicity.fit_toxicity(spark, docs.repartition(7, "text"), labels.repartition(5))
+    assert one.lexicon.entries == two.lexicon.entries and "gromble" in [e[0] for e in one.lexicon.entries]
+    assert (one.coef, one.mean, one.scale) == (two.coef, two.mean, two.scale)
+    got = toxicity.score_toxicity(docs, one).collect()
+    texts = dict(r[:2] for r in rows)
+    for r in got:  # the score again, feature by feature
+        x = toxicity.features(one.lexicon, texts[r["doc_id"]])
+        z = one.coef[0] + sum(c * (v - m) / s for c, v, m, s in zip(one.coef[1:], x, one.mean, one.scale, strict=True))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_held_out_of_a_null_key(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "b")], "doc_id long, text string")
+    assert [r[0] for r in df.where("doc_id is null").select(toxicity.held_out()).collect()] == [False]
