@@ -187,7 +187,7 @@ def _borders(tokens: DataFrame, plan: DataFrame) -> DataFrame:
     rows = rows.groupBy(*same).agg(F.sum("copies").alias("copies"))
     for at in (F.shiftright("block_hash", HASH_BITS - 2 * STEP_BITS), F.col("block_hash"), F.col("doc_hash"),
                F.shiftright("row_hash", HASH_BITS - STEP_BITS), F.col("row_hash")):
-        rows = _step(rows, at)
+        rows = written(_step(rows, at), "border")  # a step reads its rows twice
     return rows.select(F.col("source").alias("b_source"), F.col("block_hash").alias("cut_block"), F.col("doc_hash").alias("cut_doc"),
                        F.col("row_hash").alias("cut_row"), F.expr("left div tokens").alias("cut_take"))
 
