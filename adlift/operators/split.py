@@ -96,28 +96,6 @@ def hash_rank(df: DataFrame, key: str = KEY, salt: str = SPLIT_SALT, prefix: int
             .select(*df.columns, out))
 
 
-def hash_rank_by(df: DataFrame, key: str, salt: Column, by: list[str], out: str = "rank",
-                 prefix: int = 3) -> DataFrame:
-    """1-based rank of each row inside its ``by`` group in the order
-    ``(md5(key || salt), key)``; ``salt`` may depend on the group.
-
-    Ranked inside (group, bucket) partitions plus the bucket start offsets
-    (a window over the per-bucket count table), so no task ever sorts a whole
-    group."""
-    h = F.md5(F.concat(F.col(key).cast("string"), salt))
-    hashed = df.withColumn("__h", h).withColumn(
-        "__b", F.conv(F.substring("__h", 1, prefix), 16, 10).cast("long"))
-    counts = hashed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).cast("long")
-                           .alias("__start"))
-    in_bucket = Window.partitionBy(*by, "__b").orderBy("__h", key)
-    ranked = hashed.withColumn("__r", F.row_number().over(in_bucket))
-    return (ranked.join(starts, [*by, "__b"])
-            .withColumn(out, F.col("__start") + F.col("__r"))
-            .select(*df.columns, out))
-
-
 def train_test_split(df: DataFrame, test_size: float = TEST_SIZE, key: str = KEY,
                      salt: str = SPLIT_SALT) -> DataFrame:
     """Exact-size seeded split: the first ceil(test_size * n) rows of the hash
