@@ -87,7 +87,7 @@ def test_vectors_match_brute_force(spark):
 def test_no_link_is_lost_with_many_cells(spark, monkeypatch):
     monkeypatch.setattr(vecdedup, "CELL_ROWS", 8)  # 500 cells
     monkeypatch.setattr(vecdedup, "FIT_ROWS", 1000)
-    monkeypatch.setattr(vecdedup, "PART_BYTES", 1 << 20, raising=False)  # two parts
+    monkeypatch.setattr(vecdedup, "BLOCK_BYTES", 1 << 16)  # blocks of at most 128 vectors
     rng = np.random.default_rng(11)
     x = rng.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -105,6 +105,30 @@ def test_no_link_is_lost_with_many_cells(spark, monkeypatch):
     assert got == {i: (int(link[i].sum()) - 1, want[i]) for i in want}
 
 
+def test_cell_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "MIN_BLOCKS", 16)  # one cell of near copies is dealt over many blocks
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.eye(32)[3] + 0.06 * rng.normal(size=(500, 32)), rng.normal(size=(60, 32))]).astype(np.float32)
+    x[100:103] = x[0]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = unit @ unit.T >= 0.9
+    want = _components(range(len(x)), [(a, b) for a, b in np.argwhere(link).tolist() if a < b])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_duplicates(df).collect()}
+    assert got == {i: (int(link[i].sum()) - 1, want[i]) for i in want}
+
+
+def test_blocks_hold_every_cell():
+    sizes = np.array([3, 0, 5, 40, 2, 9, 9, 25, 0])
+    b = vecdedup.Blocks(sizes, 10)
+    assert all(b.lo[b.first[c]] <= c <= b.hi[b.first[c]] for c in range(len(sizes)))
+    assert b.pieces.tolist() == [1, 1, 1, 4, 1, 1, 1, 3, 1]
+    got = b.reached(np.eye(len(sizes), dtype=bool))
+    for c in range(len(sizes)):
+        assert np.flatnonzero(got[c]).tolist() == list(range(b.first[c], b.first[c] + b.pieces[c]))
+    assert all(sizes[lo:hi + 1].sum() <= 10 for lo, hi in zip(b.lo, b.hi, strict=True) if lo < hi)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(None, 1), (5, None), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
