@@ -56,7 +56,7 @@ BUCKET_POSTINGS = 400_000   # prefix shingles per bucket
 FLUSH_POSTINGS = 500_000  # postings packed at once in a task
 BLOCK = 256                 # candidate sets per search block
 BROADCAST_ROWS = 500_000    # doc_ids (8 bytes) sent to every task; more are shuffled
-BLOCK_SHINGLES = 200_000    # shingles of the list members compared at once, about (at least one member)
+BLOCK_SHINGLES = 800_000    # shingles of the list members compared at once, about (at least one member)
 PAIRS_A_MEMBER = 4          # candidate pairs a block may pass on per member; denser ones are searched in place
 PIVOTS = 8                  # members of a long list that all others are compared with first
 PIVOT_LIST = 32             # members from which a list is long
@@ -200,8 +200,13 @@ def _unpack(t: pa.Table, token_type) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _lists(t: pa.Table) -> pa.Table:
     """Of one bucket: postings of rarer shingles that two classes of fitting size hold,
-    and the postings of frequent shingles as they are."""
+    and the postings of frequent shingles, each once."""
     c_tok, c_cls, c_n = _unpack(t.filter(t.column("frequent")), np.int64)
+    order = np.lexsort((c_cls, c_tok))
+    c_tok, c_cls, c_n = c_tok[order], c_cls[order], c_n[order]
+    new = np.ones(len(c_tok), dtype=bool)
+    new[1:] = (c_tok[1:] != c_tok[:-1]) | (c_cls[1:] != c_cls[:-1])
+    c_tok, c_cls, c_n = c_tok[new], c_cls[new], c_n[new]
     tok, cls, n = _unpack(t.filter(pc.invert(t.column("frequent"))), np.uint32)
     order = np.lexsort((cls, n, tok))
     tok, cls, n = tok[order], cls[order], n[order]
@@ -370,14 +375,18 @@ def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_bitmap_filter, "x long, y long")
 
 
-def open_lists(rest: DataFrame) -> DataFrame:
-    """``(token, m, shingles)`` of the lists ``(token, cls, comp, n)`` whose members are in
-    different components; lists with the same members once."""
+def open_lists(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lists ``(token, cls, comp, n)`` those whose members are in different components,
+    lists with the same members once: their members, and ``(token, m, shingles)``."""
+    ends = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    differ = written(ends.where("lo <> hi").select("token"), "differ")  # read back, so that Spark knows its size
+    rest = rest.join(differ, "token", "left_semi")
     member = F.xxhash64("cls")
-    return rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"),
-                                     F.sum("n").alias("shingles"), F.sum(member.cast("decimal(38,0)")).alias("s"),
-                                     F.bit_xor(member).alias("h")) \
-        .where("lo <> hi").groupBy("m", "shingles", "s", "h").agg(F.min("token").alias("token")).select("token", "m", "shingles")
+    lists = rest.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"),
+                                      F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("h")) \
+        .groupBy("m", "shingles", "s", "h").agg(F.min("token").alias("token")).select("token", "m", "shingles")
+    lists = written(lists, "open")
+    return written(rest.join(lists.select("token"), "token", "left_semi"), "opened"), lists
 
 
 def pivot_pairs(rest: DataFrame, lists: DataFrame) -> DataFrame:
@@ -438,10 +447,9 @@ def verified_links(pairs: DataFrame, src: DataFrame, classes: DataFrame, k: int)
 
 
 def _still_open(rest: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """List members with their components, and the lists that hold more than one."""
+    """The lists that hold more than one component: their members with components, and the lists."""
     rest = rest.join(comp, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-    rest = written(rest, "rest")
-    return rest, written(open_lists(rest), "open")
+    return open_lists(written(rest, "rest"))
 
 
 def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -470,12 +478,11 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
     comp = written(connected_components(links), "comp1")
 
     # members of one list still in different components: against pivots, then all that is left
-    rest = lists.select("token", "cls", "n").distinct()
-    opened, todo = _still_open(rest, comp)
+    opened, todo = _still_open(lists, comp)
     more = written(verified_links(bounded_pairs(pivot_pairs(opened, todo), classes), src, classes, k), "links2")
     links = links.union(more)
     comp = written(connected_components(links), "comp2")
-    opened, todo = _still_open(rest, comp)
+    opened, todo = _still_open(opened.drop("comp"), comp)  # a closed list stays closed
     links = links.union(written(cross_links(opened, todo, src, classes, k), "links3"))
     comp = written(connected_components(links), "comp3")
 
