@@ -427,3 +427,17 @@ def test_bootstrap_weights_are_poisson_and_plans_hold_no_generate(clean):
     assert sorted(map(tuple, sums)) == sorted(map(tuple, again))
     plan = BS.group_mean_ci(clean, "influencer", TARGET)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_json_bodies_keep_what_is_wrong(spark):
+    from adlift.operators import score as SC
+    good = '{"tv":1.5,"radio":2,"social_media":0,"influencer":"Nano"}'
+    bodies = [(1, good), (2, None), (3, ""), (4, "[]"), (5, "5"), (6, good[:-1]), (7, good.replace("1.5", '"x"')),
+              (8, good.replace("}", ',"b":1,"a":{"c":2}}')), (9, '{"tv":-1,"influencer":"Nano"}'), (None, "{}")]
+    v = {r["request_id"]: r for r in SC.validate_bodies(spark.createDataFrame(bodies, "request_id long, body string")).collect()}
+    missing = "tv:missing,radio:missing,social_media:missing,influencer:missing"
+    assert {k: r["errors_text"] for k, r in v.items()} == {
+        1: "", 2: "body:malformed", 3: "body:malformed", 4: "body:malformed", 5: "body:malformed", 6: "body:malformed",
+        7: "body:wrong_type", 8: "body:unknown_field", 9: "tv:below_min,radio:missing,social_media:missing", None: missing}
+    assert {k for k, r in v.items() if r["malformed"] is not None} == {3, 4, 5, 6, 7}
+    assert (v[1]["tv"], v[1]["radio"], v[1]["influencer"], v[1]["is_valid"]) == (1.5, 2.0, "Nano", True)
