@@ -19,6 +19,7 @@ Parquet tables (``save`` / ``load_fitted``).
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from dataclasses import dataclass
@@ -266,54 +267,88 @@ def _mean_scores(rows: list) -> dict[int, tuple[float, float]]:
     return {p: tuple(map(float, np.mean(x, axis=0))) for p, x in by.items()}
 
 
-def tune(folded: DataFrame, names: list[str] = MODELS, grids: dict = GRIDS, n_folds: int = N_FOLDS, root: str | None = None,
-         label: str = TARGET, epochs: int = 500, patience: int = 20) -> list[dict]:
-    """Per model: all grid points with mean RMSE and R2 over the folds (``results``), the best
-    one, seconds, and the model fitted with it on all rows (``fitted``, saved under ``root``)."""
-    spark, folds = folded.sparkSession, list(range(n_folds))
-    root = root or shared_path(spark, f"models/{uuid.uuid4().hex[:12]}")
-    start = time.time()
-    preps = C.fit_preprocessors(folded, [*folds, C.ALL])
-    shared = time.time() - start  # the folds' preprocessors, a part of every model's search
-    final = preps[C.ALL]
-    info = {k: list(map(float, final.getOrDefault(k))) for k in ("medians", "means", "scales")}
-    trees, out = [n for n in names if n in (RF_NAME, GBT_NAME)], []
-    if trees:
+class Search:
+    """Tuning of single models on one folded table.  What models share (the folds'
+    preprocessors, the cube) and each model's search run once, when first asked for;
+    concurrent callers wait for them."""
+
+    def __init__(self, folded: DataFrame, grids: dict = GRIDS, n_folds: int = N_FOLDS, root: str | None = None,
+                 label: str = TARGET, epochs: int = 500, patience: int = 20) -> None:
+        self.folded, self.grids, self.folds, self.label = folded, grids, list(range(n_folds)), label
+        self.epochs, self.patience = epochs, patience
+        self.spark = folded.sparkSession
+        self.root = root or shared_path(self.spark, f"models/{uuid.uuid4().hex[:12]}")
+        self._done: dict = {}
+        self._lock = threading.RLock()
+
+    def _once(self, key: str, make):
+        """``(value, seconds)`` of ``make()``, computed once."""
+        with self._lock:
+            if key not in self._done:
+                start = time.time()
+                value = make()
+                self._done[key] = (value, time.time() - start)
+            return self._done[key]
+
+    def _preps(self):
+        return self._once("preps", lambda: C.fit_preprocessors(self.folded, [*self.folds, C.ALL]))
+
+    def _cube(self):
+        preps, _ = self._preps()
+
+        def make():
+            binnings = C.fit_binnings(self.folded, preps)
+            path = shared_path(self.spark, f"cubes/{uuid.uuid4().hex[:12]}")
+            C.build_cube(self.folded, binnings, self.label).write.parquet(path)
+            return binnings, self.spark.read.schema(C.CUBE_SCHEMA).parquet(path)
+        return self._once("cube", make)
+
+    def result(self, name: str) -> dict:
+        """All grid points of a model with mean RMSE and R2 over the folds (``results``), the
+        best one, seconds (with its share of the common steps), and the model fitted with it
+        on all rows (``fitted``, saved under ``root``)."""
+        return self._once(name, lambda: self._search(name))[0]
+
+    def _search(self, name: str) -> dict:
+        folded, folds, label, spark = self.folded, self.folds, self.label, self.spark
+        grid, where, extra = points(name, self.grids), f"{self.root}/{slug_py(name)}", {}
+        preps, seconds = self._preps()
+        final = preps[C.ALL]
+        info = {k: list(map(float, final.getOrDefault(k))) for k in ("medians", "means", "scales")}
+        if name in (RF_NAME, GBT_NAME):
+            (binnings, cube), more = self._cube()
+            seconds += more
         start = time.time()
-        binnings = C.fit_binnings(folded, preps)
-        path = shared_path(spark, f"cubes/{uuid.uuid4().hex[:12]}")
-        C.build_cube(folded, binnings, label).write.parquet(path)
-        cube = spark.read.schema(C.CUBE_SCHEMA).parquet(path)
-        cubes = time.time() - start
-    for name in names:
-        start, extra = time.time(), {}
-        grid = points(name, grids)
-        where = f"{root}/{slug_py(name)}"
         if name == LR_NAME:
             groups, rows = C.moment_groups(folded, label), []
             for f in folds:
                 beta = C.solve(C.gram(groups, preps[f], [x for x in folds if x != f], label))
                 sse, n, s, ss = C.gram_errors(C.gram(groups, preps[f], [f], label), beta)
                 rows.append({"point": 0, "sse": sse, "n": n, "s": s, "ss": ss})
-            scores, seconds = _mean_scores(rows), shared
+            scores = _mean_scores(rows)
             extra["beta"] = C.solve(C.gram(groups, final, folds, label)).tolist()
         elif name == MLP_NAME:
-            r = MLP.cross_validate_mlp(folded, grid, preps, n_folds, epochs, patience, label)
-            scores, seconds = {i: (x["cv_rmse"], x["cv_r2"]) for i, x in enumerate(r["results"])}, shared
+            r = MLP.cross_validate_mlp(folded, grid, preps, len(folds), self.epochs, self.patience, label)
+            scores = {i: (x["cv_rmse"], x["cv_r2"]) for i, x in enumerate(r["results"])}
             extra["weights"], extra["epochs"] = r["network"].weights.tolist(), r["epochs"]
         else:
             scores = _mean_scores((_forest_scores if name == RF_NAME else _boost_scores)(cube, folds, grid).collect())
-            seconds = shared + cubes
             extra["edges"] = [list(e) for e in binnings[C.ALL].edges]
         best = min(scores, key=lambda i: (scores[i][0], i))
-        if name in trees:
+        if name in (RF_NAME, GBT_NAME):
             extra |= _refit(cube, name, grid[best], binnings[C.ALL], where)
         results = [{"params": p, "cv_rmse": scores[i][0], "cv_r2": scores[i][1]} for i, p in enumerate(grid)]
         fitted = Fitted(spark, where, info | extra | {"model": name, "best_params": grid[best], "cv_rmse": scores[best][0], "cv_r2": scores[best][1]})
         fitted.save()
-        out.append({"model": name, "cv_rmse": scores[best][0], "cv_r2": scores[best][1], "best_params": grid[best], "results": results,
-                    "time_sec": seconds + time.time() - start, "fitted": fitted})
-    return out
+        return {"model": name, "cv_rmse": scores[best][0], "cv_r2": scores[best][1], "best_params": grid[best], "results": results,
+                "time_sec": seconds + time.time() - start, "fitted": fitted}
+
+
+def tune(folded: DataFrame, names: list[str] = MODELS, grids: dict = GRIDS, n_folds: int = N_FOLDS, root: str | None = None,
+         label: str = TARGET, epochs: int = 500, patience: int = 20) -> list[dict]:
+    """``Search.result`` of every model."""
+    search = Search(folded, grids, n_folds, root, label, epochs, patience)
+    return [search.result(n) for n in names]
 
 
 def out_of_fold_rmse(folded: DataFrame, fitted: Fitted, label: str = TARGET) -> float:

@@ -246,3 +246,42 @@ def test_stream_takes_the_new_champion_and_keeps_one_copy(spark, small_search, t
     assert {(r["request_id"] % 2, r["model_version"], r["model_used"]) for r in good} == {(0, 1, a.name), (1, 2, b.name)}
     plain = {r["request_id"]: r["prediction"] for r in b.transform(second).collect()}
     assert all(r["predicted_sales_m"] == pytest.approx(plain[r["request_id"]], abs=1e-4) for r in good if r["request_id"] % 2)
+
+
+def test_a_job_on_one_model_tunes_no_other(folded, small_search, monkeypatch):
+    searched = []
+    plain = TU.Search._search
+    monkeypatch.setattr(TU.Search, "_search", lambda self, name: searched.append(name) or plain(self, name))
+    search = TU.Search(folded, SMALL, epochs=4)
+    a, b = search.result(TU.GBT_NAME), search.result(TU.GBT_NAME)
+    assert searched == [TU.GBT_NAME] and a is b
+    assert a["best_params"] == small_search[TU.GBT_NAME]["best_params"] and a["results"] == small_search[TU.GBT_NAME]["results"]
+
+
+@pytest.mark.parametrize("name", ["native_importance", "tree_shap", "shap_long", "coalition_shapley", "waterfall_values", "importance_synthesis_ml"])
+def test_explanations_ask_for_the_boosted_trees_alone(spark, folded, small_search, monkeypatch, name):
+    from adlift.plans import modeling as MO
+    search = TU.Search(folded, SMALL, epochs=4)
+    search._done[TU.GBT_NAME] = (small_search[TU.GBT_NAME], 0.0)
+
+    def refused(self, name):
+        raise AssertionError(f"searched {name}")
+    monkeypatch.setattr(TU.Search, "_search", refused)
+    sp = MO.split_table(spark, SF_SMALL)
+    ctx = {"split": sp, "train": sp.where("split = 'train'"), "test": sp.where("split = 'test'"), "search": search}
+    monkeypatch.setitem(MO._CACHE, (spark.sparkContext.applicationId, SF_SMALL), ctx)
+    assert getattr(MO, name)(spark, SF_SMALL).count() > 0
+
+
+def test_a_task_trains_a_block_of_many_groups(spark, folded, monkeypatch):
+    _, a = _weights(folded, 3, 30)
+    monkeypatch.setattr(MLP, "block_size", lambda groups, cores: MLP.FAN_IN)
+    monkeypatch.setattr(MLP, "DRIVER_BYTES", 0)
+    groups, b = _weights(folded, 3, 30)
+    assert groups > MLP.FAN_IN
+    for x, y in zip(a, b, strict=True):
+        assert np.array_equal(x.weights, y.weights) and x.history == y.history
+    rows = MLP.raw_columns(folded)
+    units, groups, lanes = MLP.dealt_groups(rows, MLP.raw_features(), TARGET, KEY, F.col(KEY) % 10 == 0, 30, lanes=1)
+    assert units.rdd.getNumPartitions() <= -(-groups // MLP.FAN_IN)
+    units.unpersist()
