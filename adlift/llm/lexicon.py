@@ -49,9 +49,10 @@ from adlift.llm.tokenstore import _uri, piece_edges
 MAX_WORDS = 1 << 16
 MAX_WORD_BYTES = 64
 MIN_COUNT = 2
-BLOCK_BYTES = 2 << 20    # text bytes handled at once; a longer text is one block
+BLOCK_BYTES = 1 << 20    # text bytes handled at once; a longer text is one block
 COUNTED = 400_000        # distinct pieces a task holds before it passes their counts on
 MERGED = 200_000         # pieces outside the lexicon whose ids a worker remembers
+BATCH = 4096             # pieces the library merges at once
 STEPS_AN_OCTAVE = 8      # histogram of counts
 MAGIC = b"ACYCLEX1"
 
@@ -208,8 +209,14 @@ def _distinct(data: np.ndarray, at: np.ndarray):
     return pieces.dictionary_encode()
 
 
+def _frugal() -> None:
+    """Arrow memory of this worker from the C library: other pools keep what blocks no longer use."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def _count_pieces(tokenizer: str):
     def run(batches):
+        _frugal()
         literals = added_literals(_tokenizer(tokenizer))
         held, rows = [], 0
 
@@ -244,8 +251,8 @@ def _compile(tokenizer: str, folder: str):
             words += b.column(0).to_pylist()
         raw = [w.encode() for w in words]
         tok = _tokenizer(tokenizer)
-        ids = [e.ids for i in range(0, len(words), 4096)
-               for e in tok.encode_batch_fast(words[i:i + 4096], add_special_tokens=False)]
+        ids = [e.ids for i in range(0, len(words), BATCH)
+               for e in tok.encode_batch_fast(words[i:i + BATCH], add_special_tokens=False)]
         yield pa.RecordBatch.from_pydict({"name": [_write(folder, compile_automaton(raw, ids))]})
     return run
 
@@ -297,8 +304,9 @@ class LexiconEncoder:
         out = list(map(self.merged.get, pieces))
         at = [i for i, x in enumerate(out) if x is None]
         new = [pieces[i] for i in at]
-        for i, e in zip(at, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.int32)
+        for j in range(0, len(new), BATCH):  # the library's result takes about a kilobyte a piece
+            for i, e in zip(at[j:j + BATCH], self.tok.encode_batch_fast(new[j:j + BATCH], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.int32)
         if len(self.merged) + len(new) <= MERGED:
             self.merged.update((p, out[i]) for p, i in zip(new, at, strict=True) if len(p) <= MAX_WORD_BYTES)
         return out
@@ -332,6 +340,7 @@ _ENCODERS: dict[tuple[str, str], LexiconEncoder] = {}
 
 def _encode(tokenizer: str, lexicon: str):
     def run(batches):
+        _frugal()
         if (tokenizer, lexicon) not in _ENCODERS:
             _ENCODERS.clear()  # one lexicon at a time in a reused worker
             _ENCODERS[tokenizer, lexicon] = LexiconEncoder(tokenizer, lexicon)
@@ -370,9 +379,10 @@ def token_bytes(tokenizer: str) -> pa.LargeBinaryArray:
     return pa.array(out, pa.large_binary())
 
 
-def _decode(tokenizer: str):
+def _decode(tokens: bytes):
     def run(batches):
-        table = token_bytes(tokenizer)
+        _frugal()
+        table = pa.ipc.open_stream(tokens).read_next_batch().column(0)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
@@ -389,4 +399,7 @@ def _decode(tokenizer: str):
 
 def decode_ids(ids: DataFrame, tokenizer: str) -> DataFrame:
     """``(key, ids, text)`` of ``(key, ids)`` rows; bytes that are no UTF-8 become U+FFFD."""
-    return ids.select("key", "ids").mapInArrow(_decode(tokenizer), "key long, ids array<int>, text string")
+    sink, tokens = pa.BufferOutputStream(), pa.record_batch([token_bytes(tokenizer)], ["token"])
+    with pa.ipc.new_stream(sink, tokens.schema) as out:  # under a megabyte; workers need no tokenizer
+        out.write_batch(tokens)
+    return ids.select("key", "ids").mapInArrow(_decode(sink.getvalue().to_pybytes()), "key long, ids array<int>, text string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from adlift.llm import chat, hybrid_rank, langid, lattice, lexicon, mixing, prefix_trie, quality, tokenstore, toxicity, vecdedup, warc
 from adlift.llm.ngram_join import ngram_jaccard_components
-from adlift.llm.store import scratch, table
+from adlift.llm.store import scratch, table, written
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,6 +94,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tokenizer = table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")
     ids = lexicon.encode_texts(docs, tokenizer, lexicon.fit_lexicon(docs, tokenizer))
+    ids = written(ids, "ids")  # a task runs one Python process at a time: the encoder's, then the decoder's
     return lexicon.decode_ids(ids, tokenizer).select(
         F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

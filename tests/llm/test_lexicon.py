@@ -93,3 +93,10 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     ids = lexicon.encode_texts(docs, PATH, lexicon.fit_lexicon(docs, PATH))
     assert lexicon.decode_ids(ids, PATH).count() == 0
+
+
+def test_encoder_and_decoder_never_share_a_task(spark):
+    """Each Python process of a task holds a vocabulary; two in every running task outgrew an executor."""
+    from adlift.llm import queries
+    plan = queries.op11_lexicon_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
