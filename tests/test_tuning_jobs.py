@@ -141,6 +141,49 @@ def test_tree_shap_with_twenty_features():
     assert np.allclose(base + phi.sum(axis=1), pred) and np.allclose(pred, FO.follow(t, bins[:50]))
 
 
+def test_tabled_patterns_explain_as_the_rows_do(monkeypatch):
+    rng = np.random.default_rng(5)
+    bins = np.column_stack([rng.integers(0, 9, (600, 3)), rng.integers(0, 2, (600, 3))])
+    y = bins[:, 0] * bins[:, 1] - 3.0 * bins[:, 3] + rng.normal(size=600)
+    trees = [{**t, "feature": np.maximum(t["feature"], 0), "threshold": t["bin"] + 0.5} for t in FO.boost(bins, np.ones(600), y, 6, 5, 0.3)[1]]
+    x = bins[:200].astype(float)
+    x[3, 1] = np.nan
+    calls = []
+    weights = TS._subset_weights
+    monkeypatch.setattr(TS, "_subset_weights", lambda zero, one: calls.append(one.shape) or weights(zero, one))
+    tables = TS.leaf_tables(trees, [0.3] * 6)
+    assert calls and len(calls) <= 6  # once for all leaves with as many features on their way
+    calls.clear()
+    base, phi, pred = TS.explain_rows(tables, x)
+    assert not calls  # rows are looked up
+    monkeypatch.setattr(TS, "PATTERN_FEATURES", 0)
+    other = TS.tree_shap_matrix(trees, [0.3] * 6, x)
+    assert calls and np.allclose(phi, other[1], atol=1e-12) and np.array_equal(pred, other[2]) and base == other[0]
+    ok = ~np.isnan(x).any(axis=1)
+    assert np.allclose((base + phi.sum(axis=1))[ok], pred[ok])
+
+
+def test_cuts_and_flags_of_one_growth(monkeypatch):
+    rng = np.random.default_rng(6)
+    bins = np.column_stack([rng.integers(0, 20, (4000, 2)), rng.integers(0, 5, 4000)[:, None] == np.arange(4)])
+    w = rng.poisson(1.0, 4000).astype(float)
+    g = w * (bins[:, 0] + 5.0 * bins[:, 3] + rng.normal(size=4000))
+    cuts = ((FO.UNLIMITED, 2.0), (3, 2.0), (6, 9.0))
+    nodes, pred, cut_pred = FO.grow(bins, w, g, cuts=cuts)
+    assert np.array_equal(pred, FO.follow(nodes, bins)) and np.array_equal(pred, cut_pred[0])
+    for (depth, least), p in zip(cuts, cut_pred, strict=True):
+        assert np.array_equal(p, FO.grow(bins, w, g, depth, least)[1])
+    monkeypatch.setattr(FO, "FLAGS", 0)  # a table of its own for every 0 / 1 feature
+    alone = FO.grow(bins.astype(np.int64), w, g)[0]
+    assert all(np.array_equal(nodes[k], alone[k]) for k in ("feature", "bin", "left", "right"))
+
+
+def test_cells_are_grouped_by_node_and_bin():
+    rng = np.random.default_rng(7)
+    at, x = rng.integers(0, 200_000, 50_000), rng.integers(0, 32, 50_000).astype(np.uint8)
+    assert np.array_equal(FO._grouped(at, x), np.lexsort((x, at)))
+
+
 # -- networks ---------------------------------------------------------------
 
 def _weights(folded, parts, per_group, calls=None):
