@@ -35,6 +35,7 @@ import math
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ _TEXT_END = 1 << 21    # code of a byte-spelled character: _TEXT_END + code poin
 #: coarse units (cut before a space run) and fine units (letters apart from all else)
 _COARSE = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _FINE = re.compile(rf"{SPACE}*[^\W\d_]+|{SPACE}*(?:[^\w{SPACE}]|[\d_])+|{SPACE}+")
+_FINE_ASCII = re.compile(f"{SPACE}*(?:[A-Za-z]+|[^A-Za-z{SPACE}]+)|{SPACE}+")  # the same where all else is ASCII
 
 
 class PieceTable:
@@ -156,13 +158,16 @@ class Lattice:
 
     def units(self, blocks: list[list[str]]) -> np.ndarray:
         """Unit numbers of the blocks' units, new ones added."""
-        index, base = self.index, len(self.index)
-        new: dict[str, int] = {}
-        get = index.get
-        out = [x if (x := get(u)) is not None else new.setdefault(u, base + len(new)) for us in blocks for u in us]
+        units, base = list(chain.from_iterable(blocks)), len(self.index)
+        out = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
+        at = np.flatnonzero(out < 0)
+        unknown = [units[i] for i in at.tolist()]
+        new = dict.fromkeys(unknown)
+        new = dict(zip(new, range(base, base + len(new)), strict=True))
+        out[at] = np.fromiter(map(new.__getitem__, unknown), np.int64, len(unknown))
         self._add(list(new))
         self.index.update(new)
-        return np.array(out, dtype=np.int64)
+        return out
 
     def trim(self) -> None:
         """Forget the units beyond the kept positions."""
@@ -173,10 +178,11 @@ class Lattice:
             return
         pos = int(self.last[n - 1])
         m = int(self.off[pos])
-        self.first, self.last, self.off = self.first[:n].copy(), self.last[:n].copy(), self.off[:pos + 1].copy()
-        self.to, self.piece, self.logp, self.upto = (x[:m].copy() for x in (self.to, self.piece, self.logp, self.upto))
-        for u in list(self.index)[n:]:
-            del self.index[u]
+        # views: the next units are joined to them in new arrays
+        self.first, self.last, self.off = self.first[:n], self.last[:n], self.off[:pos + 1]
+        self.to, self.piece, self.logp, self.upto = (x[:m] for x in (self.to, self.piece, self.logp, self.upto))
+        for _ in range(len(self.index) - n):
+            self.index.popitem()
 
     def _add(self, units: list[str]) -> None:
         if not units:
@@ -353,10 +359,9 @@ def _spell(t: PieceTable, pieces: np.ndarray) -> np.ndarray:
 
 def _draws(seed: int, salt: int):
     """Endless uniform draws of one row."""
-    i = 0
-    while True:
-        yield float(uniform(np.array([seed], np.uint64), salt + i)[0])
-        i += 1
+    one = np.array([seed], np.uint64)
+    for i in count(0, 16):
+        yield from uniform(one, salt + i + np.arange(16)).tolist()
 
 
 class _Segmentation:
@@ -368,10 +373,11 @@ class _Segmentation:
         self.banned: dict[int, list] = {}
 
 
-def _search_one(lat: Lattice, unit: np.ndarray, seed: int, fresh: list, a: int, b: int, k: int):
-    """The k segmentations of one text (units ``a:b``): ``(gumbel, logp, edges)`` and kappa."""
+def _search_one(lat: Lattice, unit: np.ndarray, seed: int, g: float, fresh: list, a: int, b: int, k: int):
+    """The k segmentations of one text (units ``a:b``), the first with Gumbel value ``g``:
+    ``(gumbel, logp, edges)`` and kappa."""
     salt = np.array([seed], np.uint64)
-    g, base, at, kappa = float(_gumbel(uniform(salt, 1 << 40))[0]), None, 0, -math.inf
+    base, at, kappa = None, 0, -math.inf
     sets: list[_Segmentation] = []
     chosen = []
 
@@ -438,8 +444,9 @@ def _search(lat: Lattice, unit: np.ndarray, bounds: np.ndarray, seeds: np.ndarra
     # a full draw per round; a popped set takes its part behind the changed unit
     step = 0xD1342543DE82EF95
     fresh = [lat.sample(unit, seeds[row_of] + np.uint64((r + 1) * step & 0xFFFFFFFFFFFFFFFF) + within) for r in range(k)]
+    roots = _gumbel(uniform(seeds, 1 << 40)).tolist()
     for i in range(len(bounds) - 1):
-        yield _search_one(lat, unit, int(seeds[i]), fresh, int(bounds[i]), int(bounds[i + 1]), k)
+        yield _search_one(lat, unit, int(seeds[i]), roots[i], fresh, int(bounds[i]), int(bounds[i + 1]), k)
 
 
 def _units(t: PieceTable, norm: str) -> list[str]:
@@ -447,7 +454,7 @@ def _units(t: PieceTable, norm: str) -> list[str]:
     that fine units would cut."""
     if t.joined is not None and t.joined.search(norm):
         return _COARSE.findall(norm)
-    return _FINE.findall(norm)
+    return (_FINE_ASCII if norm.replace(SPACE, " ").isascii() else _FINE).findall(norm)
 
 
 def _log_inclusion(logp: float, kappa: float) -> float:

@@ -3,6 +3,7 @@
 import collections
 import gzip
 import math
+import random
 import zlib
 
 import numpy as np
@@ -151,6 +152,25 @@ def test_sampling_is_without_replacement_in_gumbel_order(spark, model):
         assert abs(second[x] / n - q2) < 5 * math.sqrt(q2 * (1 - q2) / n) + 2e-3
 
 
+def test_units_of_ascii_texts_and_their_numbers(model, monkeypatch):
+    rnd = random.Random(4)
+    chars = [chr(i) for i in range(128)] + [lattice.SPACE] * 30
+    texts = ["".join(rnd.choices(chars, k=rnd.randint(0, 40))) for _ in range(500)]
+    assert [lattice._FINE_ASCII.findall(x) for x in texts] == [lattice._FINE.findall(x) for x in texts]
+    t = lattice.piece_table(model)
+    asked = []
+    monkeypatch.setattr(lattice, "_FINE", type("Slow", (), {"findall": staticmethod(lambda x: asked.append(x) or [])}))
+    assert lattice._units(t, lattice.SPACE + "plain") == [lattice.SPACE + "plain"] and not asked
+    lattice._units(t, lattice.SPACE + "日本")
+    assert len(asked) == 1
+    lat, blocks = lattice.Lattice(t), [["b", "a", "b"], [], ["c", "a"]]
+    assert lat.units(blocks).tolist() == [0, 1, 0, 2, 1] and lat.units([["d", "a"]]).tolist() == [3, 1]
+    monkeypatch.setattr(lattice, "KEPT_POSITIONS", 2)
+    lat.trim()
+    assert list(lat.index) == ["b", "a"] and len(lat.off) == 3
+    assert lat.units([["c", "b"]]).tolist() == [2, 0] and lat.last.tolist() == [1, 2, 3]
+
+
 def test_segmentations_decode_and_repeat(spark, model):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     extra = [(9001, None), (9002, ""), (9003, "  two  spaces\nand 日本 \U0001f600 ² x². "), (None, "no key"), (9004, "a" * 3000), (9003, "again")]
