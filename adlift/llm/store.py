@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adlift.session import shared_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
@@ -16,10 +18,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage
-    ends there, columns stay prunable, and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    ends there, columns stay prunable, and lost executors cost no recomputation.  What
+    the write shuffled is removed with its end, not only when the driver collects garbage."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

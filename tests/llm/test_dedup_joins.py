@@ -192,3 +192,18 @@ def test_a_block_passes_pairs_or_members_and_loses_no_link(monkeypatch, pairs):
         start = [(i, 0) for i in range(4)]
         assert _components(range(40), found + start) == _components(range(40), links + start)
     assert links
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import glob
+
+    from adlift.llm import store
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {p for d in dirs for p in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    df = spark.range(0, 1000, 1, 3).groupBy((F.col("id") % 7).alias("k")).count()
+    before, setting = files(), spark.conf.get(store.CLEANUP)
+    out = store.written(df, "counts")
+    assert not files() - before and spark.conf.get(store.CLEANUP) == setting
+    assert sorted(out.collect()) == sorted(df.collect())
