@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21  # text bytes handled at once; a longer single text is one chunk
+CHUNK_BYTES = 1 << 19  # text bytes handled at once (some 50 times that in a worker); a longer single text is one chunk
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
