@@ -15,11 +15,12 @@ Plan, exact at every size:
    result, only the work.
 3. Prefix shingles are dealt by hash into buckets of bounded size; lists held by
    one class alone vanish there.  Lists of frequent shingles stay plain rows.
-4. Round one checks every list member against its list's hub (its smallest
-   class): a group of m near copies costs about m checks, not m * m.  Round two checks
-   the members of long lists that are still in different components against a few pivots.
-   Round three takes what is still open, lists with the same members once, as pairs of
-   blocks bounded in shingles.  Bitmaps choose the candidates; where they are few the pairs
+4. Round one checks list members against their lists' hub (the smallest class): a group
+   of m near copies costs about m checks, not m * m.  Round two checks the members of long
+   lists that are still in different components against a few pivots.  Both pass over
+   pairs that share fewer lists than linked sets usually do.  Round three takes what is still open, lists with the same members
+   once and lists of one hub and like length as one, so that a member brings its bitmap once
+   for them, as pairs of blocks bounded in shingles.  Bitmaps choose the candidates; where they are few the pairs
    are checked, once for all lists, else the members bring their sets to the block, whose
    search gives a forest of links.  Either way rows grow with members, not their square.  Pairs already connected need no check, so components are exact.
 5. A check is a bitmap bound on the overlap (exact upper bound), then
@@ -55,7 +56,7 @@ HEAVY_SHARE = 2e-6          # a shingle with this share of all shingles is order
 BUCKET_POSTINGS = 400_000   # prefix shingles per bucket
 FLUSH_POSTINGS = 500_000  # postings packed at once in a task
 BLOCK = 256                 # candidate sets per search block
-BROADCAST_ROWS = 500_000    # doc_ids (8 bytes) sent to every task; more are shuffled
+BROADCAST_ROWS = 500_000    # doc_ids or pairs of classes (8, 16 bytes) sent to every task; more are shuffled
 BLOCK_SHINGLES = 800_000    # shingles of the list members compared at once, about (at least one member)
 PAIRS_A_MEMBER = 4          # candidate pairs a block may pass on per member; denser ones are searched in place
 PIVOTS = 8                  # members of a long list that all others are compared with first
@@ -190,7 +191,7 @@ def _postings(k: int, heavy, buckets: int):
 
 
 POSTINGS = "bucket int, frequent boolean, tok binary, cls binary, n binary"
-LIST_SCHEMA = "token long, cls long, n int"
+LIST_SCHEMA = "token long, cls long, n int, hub long, hub_n int"
 
 
 def _unpack(t: pa.Table, token_type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,8 +200,9 @@ def _unpack(t: pa.Table, token_type) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _lists(t: pa.Table) -> pa.Table:
-    """Of one bucket: postings of rarer shingles that two classes of fitting size hold,
-    and the postings of frequent shingles, each once."""
+    """Of one bucket: postings of rarer shingles that two classes of fitting size hold, with
+    their list's hub, and the postings of frequent shingles (hub null: other buckets hold
+    more of their lists), each once."""
     c_tok, c_cls, c_n = _unpack(t.filter(t.column("frequent")), np.int64)
     order = np.lexsort((c_cls, c_tok))
     c_tok, c_cls, c_n = c_tok[order], c_cls[order], c_n[order]
@@ -218,13 +220,19 @@ def _lists(t: pa.Table) -> pa.Table:
     keep[1:] |= fits
     keep[:-1] |= fits
     bucket = int(t.column("bucket")[0].as_py()) if t.num_rows else 0
-    return pa.table({"token": np.concatenate([(bucket << 32) + tok[keep].astype(np.int64), c_tok]),
-                     "cls": np.concatenate([cls[keep], c_cls]), "n": np.concatenate([n[keep], c_n])})
+    tok, cls, n = tok[keep], cls[keep], n[keep]
+    first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[:len(tok)])
+    at = np.lexsort((cls, tok))[first]  # of each list the smallest class
+    length = np.diff(np.append(first, len(tok)))
+    hub, hub_n = (pa.concat_arrays([pa.array(np.repeat(v[at], length), kind), pa.nulls(len(c_tok), kind)])
+                  for v, kind in ((cls, pa.int64()), (n, pa.int32())))
+    return pa.table({"token": np.concatenate([(bucket << 32) + tok.astype(np.int64), c_tok]),
+                     "cls": np.concatenate([cls, c_cls]), "n": np.concatenate([n, c_n]), "hub": hub, "hub_n": hub_n})
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """XOR bitmap of a set, a power of two of bits, at least 2 n."""
-    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    """XOR bitmap of a set, a power of two of bits, at least n."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length())
     slot = (s >> np.uint64(20)) & np.uint64(bits - 1)
     parity = np.bincount(slot.astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
@@ -369,43 +377,80 @@ def _search(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Candidate pairs ``(x, y)`` that pass the bitmap bound."""
-    bits = classes.select("cls", "n", "bits")
-    p = pairs.join(bits.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx")), "x")
-    p = p.join(bits.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by")), "y")
+    pairs = written(pairs, "candidates")
+    ids, bits = _small(pairs), classes.select("cls", "n", "bits")
+    p = bits.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx")).join(ids(pairs), "x")
+    y = bits.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    p = p.join(y.join(ids(pairs.select("y").distinct()), "y", "left_semi"), "y")
     return p.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_bitmap_filter, "x long, y long")
 
 
+def _small(rows: DataFrame):
+    """How a join takes these rows of ids: sent to every task if they are few."""
+    return F.broadcast if rows.count() <= BROADCAST_ROWS else lambda d: d
+
+
+def sharing(met: DataFrame) -> DataFrame:
+    """Of ``(x, y, n, m, lists)``, classes of n and m shingles met in so many lists, the pairs of
+    fitting size met in at least half the lists that linked sets share: their overlap less
+    the longer one's suffix.  Some lists of a pair may not be told here, so a pair left out
+    may still be linked."""
+    least, most = (f("n", "m").cast("long") for f in (F.least, F.greatest))
+    met = met.where(least * 100 >= most * MIN_JACCARD).groupBy("x", "y").agg(
+        F.first("n").alias("n"), F.first("m").alias("m"), F.sum("lists").alias("lists"))
+    need = F.ceil(MIN_JACCARD * (least + most) / (100 + MIN_JACCARD)) - F.ceil(MIN_JACCARD * most / 100) + 1
+    return met.where(F.col("lists") * 2 >= need).select("x", "y")
+
+
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """Members with the hub of their lists, ``(x, y)``, that share many of its lists."""
+    known = lists.where("hub is not null")
+    common = lists.where("hub is null").select("token", "cls", "n")
+    hubs = common.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("h")).select(
+        "token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
+    listed = known.union(common.join(hubs, "token").select(*known.columns)).where("cls <> hub")
+    return sharing(listed.select(F.col("hub").alias("x"), F.col("cls").alias("y"), "n", F.col("hub_n").alias("m"), F.lit(1).alias("lists")))
+
+
 def open_lists(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of the lists ``(token, cls, comp, n)`` those whose members are in different components,
-    lists with the same members once: their members, and ``(token, m, shingles)``."""
-    ends = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    differ = written(ends.where("lo <> hi").select("token"), "differ")  # read back, so that Spark knows its size
-    rest = rest.join(differ, "token", "left_semi")
-    member = F.xxhash64("cls")
-    lists = rest.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"),
-                                      F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(member).alias("h")) \
-        .groupBy("m", "shingles", "s", "h").agg(F.min("token").alias("token")).select("token", "m", "shingles")
+    lists with the same members once: their members, and ``(token, m, shingles, hub, lists)``."""
+    lists = rest.groupBy("token").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), F.min("cls").alias("hub"), F.bit_xor(F.xxhash64("cls")).alias("g"),
+        F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi") \
+        .groupBy("m", "shingles", "hub", "g", "h").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("lists")) \
+        .select("token", "m", "shingles", "hub", "lists")
     lists = written(lists, "open")
-    return written(rest.join(lists.select("token"), "token", "left_semi"), "opened"), lists
+    return written(rest.join(_small(lists)(lists.select("token")), "token", "left_semi"), "opened"), lists
 
 
 def pivot_pairs(rest: DataFrame, lists: DataFrame) -> DataFrame:
     """Members of long lists against the list's pivots, the members with the smallest hashes.
     The hashes do not depend on the list, so lists that overlap share their pivots."""
-    long = lists.where(F.col("m") >= PIVOT_LIST).select("token")
-    d = rest.join(long, "token")
+    long = lists.where(F.col("m") >= PIVOT_LIST).select("token", "lists")
+    d = rest.join(_small(long)(long), "token")
     lowest = [F.min(F.struct(F.xxhash64(F.lit(i), "cls").alias("h"), "cls", "comp", "n")).alias(f"p{i}") for i in range(PIVOTS)]
     pivots = d.groupBy("token").agg(*lowest).select("token", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
-    fits = F.least("n", "p.n").cast("long") * 100 >= F.greatest("n", "p.n").cast("long") * MIN_JACCARD
-    return d.join(pivots, "token").where((F.col("comp") != F.col("p.comp")) & fits).select(F.col("p.cls").alias("x"), F.col("cls").alias("y")).distinct()
+    d = d.join(pivots, "token").where(F.col("comp") != F.col("p.comp"))
+    return sharing(d.select(F.col("p.cls").alias("x"), F.col("cls").alias("y"), "n", F.col("p.n").alias("m"), "lists"))
+
+
+def joint_lists(rest: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(token, cls, comp, n)`` with lists of one hub and like length taken as one: lists of
+    one passage have nearly the same members, which are in the joint list once."""
+    joint = lists.select("token", F.xxhash64("hub", F.floor(F.log2("m"))).alias("joint"))
+    rest = rest.join(_small(lists)(joint), "token").select(F.col("joint").alias("token"), "cls", "comp", "n").distinct()
+    return written(rest, "joint")
 
 
 def cross_links(rest: DataFrame, lists: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Links between members of one list in different components, as forests.  A list is
     dealt as pairs of blocks of about ``BLOCK_SHINGLES``.  Bitmaps choose candidates; few pairs
     are checked once for all lists, in dense blocks the members bring their sets."""
-    lists = lists.select("token", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("nb"))
-    d = rest.join(lists, "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    rest = joint_lists(rest, lists)
+    lists = rest.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("nb"))
+    lists = written(lists, "blocks")
+    d = rest.join(_small(lists)(lists), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     d = d.join(classes.select("cls", "bits"), "cls")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     d = d.select("token", "block", other.alias("o"), "cls", "comp", "n", "bits") \
@@ -434,13 +479,14 @@ def class_sets(wanted: DataFrame, src: DataFrame, classes: DataFrame, k: int) ->
 def verified_links(pairs: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Links ``(u, v)`` among candidate pairs ``(x, y)`` of classes."""
     p = written(pairs, "pairs")
+    ids = _small(p)
     sets = class_sets(p.select(F.col("x").alias("cls")).union(p.select(F.col("y").alias("cls"))).distinct(), src, classes, k)
     # a query with many candidates is dealt over several blocks, its set once to each
     blocks = p.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     cand = p.join(blocks, "x").withColumn("block", F.pmod(F.xxhash64("y"), F.col("nb")).cast("int"))
-    cand = cand.select("x", "block", "y").join(sets.select(F.col("cls").alias("y"), "set"), "y") \
+    cand = ids(cand.select("x", "block", "y")).join(sets.select(F.col("cls").alias("y"), "set"), "y") \
         .select(F.col("x").alias("x"), F.col("block").alias("block"), F.col("y").alias("y"), F.col("set").alias("set"))
-    query = blocks.join(sets.select(F.col("cls").alias("x"), "set"), "x")
+    query = ids(blocks).join(sets.select(F.col("cls").alias("x"), "set"), "x")
     query = query.select(F.col("x").alias("query"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("part"),
                          F.col("set").alias("query_set"))
     return query.groupBy("query", "part").cogroup(cand.groupBy("x", "block")).applyInArrow(_search, "u long, v long")
@@ -469,16 +515,11 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
     posted = src.select("text").mapInArrow(_postings(k, heavy, buckets), POSTINGS)
     lists = written(posted.groupBy("bucket").applyInArrow(_lists, LIST_SCHEMA), "lists")
 
-    fits = (F.least("n", "hub_n").cast("long") * 100 >= F.greatest("n", "hub_n").cast("long") * MIN_JACCARD)
-    hubs = lists.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("h")).select(
-        "token", F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
-    listed = lists.join(hubs, "token").where("cls <> hub")
-    first = listed.where(fits).select(F.col("hub").alias("x"), F.col("cls").alias("y")).distinct()
-    links = written(verified_links(bounded_pairs(first, classes), src, classes, k), "links1")
+    links = written(verified_links(bounded_pairs(hub_pairs(lists), classes), src, classes, k), "links1")
     comp = written(connected_components(links), "comp1")
 
     # members of one list still in different components: against pivots, then all that is left
-    opened, todo = _still_open(lists, comp)
+    opened, todo = _still_open(lists.select("token", "cls", "n"), comp)
     more = written(verified_links(bounded_pairs(pivot_pairs(opened, todo), classes), src, classes, k), "links2")
     links = links.union(more)
     comp = written(connected_components(links), "comp2")

@@ -207,3 +207,36 @@ def test_written_tables_leave_no_shuffle_files(spark):
     out = store.written(df, "counts")
     assert not files() - before and spark.conf.get(store.CLEANUP) == setting
     assert sorted(out.collect()) == sorted(df.collect())
+
+
+def test_a_member_brings_its_bitmap_once_for_lists_of_one_passage(spark):
+    """20 lists of one passage: each lacks another of its 40 members."""
+    from adlift.llm import ngram_join
+    rows = [(t, c, c, 90 + c) for t in range(20) for c in range(40) if c != t + 7] + [(50, c, c % 2, 100) for c in (3, 60, 61)]
+    opened, lists = ngram_join.open_lists(spark.createDataFrame(rows, "token long, cls long, comp long, n int"))
+    assert opened.count() == len(rows)
+    joint = [tuple(r) for r in ngram_join.joint_lists(opened, lists).select("token", "cls", "comp", "n").collect()]
+    of = {t: {(c, p, n) for x, c, p, n in joint if x == t} for t in {r[0] for r in joint}}
+    assert len(joint) == 43 and sorted(map(len, of.values())) == [3, 40]
+    assert all(any({r[1:] for r in rows if r[0] == t} <= g for g in of.values()) for t in range(20))
+
+
+def test_hubs_are_known_within_a_bucket_and_pairs_that_share_little_wait(spark):
+    import pyarrow as pa
+
+    from adlift.llm import ngram_join
+    tok = [5] * 3 + [9] * 2 + [11]
+    cls = [30, 10, 20, 40, 10, 10]
+    rare = [np.array(tok, np.uint32), np.array(cls, np.int64), np.array([100, 100, 104, 103, 100, 100], np.int32)]
+    often = [np.array([77], np.int64), np.array([30], np.int64), np.array([100], np.int32)]
+    names = ["tok", "cls", "n"]
+    t = pa.table({"bucket": pa.array([2, 2], pa.int32()), "frequent": [False, True]}
+                 | {c: [a.tobytes(), b.tobytes()] for c, a, b in zip(names, rare, often, strict=True)})
+    got = ngram_join._lists(t)
+    at = 2 << 32
+    assert {tuple(r.values()) for r in got.to_pylist()} == {
+        (at + 5, 10, 100, 10, 100), (at + 5, 20, 104, 10, 100), (at + 5, 30, 100, 10, 100), (at + 9, 10, 100, 10, 100),
+        (at + 9, 40, 103, 10, 100), (77, 30, 100, None, None)}
+    rows = [(t, c, 100, 1, 100) for c, k in ((1, 20), (2, 9), (3, 1)) for t in range(k)] + [(90 + t, c, 100, None, None) for t in range(9) for c in (1, 4)]
+    df = spark.createDataFrame(rows, ngram_join.LIST_SCHEMA)
+    assert {tuple(r) for r in ngram_join.hub_pairs(df).collect()} == {(1, 2), (1, 4)}
