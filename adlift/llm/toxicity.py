@@ -318,11 +318,13 @@ def _score_batches(model):
     return run
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` for every row, from its whole text alone."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text",
+                   kind: str = "long") -> DataFrame:
+    """``doc_id, score, predicted`` for every row, from its whole text alone; ``kind`` is the
+    type of the key."""
     b = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(_score_batches(b), "doc_id long, score double").select(
+    src = docs.select(F.col(key).cast(kind).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return src.mapInArrow(_score_batches(b), f"doc_id {kind}, score double").select(
         "doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

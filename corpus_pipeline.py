@@ -16,17 +16,31 @@ from adlift.llm.queries import segmentation_digests, tokenizer_path
 from adlift.llm.store import table, written
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The stage's input with a number per row, written so that every use sees the same
-    numbers; and the name of that column, one the input does not have."""
+def free_name(docs: DataFrame) -> str:
+    """A column name that the input does not have."""
     row = "row"
     while row.lower() in (c.lower() for c in docs.columns):
         row += "_"
+    return row
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The stage's input with a number per row, written so that every use sees the same
+    numbers; and the name of that column."""
+    row = free_name(docs)
     return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
+def named(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """The stage's input with a SHA-256 of the columns that alone decide whether a row stays,
+    so that no copy of the input is written for it; and the name of that column."""
+    row = free_name(docs)
+    parts = [F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit("null")) for c in columns]
+    return docs.withColumn(row, F.unhex(F.sha2(F.concat_ws(" ", *parts), 256))), row
+
+
 def kept(rows: DataFrame, row: str, keep: DataFrame) -> DataFrame:
-    """The rows whose number is in the one column of ``keep``."""
+    """The rows whose number or name is in the one column of ``keep``."""
     return rows.join(keep.toDF(row).distinct(), row, "left_semi").drop(row)
 
 
@@ -38,8 +52,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts go; a null language or source is no evidence; every row is decided
     for itself, also where doc_ids repeat or are null; other columns pass through."""
-    rows, row = numbered(docs)
-    model = langid.fit_trigrams(rows.select("text", "lang", "doc_id"))
+    rows, row = named(docs, "text", "lang", "source")
+    model = langid.fit_trigrams(docs.select("text", "lang", "doc_id"))
     told = rows.select(row, "text", "lang", "source")
     found = langid.identify_languages(told, model, row, "text", declared=F.col("lang"), host=F.col("source"))
     known = (F.col("confidence") >= langid.MIN_CONFIDENCE) & (F.col("text_fit") >= -langid.MAX_MISFIT)
@@ -51,10 +65,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row is decided by its own text, also where doc_ids repeat or are null; a null or
     empty text is scored as an empty one; other columns pass through."""
-    rows, row = numbered(docs)
+    rows, row = named(docs, "text")
     labels = table(spark, sf_dir, "labels").where(~toxicity.held_out())
-    model = toxicity.fit_toxicity(spark, rows.select("doc_id", "text"), labels)
-    return kept(rows, row, toxicity.score_toxicity(rows.select(row, "text"), model, key=row).where("predicted = 0").select("doc_id"))
+    model = toxicity.fit_toxicity(spark, docs.select("doc_id", "text"), labels)
+    scores = toxicity.score_toxicity(rows.select(row, "text"), model, key=row, kind="binary")
+    return kept(rows, row, scores.where("predicted = 0").select("doc_id"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,14 @@ def test_empty_table(spark, docs):
         out = stage(spark, none, SF)
         _same_columns(none, out)
         assert out.count() == 0
+
+
+def test_stages_that_judge_a_text_write_no_copy_of_their_input(spark, docs, monkeypatch):
+    import corpus_pipeline as P
+    from adlift.llm import langid
+    names = []
+    for module in (P, langid):
+        monkeypatch.setattr(module, "written", lambda df, name, f=P.written: (names.append((name, df.columns)), f(df, name))[1])
+    for stage in (P.language_id, P.toxic):
+        _same_columns(docs, stage(spark, docs, SF))
+    assert names and not any("text" in columns for _, columns in names)
