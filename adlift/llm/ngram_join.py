@@ -16,11 +16,13 @@ Plan, exact at every size:
 3. Prefix shingles are dealt by hash into buckets of bounded size; lists held by
    one class alone vanish there.  Lists of frequent shingles stay plain rows.
 4. Round one checks list members against their lists' hub (the smallest class): a group
-   of m near copies costs about m checks, not m * m.  Round two checks the members of long
-   lists that are still in different components against a few pivots.  Both pass over
-   pairs that share fewer lists than linked sets usually do.  Round three takes what is still open, lists with the same members
-   once and lists of one hub and like length as one, so that a member brings its bitmap once
-   for them, as pairs of blocks bounded in shingles.  Bitmaps choose the candidates; where they are few the pairs
+   of m near copies costs about m checks, not m * m.  Then lists with the same members count
+   once and lists of one hub and like length as one.  Round two checks the members of such
+   lists that are still in different components against a few pivots, if a list is longer than
+   a block, so that round three would compare pairs of its blocks.  A class meets the pivots of
+   one list, so its rows are at most ``PIVOTS`` a class.  Both pass over
+   pairs that share fewer lists than linked sets usually do.  Round three takes what is still open,
+   where a member brings its bitmap once for joint lists, as pairs of blocks bounded in shingles.  Bitmaps choose the candidates; where they are few the pairs
    are checked, once for all lists, else the members bring their sets to the block, whose
    search gives a forest of links.  Either way rows grow with members, not their square.  Pairs already connected need no check, so components are exact.
 5. A check is a bitmap bound on the overlap (exact upper bound), then
@@ -59,8 +61,7 @@ BLOCK = 256                 # candidate sets per search block
 BROADCAST_ROWS = 500_000    # doc_ids or pairs of classes (8, 16 bytes) sent to every task; more are shuffled
 BLOCK_SHINGLES = 800_000    # shingles of the list members compared at once, about (at least one member)
 PAIRS_A_MEMBER = 4          # candidate pairs a block may pass on per member; denser ones are searched in place
-PIVOTS = 8                  # members of a long list that all others are compared with first
-PIVOT_LIST = 32             # members from which a list is long
+PIVOTS = 8                  # members of a list longer than a block that all others are compared with first
 LONG_LIST_MU = 0.01         # DivideSkip: weight of log M in the number of long lists
 
 
@@ -390,16 +391,26 @@ def _small(rows: DataFrame):
     return F.broadcast if rows.count() <= BROADCAST_ROWS else lambda d: d
 
 
+def _fits(n, m):
+    """Whether sets of n and m shingles may link."""
+    return F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * MIN_JACCARD
+
+
+def _share_many(n, m, lists):
+    """Whether so many lists are at least half those that linked sets of n and m shingles
+    share: their overlap less the longer one's suffix."""
+    least, most = (f(n, m).cast("long") for f in (F.least, F.greatest))
+    need = F.ceil(MIN_JACCARD * (least + most) / (100 + MIN_JACCARD)) - F.ceil(MIN_JACCARD * most / 100) + 1
+    return lists * 2 >= need
+
+
 def sharing(met: DataFrame) -> DataFrame:
     """Of ``(x, y, n, m, lists)``, classes of n and m shingles met in so many lists, the pairs of
-    fitting size met in at least half the lists that linked sets share: their overlap less
-    the longer one's suffix.  Some lists of a pair may not be told here, so a pair left out
-    may still be linked."""
-    least, most = (f("n", "m").cast("long") for f in (F.least, F.greatest))
-    met = met.where(least * 100 >= most * MIN_JACCARD).groupBy("x", "y").agg(
+    fitting size that share many lists.  Some lists of a pair may not be told here, so a pair
+    left out may still be linked."""
+    met = met.where(_fits("n", "m")).groupBy("x", "y").agg(
         F.first("n").alias("n"), F.first("m").alias("m"), F.sum("lists").alias("lists"))
-    need = F.ceil(MIN_JACCARD * (least + most) / (100 + MIN_JACCARD)) - F.ceil(MIN_JACCARD * most / 100) + 1
-    return met.where(F.col("lists") * 2 >= need).select("x", "y")
+    return met.where(_share_many("n", "m", F.col("lists"))).select("x", "y")
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
@@ -424,33 +435,40 @@ def open_lists(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     return written(rest.join(_small(lists)(lists.select("token")), "token", "left_semi"), "opened"), lists
 
 
-def pivot_pairs(rest: DataFrame, lists: DataFrame) -> DataFrame:
-    """Members of long lists against the list's pivots, the members with the smallest hashes.
-    The hashes do not depend on the list, so lists that overlap share their pivots."""
-    long = lists.where(F.col("m") >= PIVOT_LIST).select("token", "lists")
-    d = rest.join(_small(long)(long), "token")
-    lowest = [F.min(F.struct(F.xxhash64(F.lit(i), "cls").alias("h"), "cls", "comp", "n")).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = d.groupBy("token").agg(*lowest).select("token", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
-    d = d.join(pivots, "token").where(F.col("comp") != F.col("p.comp"))
-    return sharing(d.select(F.col("p.cls").alias("x"), F.col("cls").alias("y"), "n", F.col("p.n").alias("m"), "lists"))
-
-
 def joint_lists(rest: DataFrame, lists: DataFrame) -> DataFrame:
-    """``(token, cls, comp, n)`` with lists of one hub and like length taken as one: lists of
-    one passage have nearly the same members, which are in the joint list once."""
-    joint = lists.select("token", F.xxhash64("hub", F.floor(F.log2("m"))).alias("joint"))
-    rest = rest.join(_small(lists)(joint), "token").select(F.col("joint").alias("token"), "cls", "comp", "n").distinct()
+    """``(token, cls, comp, n, lists)`` with lists of one hub and like length taken as one: lists of
+    one passage have nearly the same members, which are in the joint list once, with the
+    number of its lists that hold them."""
+    joint = lists.select("token", "lists", F.xxhash64("hub", F.floor(F.log2("m"))).alias("joint"))
+    rest = rest.join(_small(lists)(joint), "token").groupBy(F.col("joint").alias("token"), "cls", "comp", "n").agg(F.sum("lists").alias("lists"))
     return written(rest, "joint")
 
 
-def cross_links(rest: DataFrame, lists: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Links between members of one list in different components, as forests.  A list is
-    dealt as pairs of blocks of about ``BLOCK_SHINGLES``.  Bitmaps choose candidates; few pairs
+def list_blocks(joint: DataFrame) -> DataFrame:
+    """``(token, nb)``: in how many blocks of about ``BLOCK_SHINGLES`` a joint list is dealt."""
+    return written(joint.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("nb")), "blocks")
+
+
+def pivot_pairs(joint: DataFrame, long: DataFrame) -> DataFrame:
+    """Members of the long joint lists, ``(token)``, against their list's pivots, the members with the
+    smallest hashes.  A class is in one list here, the one that stands for most of those that hold
+    it, so there are at most ``PIVOTS`` rows a class; of them the join makes those that may share
+    many lists, at most as many as either is in."""
+    d = joint.join(_small(long)(long.select("token")), "token", "left_semi")
+    d = d.groupBy("cls").agg(F.max(F.struct("lists", "token", "comp", "n")).alias("d")).select("cls", "d.*")
+    d = written(d, "main")
+    lowest = [F.min(F.struct(F.xxhash64(F.lit(i), "cls").alias("h"), "cls", "comp", "n", "lists")).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = d.groupBy("token").agg(*lowest).select("token", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p"))
+    pivots = written(pivots.select("token", "p.cls", "p.comp", "p.n", "p.lists").distinct().toDF("token", "x", "x_comp", "m", "x_lists"), "pivots")
+    near = (F.col("comp") != F.col("x_comp")) & _fits("n", "m") & _share_many("n", "m", F.least("lists", "x_lists"))
+    return d.join(_small(pivots)(pivots), "token").where(near).select("x", F.col("cls").alias("y"))
+
+
+def cross_links(joint: DataFrame, blocks: DataFrame, src: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Links between members of one joint list in different components, as forests.  A list is
+    dealt as pairs of its blocks.  Bitmaps choose candidates; few pairs
     are checked once for all lists, in dense blocks the members bring their sets."""
-    rest = joint_lists(rest, lists)
-    lists = rest.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("nb"))
-    lists = written(lists, "blocks")
-    d = rest.join(_small(lists)(lists), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
+    d = joint.join(_small(blocks)(blocks), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     d = d.join(classes.select("cls", "bits"), "cls")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     d = d.select("token", "block", other.alias("o"), "cls", "comp", "n", "bits") \
@@ -518,13 +536,19 @@ def ngram_jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "
     links = written(verified_links(bounded_pairs(hub_pairs(lists), classes), src, classes, k), "links1")
     comp = written(connected_components(links), "comp1")
 
-    # members of one list still in different components: against pivots, then all that is left
+    # members of one list still in different components: against pivots where several blocks
+    # would be compared, then all that is left
     opened, todo = _still_open(lists.select("token", "cls", "n"), comp)
-    more = written(verified_links(bounded_pairs(pivot_pairs(opened, todo), classes), src, classes, k), "links2")
-    links = links.union(more)
-    comp = written(connected_components(links), "comp2")
-    opened, todo = _still_open(opened.drop("comp"), comp)  # a closed list stays closed
-    links = links.union(written(cross_links(opened, todo, src, classes, k), "links3"))
+    joint = joint_lists(opened, todo)
+    blocks = list_blocks(joint)
+    long = blocks.where("nb > 1")
+    if long.count():
+        more = written(verified_links(bounded_pairs(pivot_pairs(joint, long), classes), src, classes, k), "links2")
+        links = links.union(more)
+        comp = written(connected_components(links), "comp2")
+        joint = joint_lists(*_still_open(opened.drop("comp"), comp))  # a closed list stays closed
+        blocks = list_blocks(joint)
+    links = links.union(written(cross_links(joint, blocks, src, classes, k), "links3"))
     comp = written(connected_components(links), "comp3")
 
     named = classes.select("cls", "rep").join(comp, F.col("cls") == F.col("node"), "left") \

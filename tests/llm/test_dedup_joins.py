@@ -240,3 +240,43 @@ def test_hubs_are_known_within_a_bucket_and_pairs_that_share_little_wait(spark):
     rows = [(t, c, 100, 1, 100) for c, k in ((1, 20), (2, 9), (3, 1)) for t in range(k)] + [(90 + t, c, 100, None, None) for t in range(9) for c in (1, 4)]
     df = spark.createDataFrame(rows, ngram_join.LIST_SCHEMA)
     assert {tuple(r) for r in ngram_join.hub_pairs(df).collect()} == {(1, 2), (1, 4)}
+
+
+def test_a_class_meets_the_pivots_of_one_list(spark, monkeypatch):
+    """Three passages that 40 classes share in 6, 4 and 2 lists: a class's pairs do not grow with its lists."""
+    from adlift.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "PIVOTS", 3)
+    rows = [(100 * p + t, c, c, 100) for p, lists in enumerate((6, 4, 2)) for t in range(lists) for c in range(p, 40 + p)]
+    lone = [(900 + t, c, c, 100) for t in range(7) for c in (7, 70 + t)]
+    opened, lists = ngram_join.open_lists(spark.createDataFrame(rows + lone, "token long, cls long, comp long, n int"))
+    joint = ngram_join.joint_lists(opened, lists)
+    passages = joint.groupBy("token").agg(F.count("*").alias("m")).where("m >= 40").select("token")
+    assert passages.count() == 3
+    pairs = [tuple(r) for r in ngram_join.pivot_pairs(joint, passages).collect()]
+    met = {frozenset(p) for p in pairs}
+    assert 0 < len(pairs) <= 3 * 42 and len({x for x, _ in pairs}) == 3
+    assert {c for p in met for c in p} == set(range(40))  # 6 lists in common are enough of 12, 4 and 2 are not
+
+
+def test_pivots_only_where_blocks_would_be_compared(spark, monkeypatch):
+    """Near copies that one block holds are compared there at once, else pivots come first; no link is lost."""
+    import random
+
+    from adlift.llm import ngram_join
+    rng = random.Random(4)
+    rows = []
+    for d in range(120):
+        w = [f"w{d % 2}-{i}" for i in range(90)]
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        rows.append((d, " ".join(w)))
+    sets = [(d, _shingles(t)) for d, t in rows]
+    want = _components([d for d, _ in sets], [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 100 * len(x & y) >= 75 * len(x | y)])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    calls, pivots = [], ngram_join.pivot_pairs
+    monkeypatch.setattr(ngram_join, "pivot_pairs", lambda *a: calls.append(1) or pivots(*a))
+    for block, rounds in ((ngram_join.BLOCK_SHINGLES, 0), (1000, 1)):
+        monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+        assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard_components(df).collect()} == want
+        assert sum(calls) == rounds
+    assert len(set(want.values())) > 2
