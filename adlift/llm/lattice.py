@@ -46,7 +46,7 @@ from adlift.llm.textops import mix64
 
 ALPHA = 1.0            # weight of a piece: (2 - score) ** -ALPHA
 UNKNOWN_SCORE = -1e6   # score of one byte piece
-BLOCK_CHARS = 1 << 19   # characters sampled at once; a longer text is a block of its own
+BLOCK_CHARS = 1 << 18   # characters sampled at once; a longer text is a block of its own
 KEPT_POSITIONS = 1_000_000  # lattice characters a worker keeps (about 50 MB)
 OPEN_MASS = -60.0      # sets lighter than this below the parent cannot win in double precision
 SPACE = "▁"
@@ -470,6 +470,7 @@ SCHEMA = ("key {key}, sample int, gumbel double, log_prob double, log_inclusion
 
 def _sample_batches(path: str, k: int, alpha: float):
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # other pools keep what blocks no longer use
         t, lat = piece_table(path, alpha), _lattice(path, alpha)
         names = ["key", "sample", "gumbel", "log_prob", "log_inclusion", "n_pieces", "ids", "decoded_crc32", "text_crc32"]
         for b in batches:
