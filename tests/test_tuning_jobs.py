@@ -1,8 +1,11 @@
 """The tuning jobs: every grid point of the studied project, equal to models fitted one by one."""
 
 import math
+import pickle
+import types
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +224,44 @@ def test_all_networks_share_the_jobs_of_a_round(spark, folded):
     assert groups > 1 and len(jobs) == 4
 
 
+def test_halves_of_the_folds_train_side_by_side(folded, monkeypatch):
+    rows = MLP.raw_columns(folded)
+    units, groups, lanes = MLP.dealt_groups(rows, MLP.raw_features(), TARGET, KEY, F.col(KEY) % 10 == 0, 300)
+    affine = MLP.affine_of(CampaignPreprocessor().fit(folded))
+
+    def nets():
+        return [MLP.new_network(MLP.MLPConfig(hidden=h, max_epochs=3, fold=f), affine) for h in ((8,), (6, 4)) for f in range(3)]
+    want, running, most = MLP.train_networks(units, groups, lanes, nets()), [], []
+    plain = MLP.train_networks
+
+    def seen(*args):
+        running.append(1)
+        most.append(len(running))
+        out = plain(*args)
+        running.pop()
+        return out
+    monkeypatch.setattr(MLP, "train_networks", seen)
+    got = MLP.train_side_by_side(units, groups, lanes, nets())
+    units.unpersist()
+    assert groups > 1 and max(most) == 2
+    for a, b in zip(want, got, strict=True):
+        assert a.cfg == b.cfg and np.array_equal(a.weights, b.weights) and a.history == b.history
+
+
+def test_a_group_sends_what_it_trained_in_single_precision(folded):
+    rng = np.random.default_rng(4)
+    nets = [MLP.new_network(MLP.MLPConfig(hidden=(6, 4), fold=f), (np.zeros(3), np.zeros(3), np.ones(3))) for f in (0, 1)]
+    blob = pickle.dumps((rng.normal(size=(90, 3)), rng.normal(size=90), np.arange(90) % 3, np.arange(90) % 10 == 0))
+    shared = types.SimpleNamespace(value=pickle.dumps(nets))
+    frames = [pd.DataFrame({"group": [0, 1], "lane": [0, 0], "rows": [blob, blob]})]
+    parts = list(pd.concat(MLP._train_unit(shared, 1, False)(frames))["part"])
+    assert all(x[0].dtype == np.float32 for p in parts for _, x in pickle.loads(p)) and len(parts) == 2
+    size = len(nets[0].w)
+    for (_, total), (_, a), (_, b) in zip(pickle.loads(MLP._added(parts)), *map(pickle.loads, parts), strict=True):
+        rows = a[1][1]
+        assert np.array_equal(total[:3 * size], rows * a[0].astype(float) + rows * b[0].astype(float)) and total[3 * size + 1] == 2 * rows
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     X, y, shapes = rng.normal(size=(12, 3)), rng.normal(size=12), MLP._shapes(3, (4, 3))
