@@ -287,6 +287,23 @@ def test_held_errors_are_those_of_the_predictions(folded):
         assert got[i] == pytest.approx(((p["prediction"] - p[TARGET]) ** 2).sum(), rel=1e-9)
 
 
+def test_a_network_explains_coalitions_as_scored_rows_do(folded, small_search, monkeypatch):
+    model = small_search[TU.MLP_NAME]["fitted"]
+    rows = folded.where(f"{KEY} % 7 = 0").limit(40).cache()
+    background = [r.asDict() for r in folded.where(f"{KEY} % 50 < 6").select(*FEATURES).limit(9).collect()]
+    background[0] |= {"tv": None, "influencer": "Giga"}
+    scored = []
+    plain = TU.Fitted.transform
+    monkeypatch.setattr(TU.Fitted, "transform", lambda self, df, out="prediction": scored.append(1) or plain(self, df, out))
+    got = {r[KEY]: r for r in TS.coalition_shapley(rows, background, model, FEATURES, KEY).collect()}
+    assert not scored  # no table of mixed rows
+    monkeypatch.setattr(TU.Fitted, "coalition_scorer", lambda self, features: None)
+    want = TS.coalition_shapley(rows, background, model, FEATURES, KEY)
+    assert scored and len(got) == rows.count() and list(got.values())[0].__fields__ == want.columns
+    for r in want.collect():
+        assert list(got[r[KEY]]) == pytest.approx(list(r), rel=1e-9, abs=1e-9)
+
+
 # -- registry ---------------------------------------------------------------
 
 def test_a_promotion_cut_short_leaves_the_champion(spark, small_search, tmp_path):
