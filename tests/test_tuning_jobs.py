@@ -101,6 +101,42 @@ def test_preprocessors_of_all_folds_equal_single_fits(folded):
             assert m.getOrDefault(k) == pytest.approx(want.getOrDefault(k), rel=1e-12)
 
 
+def test_moments_of_folds_add_up(spark):
+    rows = [(i, i % 3, 0.1, None if i % 4 else float(i), 1e9 + i) for i in range(60)]
+    folded = spark.createDataFrame(rows, f"{KEY} long, fold int, tv double, radio double, social_media double")
+    got = C.fit_preprocessors(folded, [0, 1, 7, C.ALL])  # fold 7 has no rows
+    for f, m in got.items():
+        part = [r for r in rows if r[1] != f]
+        for i, (median, mean, scale) in enumerate(zip(*(m.getOrDefault(k) for k in ("medians", "means", "scales")), strict=True)):
+            known = np.array([r[2 + i] for r in part if r[2 + i] is not None])
+            x = np.append(known, np.full(len(part) - len(known), np.median(known)))
+            assert (median, mean) == pytest.approx((np.median(known), x.mean()), rel=1e-12)
+            assert scale == (1.0 if i == 0 else pytest.approx(x.std(), rel=1e-9))
+
+
+def test_medians_of_all_folds_narrow_together(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 600
+    tv = np.where(rng.random(n) < 0.3, 2.5, rng.lognormal(0, 9, n))
+    radio = [None if i % 7 == 0 else float("nan") if i % 11 == 0 else float(x) for i, x in enumerate(rng.normal(size=n))]
+    social = [float("inf") if i % 5 == 0 else float(x) for i, x in enumerate(rng.choice([0.0, 8.0], n))]
+    rows = [(i, int(rng.integers(0, 5)), float(tv[i]), radio[i], social[i]) for i in range(n)]
+    folded = spark.createDataFrame(rows, f"{KEY} long, fold int, tv double, radio double, social_media double").cache()
+    for bins, small, general in ((8, 20, None), (4096, 4096, None), (8, 20, 1)):
+        monkeypatch.setattr(C, "SELECT_BINS", bins)
+        monkeypatch.setattr(C, "SELECT_SMALL", small)
+        asked = []
+        plain = C.grouped_with_quantiles
+        with monkeypatch.context() as m:
+            m.setattr(C, "grouped_with_quantiles", lambda df, *a: asked.append({r["feature"] for r in df.select("feature").distinct().collect()}) or plain(df, *a))
+            got = C.fit_preprocessors(folded.drop("social_media").withColumn("social_media", F.lit(3.0)) if general is None else folded, [0, 3, C.ALL])
+        assert asked == ([] if general is None else [{"social_media"}])  # the others without a row per fold
+        for f, model in got.items():
+            for i in range(2 if general is None else 3):
+                x = np.array([r[2 + i] for r in rows if r[1] != f and r[2 + i] is not None and not math.isnan(r[2 + i])])
+                assert model.getOrDefault("medians")[i] == pytest.approx(np.median(x), rel=1e-14)
+
+
 def test_linear_regression_from_moments(folded, small_search):
     rmse = []
     for f in range(5):
